@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog import ship
+from stratalog.llm.catalog import TOKENIZERS
 from stratalog.llm.near_dedup import near_duplicates
+from stratalog.llm.packing import pack_pieces
+from stratalog.llm.quality_rules import keep_by_rules
+from stratalog.llm.toxicity import drop_toxic, fit
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores 0.7 or higher go."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, fit(docs.select("doc_id", "text"), labels))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are too short or repeat themselves go."""
+    ship(spark)
+    return keep_by_rules(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 1024 tokens that hold every remaining document."""
+    ship(spark)
+    return pack_pieces(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+STAGES = [("toxicity", toxicity), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("packing", packing)]
+#: SQL can't express a fitted classifier or a tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

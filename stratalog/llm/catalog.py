@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .common import documents
+from .bpe import bpe_round_trip
 from .near_dedup import near_duplicates
+from .packing import pack_pieces
+from .quality_rules import quality_rules
+from .toxicity import fit, toxicity_scores
+
+#: Folder of the public vocabulary files, on every executor.
+TOKENIZERS = os.environ.get("STRATALOG_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +59,52 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING
 """
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity_scores(docs, fit(docs.select("doc_id", "text"), documents(spark, sf_dir, "labels")))
+
+
+@query("op2_hilbert_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_pieces(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 @query("op4_minhash_near_dedup", _SHINGLES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op6_bpe_round_trip")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+_RULES = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+gram AS (
+  SELECT doc_id, ws, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(ws[i:i + 4], ' '))) AS n
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM gram, range(5) AS t(d) WHERE n > 1 GROUP BY 1),
+long AS (  -- a repeat of 101 words begins where one of 5 begins
+  SELECT DISTINCT doc_id FROM gram WHERE n > 1 AND i + 100 <= len(ws)
+  GROUP BY doc_id, md5(array_to_string(ws[i:i + 100], ' ')) HAVING count(*) > 1),
+base AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, l.doc_id IS NOT NULL AS too_long
+  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN long l ON l.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR too_long) AS kept
+FROM base
+"""
+
+
+@query("op9_suffix_array_rules", _RULES)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("covered_fraction", "longest_repeat")
