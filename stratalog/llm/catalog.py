@@ -7,13 +7,19 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import documents
+from . import site_quality
+from .archives import archive_round_trip
 from .bpe import bpe_round_trip
+from .common import documents
+from .interleave import interleaved_media
+from .main_text import main_text
 from .near_dedup import near_duplicates
 from .packing import pack_pieces
 from .quality_rules import quality_rules
+from .sharding import shard_by_bytes
 from .toxicity import fit, toxicity_scores
 
 #: Folder of the public vocabulary files, on every executor.
@@ -70,11 +76,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+_ARCHIVES = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p),
+digit AS (SELECT d.page_id, i, instr('0123456789abcdef', substr(hex, i, 1)) - 1 AS v FROM d, range(1, 41) AS t(i)),
+bits AS (SELECT page_id, string_agg(lpad(bin(v), 4, '0'), '' ORDER BY i) AS bits FROM digit GROUP BY 1),
+base32 AS (SELECT page_id, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * k + j + 1, 1)::INT << (4 - j)))::INT, 1)), '') AS digest FROM bits)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM d JOIN base32 USING (page_id)
+"""
+
+
+@query("op3_warc_zip", _ARCHIVES)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(documents(spark, sf_dir, "pages"))
+
+
 @query("op4_minhash_near_dedup", _SHINGLES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@query("op5_site_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, its path the source and language."""
+    docs = documents(spark, sf_dir)
+    model = site_quality.fit(docs.select("doc_id", "text"), documents(spark, sf_dir, "labels"))
+    return site_quality.site_quality(docs, model, F.col("source"), F.col("lang"))
+
+
 @query("op6_bpe_round_trip")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
@@ -108,3 +139,18 @@ FROM base
 @query("op9_suffix_array_rules", _RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("covered_fraction", "longest_repeat")
+
+
+@query("op7_interleaved_media")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved_media(documents(spark, sf_dir))
+
+
+@query("op8_sampled_splitters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(documents(spark, sf_dir))
+
+
+@query("op10_host_suffix_array")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(documents(spark, sf_dir, "pages"))
