@@ -34,6 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder: compressed and read by column."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -174,3 +181,18 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt: F.Column, sa
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def heavy_lookup(big: DataFrame, small: DataFrame, key: str, least: int = 256, bound: int = 10_000) -> DataFrame:
+    """Left join of ``big`` with ``small``, unique on ``key`` (never null), where most keys of ``small`` have a few rows of ``big``.
+
+    Keys with more than 1 in ``bound`` of the rows (and than ``least``) are ``bound`` at most: their rows of
+    ``small`` are broadcast. The other keys, none of them large, are joined by a shuffle. Pass inputs that are cheap to read twice.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > max(least, total // bound)).select(key)
+    hot_small = small.join(F.broadcast(hot), key).withColumn("_hot", F.lit(True))
+    rows = big.join(F.broadcast(hot_small), key, "left")
+    rest = rows.where("_hot is null").select(*big.columns).join(small, key, "left")
+    return rows.where("_hot").select(*rest.columns).unionByName(rest)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, large, salted_lookup, slices, texts
+from .common import fresh_path, heavy_lookup, large, saved, slices, texts
 from .markup import attributes, scan
 
 WIDTH = 64
@@ -150,11 +150,11 @@ def resolve(rows: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """Each media element of ``rows`` (``id_col``, elements) with the columns of ``media`` (digest, unique, and more).
 
     One row for each reference: id_col, position, caption, n_elements, what media says of the digest (null
-    where it is unknown). Digests that many documents share are dealt over salts.
+    where it is unknown). Digests that a large share of the documents have are joined without a shuffle.
     """
     one = F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")
     refs = rows.select(id_col, F.size("elements").alias("n_elements"), one).select(id_col, "n_elements", "e.position", "e.digest", "e.caption")
-    return salted_lookup(refs, media, "digest", F.struct(id_col, "position"))
+    return heavy_lookup(refs, media, "digest")
 
 
 # --- documents as media ----------------------------------------------------
@@ -227,6 +227,6 @@ def interleaved_media(docs: DataFrame, path: str | None = None, id_col: str = "d
     path = path or fresh_path(spark, "media")
     store_documents(texts(docs, id_col, text_col), path)
     stored = spark.read.parquet(path)
-    found = resolve(sequences(stored.select("doc_id", "html")), media_features(stored), "doc_id")
+    found = resolve(sequences(stored.select("doc_id", "html")), saved(media_features(stored), "features"), "doc_id")
     n_bytes = F.regexp_extract("caption", r"(\d+) bytes$", 1).cast("long")
     return found.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
