@@ -98,14 +98,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     total = marks.count()
     if total > settings.max_rows:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * settings.max_rows / total))
-    rows = docs.join(marks, "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    # about max_rows ids and labels at most, so a broadcast; the texts aren't shuffled
+    rows = docs.join(F.broadcast(marks), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = shapes(large(b.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    seen = rows.mapInArrow(run, "label int, x array<double>").orderBy("label", "x").collect()
+    # max_rows rows at most; sorted here so that a fit is repeatable
+    seen = sorted(rows.mapInArrow(run, "label int, x array<double>").collect(), key=lambda r: (r["label"], r["x"]))
     y = np.array([r["label"] for r in seen], float)
     if not 0 < y.sum() < len(y):
         return Model(math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), (0.0,) * N_FEATURES)

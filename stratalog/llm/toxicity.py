@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     total = marks.count()
     if total > settings.max_rows:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * settings.max_rows / total))
-    rows = _without_copies(docs.join(marks, "doc_id").select("doc_id", "text", "label"))
+    # about max_rows ids and labels at most, so a broadcast; the texts aren't shuffled
+    rows = _without_copies(docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label"))
     groups = [g.split() for g in settings.groups]
     swaps = {t: [o for o in g if o != t] for g in groups for t in g}
     counts = _counts(rows, swaps).persist()
