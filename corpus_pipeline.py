@@ -27,9 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each group that shares 0.8 of its shingles or more stays, the one with the smallest doc_id."""
     ship(spark)
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -3,7 +3,7 @@
 1. Every document becomes its set of hashed 5-word shingles; equal sets form a class with one
    representative, so copies are never expanded into pairs.
 2. A representative keeps the low ``BITS`` bits of ``PERMUTATIONS`` minima, packed, and
-   ``BANDS`` band keys over whole minima.
+   band keys over whole minima; how many, and of how many minima each, follows from the threshold.
 3. Every member of a band bucket is tied to one member of it (per salt, then per bucket), as many
    ties as members; the connected components of the ties are candidate clusters. A pair that
    shares a bucket shares a cluster.
@@ -12,12 +12,15 @@
    except where two documents are connected already. A block pair returns a spanning forest of its
    links, so the rows stay in proportion to the members however many pairs are alike.
 
-At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85**4)**20 < 4e-7, and
-its estimate lies below ``PRUNE``, 4.5 standard deviations lower, with about 3e-6.
+A pair at the threshold shares no bucket with probability ``BAND_MISS`` at most, and its estimate lies
+below the bound of step 4 with ``PRUNE_MISS`` at most (the binomial tail of its unequal lanes): see ``bounds``.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +29,40 @@ from pyspark.sql import functions as F
 from .common import SALTS, checkpointed, map_text, mix, salted_lookup, texts, words
 from .components import components
 
-SHINGLE, BITS, PERMUTATIONS, BANDS, PRUNE, BLOCK = 5, 4, 128, 20, 0.70, 512
+SHINGLE, BITS, PERMUTATIONS, BLOCK = 5, 4, 128, 512
+BAND_MISS, PRUNE_MISS = 4e-7, 3e-6
 _ROWS = 4
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RNG.integers(0, 2**63, (BANDS, _ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 2**63, (PERMUTATIONS, _ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@cache
+def bounds(percent: int) -> tuple[int, int, float]:
+    """Bands, minima in each, and the least estimate of a pair to confirm, for links from ``percent`` on.
+
+    The signature's lanes are too few for less than 11 percent; that is an error, not a loss of links.
+    """
+    s = percent / 100
+    if not 0 < s <= 1:
+        raise ValueError(f"percent has to lie above 0 and up to 100, not {percent}")
+    for rows in range(_ROWS, 0, -1):
+        bands = 1 if s == 1 else math.ceil(math.log(BAND_MISS) / math.log1p(-(s**rows)))
+        if bands * rows <= PERMUTATIONS:
+            break
+    else:
+        raise ValueError(f"{PERMUTATIONS} minima don't find pairs at {percent} percent reliably")
+    chance = 2.0**-BITS
+    p, unequal = (1 - chance) * (1 - s), PERMUTATIONS  # of a lane to differ; most lanes that may
+    tail = 0.0
+    while unequal > 0:
+        tail += math.comb(PERMUTATIONS, unequal) * p**unequal * (1 - p) ** (PERMUTATIONS - unequal)
+        if tail > PRUNE_MISS:
+            break
+        unequal -= 1
+    return bands, rows, (1 - (unequal + 0.5) / PERMUTATIONS - chance) / (1 - chance)
 
 
 def shingle_sets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +122,9 @@ def _lanes(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint64).reshape(-1, PERMUTATIONS * BITS // 64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n (set size), set_hi, set_lo (fingerprint of the set), sig (packed low bits), bands."""
+    n_bands, n_rows, _ = bounds(percent)
 
     def make():
         def of(arr: pa.Array) -> list[pa.Array]:
@@ -104,11 +135,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hi[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), off[full])
                 lo[full] = np.add.reduceat(mix(flat + np.uint64(0x14057B7EF767814F)), off[full])
             low = minima(flat, off)
-            keys = np.empty((len(arr), BANDS), np.uint64)
-            for b in range(BANDS):
-                keys[:, b] = mix((low[:, b * _ROWS : (b + 1) * _ROWS].astype(np.uint64) * _BAND[b]).sum(1, dtype=np.uint64) + np.uint64(b))
+            keys = np.empty((len(arr), n_bands), np.uint64)
+            for b in range(n_bands):
+                keys[:, b] = mix((low[:, b * n_rows : (b + 1) * n_rows].astype(np.uint64) * _BAND[b, :n_rows]).sum(1, dtype=np.uint64) + np.uint64(b))
             sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PERMUTATIONS * BITS // 8), len(arr), [None, pa.py_buffer(pack(low).tobytes())])
-            bands = pa.ListArray.from_arrays(np.arange(len(arr) + 1, dtype=np.int32) * BANDS, keys.view(np.int64).ravel())
+            bands = pa.ListArray.from_arrays(np.arange(len(arr) + 1, dtype=np.int32) * n_bands, keys.view(np.int64).ravel())
             return [pa.array(np.diff(off)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), sig.cast(pa.binary()), bands]
 
         return of
@@ -156,10 +187,11 @@ def _shared(sets: list[np.ndarray], left: int, start: int) -> np.ndarray:
 def block_links(sets: list[np.ndarray], sigs: np.ndarray, left: int, same: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the first ``left`` documents and the others (``same``: among all)."""
     start = 0 if same else left
+    least = bounds(percent)[2]
     a, b, est = [], [], []
     for i in range(left):
         e = estimate(sigs[max(start, i + 1) :], sigs[i])
-        j = np.flatnonzero(e >= PRUNE)
+        j = np.flatnonzero(e >= least)
         a.append(np.full(len(j), i))
         b.append(j + max(start, i + 1))
         est.append(e[j])
@@ -211,7 +243,7 @@ def _links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     return rows.groupBy("component", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept (is that one itself).
 
     Links documents with 100 * intersection >= ``percent`` * union of their sets of distinct
@@ -220,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     with another text are linked by one of them; an empty table gives an empty result; other columns are ignored.
     """
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
-    all_sigs = checkpointed(signatures(docs))
+    all_sigs = checkpointed(signatures(docs, percent))
     filled = all_sigs.where("n > 0")
     classes = filled.groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
     reps = checkpointed(classes)

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from oracle import compare
-from stratalog.llm import archives, interleave, main_text, packing, quality_rules, sharding, site_quality, toxicity
+from stratalog.llm import archives, interleave, main_text, near_dedup, packing, quality_rules, sharding, site_quality, toxicity
 from stratalog.llm.bpe import bpe_round_trip
 from stratalog.llm.catalog import QUERIES, SQL, TOKENIZERS
 from stratalog.llm.interleave import interleaved_media
@@ -138,6 +138,40 @@ def test_near_duplicates(spark, odd):
     assert [got[k]["component_id"] for k in sorted(TEXTS)] == [1, 2, 3, 4, 5, 5, 7, 8, 9] and got[1]["n_shingles"] == 0 and got[4]["n_shingles"] == 1
 
 
+def similar_pairs(percents: range, per: int, n: int = 600) -> list[tuple[int, str, str]]:
+    """(percent, a, b): texts whose shingle sets overlap by at least ``percent`` and less than one more."""
+    out = []
+    for p in percents:
+        for k in range(per):
+            words = [f"w{p}x{k}x{i}" for i in range(n)]
+            shared = -(-p * 2 * (n - 4) // (100 + p))  # j = s / (2 * m - s)
+            tail = [f"z{p}x{k}x{i}" for i in range(n - 4 - shared)]
+            out.append((p, " ".join(words), " ".join(words[: n - len(tail)] + tail)))
+    return out
+
+
+def test_pipeline_drops_pairs_from_80_percent(spark):
+    ship(spark)
+    pairs = similar_pairs(range(78, 86), 3)
+    rows = [(2 * i + k, t) for i, (_, *ab) in enumerate(pairs) for k, t in enumerate(ab)]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert got == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, (p, *_) in enumerate(pairs) if p < 80}
+
+
+def test_near_duplicates_bounds_follow_the_threshold(spark):
+    for percent in range(11, 101):
+        bands, rows, least = near_dedup.bounds(percent)
+        assert bands * rows <= near_dedup.PERMUTATIONS and (1 - (percent / 100) ** rows) ** bands <= near_dedup.BAND_MISS and least < percent / 100
+    for percent in (0, 10, 101):
+        with pytest.raises(ValueError):
+            near_dedup.bounds(percent)
+    ship(spark)
+    pairs = similar_pairs(range(50, 54), 10)
+    rows = [(2 * i + k, t) for i, (_, *ab) in enumerate(pairs) for k, t in enumerate(ab)]
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50))
+    assert all(got[2 * i + 1]["component_id"] == 2 * i for i in range(len(pairs)))
+
+
 def test_bpe(spark, odd):
     tok = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
     tok.no_truncation()
