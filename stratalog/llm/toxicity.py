@@ -115,15 +115,33 @@ def _without_copies(rows: DataFrame) -> DataFrame:
     return rows.join(keys.select("doc_id"), "doc_id", "left_semi").select("text", "label")
 
 
-def _counts(rows: DataFrame, swaps: dict[str, list[str]]) -> DataFrame:
-    """kind, word, other, n, n_toxic: documents by word ('word'), swaps in sentences ('swap'), all documents ('all')."""
+def swap_changes(text: str, swaps: dict[str, list[str]], place: dict[str, int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Features (numbers in ``place``) that each swap of a term in a sentence of ``text`` takes away and adds.
+
+    A term goes with its beginnings, as ``features`` gives them; what the sentence's other words give as well stays.
+    """
+    low = text.lower()
+    if not any(t in low for t in swaps):
+        return
+    for sentence in _SENTENCE.split(low):
+        has = set(_WORD.findall(sentence))
+        for t in has & swaps.keys():
+            rest = features(has - {t})
+            before = features({t}) - rest
+            for o in swaps[t]:
+                after = features({o}) - rest
+                yield tuple(tuple(sorted(place[w] for w in x if w in place)) for x in (before - after, after - before))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """kind, word, n, n_toxic: documents by word ('word'), all documents ('all')."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = {k[:3] for k in seen}
-            cols = list(zip(*keys, strict=True)) if keys else [[], [], []]
+            keys = {k[:2] for k in seen}
+            cols = list(zip(*keys, strict=True)) if keys else [[], []]
             n = [seen[(*k, 0)] + seen[(*k, 1)] for k in keys]
             toxic = [seen[(*k, 1)] for k in keys]
             seen.clear()
@@ -131,19 +149,14 @@ def _counts(rows: DataFrame, swaps: dict[str, list[str]]) -> DataFrame:
 
         for b in batches:
             for text, label in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), strict=True):
-                low = text.lower()
-                seen.update(("word", w, "", label) for w in features_of(low))
-                seen["all", "", "", label] += 1
-                if any(t in low for t in swaps):
-                    for sentence in _SENTENCE.split(low):
-                        has = set(_WORD.findall(sentence))
-                        seen.update(("swap", t, "" if o in has else o, label) for t in has & swaps.keys() for o in swaps[t])
+                seen.update(("word", w, label) for w in features_of(text))
+                seen["all", "", label] += 1
             if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
-    names = ["kind", "word", "other", "n", "n_toxic"]
-    return rows.mapInArrow(run, "kind string, word string, other string, n long, n_toxic long").groupBy("kind", "word", "other").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    names = ["kind", "word", "n", "n_toxic"]
+    return rows.mapInArrow(run, "kind string, word string, n long, n_toxic long").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
 def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, settings: Settings, weight: np.ndarray | None = None) -> np.ndarray:
@@ -170,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
 
     Repeated label rows count once, a document with any label 1 as 1; null labels are ignored. Without labelled rows, or
     with one class only, the model is the smoothed share of label 1. At most about ``max_rows`` rows,
-    each reduced to which of ``max_words`` words it has, reach the driver.
+    each reduced to which of ``max_words`` words it has, reach the driver, and the distinct changes that
+    swaps make to those words: a term loses or gains its longest beginnings, so a pair of the lexicon has few.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -181,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     rows = _without_copies(docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label"))
     groups = [g.split() for g in settings.groups]
     swaps = {t: [o for o in g if o != t] for g in groups for t in g}
-    counts = _counts(rows, swaps).persist()
+    counts = _counts(rows).persist()
     try:
         all_row = counts.where("kind = 'all'").first()
         n, n1 = (all_row["n"], all_row["n_toxic"]) if all_row else (0, 0)
@@ -193,7 +207,6 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
         words = counts.where((F.col("kind") == "word") & (F.col("n") >= settings.min_documents) & (F.col("n") < n))
         words = words.withColumn("evidence", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).where(F.col("evidence") >= settings.min_evidence)
         vocab = [r["word"] for r in words.orderBy(F.col("evidence").desc(), "word").limit(settings.max_words).collect()]
-        pairs = [(r["word"], r["other"], r["n"]) for r in counts.where("kind = 'swap'").collect()]  # at most the lexicon's pairs
     finally:
         counts.unpersist()
     if not vocab:
@@ -201,25 +214,32 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     place = {w: i for i, w in enumerate(vocab)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = lambda hits: ",".join(map(str, hits))
         for b in batches:
-            hits = [sorted(place[w] for w in place.keys() & features_of(t)) for t in large(b.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([",".join(map(str, h)) for h in hits], pa.string())], names=["label", "hits"])
-
-    # equal rows of features are counted, not repeated; ordered so that a fit is repeatable
-    seen = rows.mapInArrow(present, "label int, hits string").groupBy("label", "hits").count().orderBy("label", "hits").collect()
-    x = np.zeros((len(seen), len(vocab)))
-    for i, r in enumerate(seen):
-        x[i, [int(k) for k in r["hits"].split(",") if k]] = 1
-    y = np.array([r["label"] for r in seen], float)
-    weight = np.array([r["count"] for r in seen], float)
-    delta = np.zeros((len(pairs), len(vocab)))
-    of_all = max(sum(c for *_, c in pairs), 1)
-    for i, (term, other, c) in enumerate(pairs):
-        share = math.sqrt(c / of_all)
-        if term in place:
-            delta[i, place[term]] -= share
-        if other in place:
-            delta[i, place[other]] += share
+            out = []
+            for text, label in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.append(("row", label, join(sorted(place[w] for w in place.keys() & features_of(text))), "", 1))
+                out += [("swap", 0, join(gone), join(new), n) for (gone, new), n in Counter(swap_changes(text, swaps, place)).items()]
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "label", "hits", "new", "n"])
+
+    # equal rows of features and equal swaps are counted, not repeated; ordered so that a fit is repeatable
+    seen = rows.mapInArrow(present, "kind string, label int, hits string, new string, n long").groupBy("kind", "label", "hits", "new").agg(F.sum("n").alias("n"))
+    seen = seen.orderBy("kind", "label", "hits", "new").collect()
+    numbers = lambda hits: [int(k) for k in hits.split(",") if k]
+    docs_seen, swaps_seen = ([r for r in seen if r["kind"] == kind] for kind in ("row", "swap"))
+    x = np.zeros((len(docs_seen), len(vocab)))
+    for i, r in enumerate(docs_seen):
+        x[i, numbers(r["hits"])] = 1
+    y = np.array([r["label"] for r in docs_seen], float)
+    weight = np.array([r["n"] for r in docs_seen], float)
+    delta = np.zeros((len(swaps_seen), len(vocab)))
+    of_all = max(sum(r["n"] for r in swaps_seen), 1)
+    for i, r in enumerate(swaps_seen):
+        share = math.sqrt(r["n"] / of_all)
+        delta[i, numbers(r["hits"])] = -share
+        delta[i, numbers(r["new"])] = share
     w = solve(x, y, delta, settings, weight)
     return Model(float(w[0]), dict(zip(vocab, map(float, w[1:]), strict=True)))
 

@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import io
+import math
 import re
 import struct
 import zipfile
@@ -76,6 +77,36 @@ def test_counterfactual_penalty():
     assert abs(bound[2] - bound[3]) < 0.2 * abs(free[2] - free[3]) and bound[1] > 1
 
 
+def test_swaps_change_beginnings():
+    swaps = {"muslims": ["jews"], "jews": ["muslims"]}
+    words = ["muslims", "musl-", "musli-", "muslim-", "jews", "muslin"]
+    place = {w: i for i, w in enumerate(words)}
+    assert list(toxicity.swap_changes("Muslims spoke. Nobody else", swaps, place)) == [((0, 1, 2, 3), (4,))]
+    assert list(toxicity.swap_changes("muslims in muslin", swaps, place)) == [((0, 3), (4,))]  # musl- and musli- stay
+    assert sorted(toxicity.swap_changes("muslims, jews", swaps, place)) == [((0, 1, 2, 3), ()), ((4,), ())]
+
+
+def test_fit_penalises_long_identity_terms(spark):
+    """Toxic documents name immigrants more often; a neutral mention doesn't score by its word beginnings either."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        toxic = int(rng.random() < 0.4)
+        insult = "vile scum" if toxic and rng.random() < 0.7 else "plain" if rng.random() < 0.5 else ""
+        group = "immigrants" if rng.random() < (0.85 if toxic else 0.05) else "citizens" if rng.random() < 0.5 else "people"
+        filler = ["".join(rng.choice(list("bcdfghjk"), 9)) for _ in range(8)]  # so that no two rows pass for copies
+        rows.append((i, " ".join([*(x for pair in zip(filler, [*insult.split(), group]) for x in pair), *filler[4:]]), toxic))  # noqa: B905
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fit = lambda **k: toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxicity.Settings(**k))
+    model, free = fit(), fit(swap_penalty=0.0)
+    z = lambda t, model=model: math.log(model.score(t) / (1 - model.score(t)))
+    assert any(w.startswith("immi") and w.endswith("-") for w in model.weights)
+    gap = lambda m: abs(z("the immigrants came here", m) - z("the refugees came here", m))
+    assert gap(free) > 2 and gap(model) < 0.2 * gap(free)
+    assert z("vile scum came here") - z("people came here") > 1
+
+
 def test_site_quality(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = site_quality.fit(docs.select("doc_id", "text"), labels)
