@@ -1,16 +1,14 @@
-"""Main text of HTML pages: the structure of each page, and a suffix array over the pages of a host.
+"""Main text of HTML pages: the structure of each page, and the repeated substrings of a host.
 
 1. A page is scanned into text blocks. Menus, forms, adverts, comments and the like go by their
    elements and by the words of their class, id and role; an article (else a main part, else all) stays.
-2. Hosts are dealt into chunks of bounded pages and bytes. The token streams of a chunk's pages, the
-   bounds of blocks being tokens, are concatenated, and a suffix array finds the substrings that
-   distinct pages share. Exact copies of a page count as one.
-3. A block that such substrings cover whole is the host's boilerplate if enough of the pages have
-   them. Inside an article that takes nearly all pages and many of them, since passages that several
-   articles quote are part of them. The other runs stay as they are.
-
-Pages reach their chunk by a hash of page_id, so a chunk is a fair sample of its host and a template
-that nearly all pages have shows in each. Nothing but a count for each large host is gathered.
+2. Over all pages of a host, the distinct pages are counted that have a block whole, its bounds included. In a
+   suffix array over the token streams of the host, bounds being tokens, those are the pages of the
+   suffixes that share the block's tokens and bounds as a prefix. Equal blocks have equal hashes, so the counts come from
+   an aggregation without an array, however large the host. Exact copies of a page count as one.
+3. A block is the host's boilerplate if enough pages have it: outside articles a number of pages, or half of a small
+   host. Inside an article that takes nearly all pages and many of them, since passages that several
+   articles quote are part of them. A part of a block is never cut out.
 """
 
 from __future__ import annotations
@@ -19,14 +17,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, mix, salted_lookup, words
+from .common import salted_lookup, saved
 from .markup import VOID, attributes, scan
-from .quality_rules import suffix_array
 
 # Elements that begin and end a block, that nest, and that never hold main text.
 _BLOCK = frozenset(
@@ -54,25 +50,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(frozen=True)
 class Limits:
-    """``run`` tokens at least make a repeat; a chunk holds about ``chunk_pages`` pages and ``chunk_bytes`` of HTML.
-
-    Outside articles a block goes if ``pages`` distinct pages and the share ``share`` of them repeat it,
-    inside if ``article_pages`` and ``article_share`` do.
+    """Outside articles a block goes if ``many`` distinct pages of the host have it, or the share ``share`` of them if
+    those are fewer, and ``pages`` at least; inside if ``article_pages`` and the share ``article_share`` do.
     """
 
     pages: int = 3
     share: float = 0.5
+    many: int = 12
     article_pages: int = 12
     article_share: float = 0.8
-    chunk_pages: int = 128
-    chunk_bytes: int = 4 << 20
     link_share: float = 0.6
 
 
-#: Tokens of the shortest repeat that counts, block bounds included: the windows of the suffix array's third level.
-_RUN_LEVEL, RUN = 2, 4
-
-
 def _role(tag: str, raw: str, inside: bool) -> tuple[bool, int]:
     """Whether an element is no main text by its names, and its level as a place of it: 2 article, 1 main part, 0 neither."""
     level = 2 if tag == "article" else 1 if tag == "main" else 0
@@ -184,59 +173,33 @@ def page_blocks(html: str, link_share: float = 0.6) -> list[tuple[str, bool]]:
     return select(parse(html), link_share) or select(parse(html, names=False), link_share)
 
 
-def repeated_blocks(blocks: pa.Array, inside: np.ndarray, first: np.ndarray, limits: Limits) -> np.ndarray:
-    """Which blocks are boilerplate of the chunk; ``first``: the first block of each page, and their number."""
-    _, _, _, word, start = words(large(blocks), lower=False)
-    n, pages = len(blocks), len(first) - 1
-    page = np.repeat(np.arange(pages), np.diff(first))
-    bound, at = mix(np.array([0xB10C], np.uint64))[0], np.arange(n)
-    keys = np.full(len(word) + n + 2 * pages, bound, np.uint64)
-    begin = start[:-1] + at + 2 * page + 1  # of each block's words; a bound stands before and after
-    end = begin + np.diff(start)
-    keys[np.arange(len(word)) + np.repeat(at + 2 * page + 1, np.diff(start))] = word
-    stop = start[first[1:]] + first[1:] + 2 * np.arange(pages) + 1  # a last key of its own ends each page
-    keys[stop] = mix(np.arange(1, pages + 1, dtype=np.uint64) ^ np.uint64(0xA5A5_0000_0000_0000))
-    edge = np.concatenate([[0], stop + 1])
-    same: dict[bytes, int] = {}
-    alike = np.array([same.setdefault(keys[a : b - 1].tobytes(), len(same)) for a, b in zip(edge[:-1], edge[1:], strict=True)], np.int64)
-    gone = np.zeros(n, bool)
-    if len(same) < limits.pages:
-        return gone
-    _, levels = suffix_array(keys)
-    if len(levels) <= _RUN_LEVEL:
-        return gone
-    window = levels[_RUN_LEVEL].astype(np.int64)
-    pairs = np.unique(window * len(same) + np.repeat(alike, np.diff(edge)))
-    having = np.bincount(pairs // len(same), minlength=len(keys))[window]  # distinct pages that have the window at each place
-    for place, least, share in ((False, limits.pages, limits.share), (True, limits.article_pages, limits.article_share)):
-        hit = np.flatnonzero((having >= least) & (having >= share * len(same)))
-        change = np.zeros(len(keys) + RUN + 1, np.int64)
-        np.add.at(change, hit, 1)
-        np.add.at(change, hit + RUN, -1)
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(change)[: len(keys)] > 0)])
-        gone |= (inside == place) & (covered[end + 1] - covered[begin - 1] == end + 2 - begin)
-    size = np.bincount(page, np.diff(start), pages)
-    lost = np.bincount(page, np.diff(start) * (gone & inside), pages)
-    return gone & ~(inside & (2 * lost > size)[page])  # no article is all boilerplate
-
-
 def host_of(url_col: str = "url") -> F.Column:
     host = F.regexp_extract(F.lower(F.col(url_col)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.coalesce(host, F.lit(""))
 
 
-def main_text(pages: DataFrame, limits: Limits = Limits(), known_hosts: int = 10_000) -> DataFrame:
+def shared_blocks(keys: DataFrame, limits: Limits) -> DataFrame:
+    """key, inside (whether it goes inside articles too) of the blocks that go; keys: host, page (hash of its blocks), keys.
+
+    A hash of a block covers its host, so a key names one host. Only hashes are moved; the counts are partial sums first.
+    """
+    distinct = keys.select("host", "page", F.explode("keys").alias("key")).distinct()
+    counts = distinct.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min(limits.pages, limits.article_pages))
+    sizes = keys.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    n = F.col("n")
+    outside = (n >= limits.pages) & ((n >= limits.many) | (n >= limits.share * F.col("pages")))
+    inside = (n >= limits.article_pages) & (n >= limits.article_share * F.col("pages"))
+    found = counts.join(sizes, "host").select("key", outside.alias("outside"), inside.alias("inside"))
+    return found.where("outside or inside")
+
+
+def main_text(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """page_id, url, text (blocks joined by an empty line), n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
     A null or empty html, and a page of boilerplate alone, gives an empty text. Rows without a url form one host. Repeated rows are extracted
     alike and count once as evidence; other columns are ignored; an empty table gives an empty result.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    count = F.greatest(F.ceil(F.count("*") / limits.chunk_pages), F.ceil(F.sum(F.octet_length("html")) / limits.chunk_bytes))
-    many = rows.groupBy("host").agg(count.cast("int").alias("chunks")).where("chunks > 1")
-    # only hosts over one chunk; beyond the bound the hosts are joined by a shuffle with salts
-    rows = rows.join(F.broadcast(many), "host", "left") if many.limit(known_hosts + 1).count() <= known_hosts else salted_lookup(rows, many, "host", F.col("page_id"))
-    rows = rows.select("page_id", "url", "html", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")), F.lit(0)).cast("int").alias("chunk"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host_of()).alias("host"))
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +207,30 @@ def main_text(pages: DataFrame, limits: Limits = Limits(), known_hosts: int = 10
             found = [page_blocks(h, limits.link_share) for h in b.column("html").to_pylist()]
             texts = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
             inside = pa.array([[i for _, i in x] for x in found], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("chunk"), texts, inside], names=["page_id", "url", "host", "chunk", "blocks", "inside"])
-
-    blocks = rows.mapInArrow(to_blocks, f"page_id {id_type}, url string, host string, chunk int, blocks array<string>, inside array<boolean>")
-
-    def to_text(t: pa.Table) -> pa.Table:
-        lists, inside = t["blocks"].combine_chunks(), t["inside"].combine_chunks()
-        flat = lists.flatten()
-        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-        gone = repeated_blocks(flat, inside.flatten().to_numpy(zero_copy_only=False), first, limits) if len(flat) else np.zeros(0, bool)
-        parts = flat.to_pylist()
-        texts = ["\n\n".join(x for x, g in zip(parts[a:b], gone[a:b].tolist(), strict=True) if not g) for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
-
-    return blocks.groupBy("host", "chunk").applyInArrow(to_text, f"page_id {id_type}, url string, text string, n_chars long")
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), texts, inside], names=["page_id", "url", "host", "blocks", "inside"])
+
+    blocks = rows.mapInArrow(to_blocks, f"page_id {id_type}, url string, host long, blocks array<string>, inside array<boolean>")
+    blocks = blocks.withColumns({"page": F.xxhash64("host", "blocks"), "keys": F.transform("blocks", lambda x: F.xxhash64("host", x))})
+    blocks = blocks.withColumn("row", F.xxhash64("page_id", "url", "page"))
+    # hashes alone are stored; pages are parsed once more below rather than kept
+    keys = saved(blocks.select("row", "host", "page", F.array_distinct("keys").alias("keys")), "blocks")
+    hits = salted_lookup(keys.select("row", F.explode("keys").alias("key")), shared_blocks(keys, limits), "key", F.col("row"))
+    gone = hits.where("outside or inside").groupBy("row").agg(
+        F.collect_set(F.when(F.col("outside"), F.col("key"))).alias("gone_outside"), F.collect_set(F.when(F.col("inside"), F.col("key"))).alias("gone_inside")
+    )
+    none = F.array().cast("array<bigint>")
+    out = blocks.join(gone, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("gone_outside", "gone_inside")})
+    cells = F.transform(
+        F.arrays_zip("blocks", "inside", "keys"),
+        lambda x: F.struct(
+            x["blocks"].alias("text"), x["inside"].alias("inside"), F.size(F.split(x["blocks"], " ")).alias("words"),
+            F.when(x["inside"], F.array_contains("gone_inside", x["keys"])).otherwise(F.array_contains("gone_outside", x["keys"])).alias("gone"),
+        ),
+    )
+    out = out.select("page_id", "url", cells.alias("cells"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    lost = total(F.filter("cells", lambda c: c["gone"] & c["inside"]))
+    out = out.withColumn("spare", 2 * lost > total(F.col("cells")))  # no article is all boilerplate
+    kept = F.filter("cells", lambda c: ~c["gone"] | (c["inside"] & F.col("spare")))
+    out = out.select("page_id", "url", F.array_join(F.transform(kept, lambda c: c["text"]), "\n\n").alias("text"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -299,6 +299,51 @@ def test_host_boilerplate(spark):
     assert "Welcome" in got[100].text and got[101].text == "" and got[102].n_chars == 0
 
 
+def whole_host(pages: list[list[str]], limits: main_text.Limits) -> list[list[str]]:
+    """What stays outside articles, by one suffix array with common prefixes over all pages of a host (distinct ones)."""
+    ids, keys, at, page = {}, [], [], []
+    for i, blocks in enumerate(pages):
+        for b in blocks:
+            at.append((i, b, len(keys)))
+            keys += [0, *(ids.setdefault(w, len(ids) + 1) for w in b.split())]
+        keys += [0, 10**6 + i]
+        page += [i] * (len(keys) - len(page))
+    array, levels = quality_rules.suffix_array(np.array(keys, np.uint64))
+    lcp, rank = quality_rules.common_prefixes(array, levels), {int(x): k for k, x in enumerate(array)}
+    kept = [[] for _ in pages]
+    least = max(limits.pages, min(limits.many, limits.share * len(pages)))
+    for i, b, start in at:
+        n, lo = len(b.split()) + 2, rank[start]
+        hi = lo
+        while lcp[lo] >= n:
+            lo -= 1
+        while hi + 1 < len(lcp) and lcp[hi + 1] >= n:
+            hi += 1
+        if len({page[array[k]] for k in range(lo, hi + 1)}) < least:
+            kept[i].append(b)
+    return kept
+
+
+def test_host_verdict_is_that_of_one_suffix_array(spark):
+    """A footer on a tenth of a large host goes from each of its pages; a block of recurring windows on one page stays."""
+    ship(spark)
+    own = lambda i: " ".join(f"t{i}x{k}" for k in range(400))
+    mixed, half = "alpha beta gamma delta epsilon zeta eta theta", 200
+    pages = []
+    for i in range(2 * half):
+        part = [own(i), "A template line of every page"]
+        part += ["The notice of one section only"] if i % 10 == 0 else []
+        part += ["alpha beta gamma delta epsilon zeta", "gamma delta epsilon zeta eta theta"][i % 2 : i % 2 + 1] if i else [mixed]
+        part += ["A line of eleven pages"] if i < 11 else []
+        part += ["A line of twelve pages"] if i < 12 else []
+        pages.append(part)
+    pad = f"<script>{'x' * 40_000}</script>"  # 16 MB for the host
+    rows = [(i, "http://h.example/", pad + "".join(f"<div>{x}</div>" for x in p)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text.split("\n\n") for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(whole_host(pages, main_text.Limits())))
+    assert got[0] == [own(0), mixed, "A line of eleven pages"] and got[20] == [own(20)]
+
+
 PAGES = {
     '<div class="menu"><a href=x>Home</a></div><div id="content"><h2>Title</h2><p>One  two&nbsp;three<br>four</p><p class="ad">Buy<p>Five &lt;six&gt;</div><div class="comments"><p>nice</div>': ["Title", "One two three four", "Five <six>"],
     "<body><nav><ul><li>a<li>b<article><h1>T</h1><p>text one</article>": ["T", "text one"],
