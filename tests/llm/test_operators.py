@@ -344,6 +344,15 @@ def test_host_verdict_is_that_of_one_suffix_array(spark):
     assert got[0] == [own(0), mixed, "A line of eleven pages"] and got[20] == [own(20)]
 
 
+def test_article_template_of_large_pages(spark):
+    """The verdict on a template inside articles doesn't depend on the pages' size."""
+    ship(spark)
+    page = lambda i: f"<article><p>Template of all</p><p>{' '.join(f'o{i}x{k}' for k in range(20))}</p></article><script>{'x' * 1_500_000}</script>"
+    df = spark.range(20, numPartitions=5).selectExpr("id AS page_id", "'http://big.example/' AS url").collect()
+    df = spark.createDataFrame([(r.page_id, r.url, page(r.page_id)) for r in df], "page_id long, url string, html string")
+    assert not [r.page_id for r in main_text.main_text(df).collect() if "Template" in r.text or not r.text]
+
+
 PAGES = {
     '<div class="menu"><a href=x>Home</a></div><div id="content"><h2>Title</h2><p>One  two&nbsp;three<br>four</p><p class="ad">Buy<p>Five &lt;six&gt;</div><div class="comments"><p>nice</div>': ["Title", "One two three four", "Five <six>"],
     "<body><nav><ul><li>a<li>b<article><h1>T</h1><p>text one</article>": ["T", "text one"],
