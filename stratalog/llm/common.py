@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,19 +17,38 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, one in the working folder on a local master; elsewhere that is an error,
+    since executors and driver need not share any folder but the one the cluster names.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = os.path.abspath(f"spark-shared/{uuid.uuid4().hex}")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalog-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    _at_exit(spark, sc.getCheckpointDir())  # the application's own part of the folder
+    return named
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Has the file system remove ``path`` when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stratalog-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/stratalog-{name}-{uuid.uuid4().hex}"
+    _at_exit(spark, path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; Spark removes it once nothing refers to it."""
+    """Cuts the lineage with a reliable checkpoint. It goes when the application ends, or once nothing refers to it where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, which a cluster should do.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -79,22 +98,22 @@ def large(arr: pa.Array) -> pa.Array:
     return arr.fill_null("") if arr.null_count else arr
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """``doc_id`` and the columns that ``make()(texts)`` gives for each slice of texts, without a shuffle.
+def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, limit: int = SLICE_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and those that ``make()(texts)`` gives for each slice of texts, without a shuffle.
 
     ``make`` runs once in a task and returns the function, so tables and caches are set up once.
     """
-    schema = T.StructType([df.schema["doc_id"], *T.StructType.fromDDL(fields).fields])
+    schema = T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(fields).fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            ids, text = b.column("doc_id"), large(b.column("text"))
+            text = large(b.column("text"))
             for i, j in slices(text, limit):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *fn(text.slice(i, j - i))], names=names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), *fn(text.slice(i, j - i))], names=names)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select(*keep, "text").mapInArrow(run, schema)
 
 
 def filter_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]], text_col: str = "text") -> DataFrame:

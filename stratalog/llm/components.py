@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
-def _through(df: DataFrame, col: str, parent: DataFrame) -> DataFrame:
-    """``col`` replaced by its parent where it has one."""
-    up = parent.select(F.col("node").alias(col), F.col("up").alias("_up"))
-    return df.join(up, col, "left").withColumn(col, F.coalesce("_up", col)).drop("_up")
+def _through(df: DataFrame, col: str, up: DataFrame) -> DataFrame:
+    """``col`` replaced by what ``up`` (node, up) says of it, where it says something."""
+    up = up.select(F.col("node").alias(col), F.col("up").alias("_up"))
+    return df.join(up.hint("merge"), col, "left").withColumn(col, F.coalesce("_up", col)).drop("_up")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for every node of ``edges`` (columns ``a``, ``b``).
 
-    Each round hooks every node to its smallest smaller neighbour, shortens those paths by
-    pointer jumping and contracts the edges, so the edges that are left shrink from round to
-    round. Nothing but "is anything left" reaches the driver. Self-loops, repeated edges and
-    an empty table are fine; null ends are ignored.
+    A round hooks every node to its smallest smaller neighbour, follows that to the fourth place in two joins, and
+    contracts the edges by it; where the fourth place isn't the end, an edge leads on from there. So the edges shrink
+    from round to round, and only "is anything left" reaches the driver. The labels are one chain of joins, a join
+    for each round, at the end. Self-loops, repeated edges and an empty table are fine; null ends are ignored.
     """
-    edges = edges.where("a is not null and b is not null")
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    labels = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = checkpointed(_ordered(edges.where("a is not null and b is not null")))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
-        parent = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))
-        while True:
-            higher = _through(parent.withColumn("was", F.col("up")), "up", parent)
-            higher = checkpointed(higher)
-            moved = not higher.where("was <> up").isEmpty()
-            parent = higher.select("node", "up")
-            if not moved:
-                break
-        labels = checkpointed(_through(labels, "component", parent).select("node", "component"))
-        edges = reduce(lambda df, c: _through(df, c, parent), ("a", "b"), edges).where("a <> b")
-        edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return labels
+        up = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+        up = _through(up, "up", up)
+        up = checkpointed(_through(up, "up", up).select("node", "up"))
+        labels = _through(labels, "component", up)
+        on = _through(up.select(F.col("up").alias("a"), F.col("up").alias("b")).distinct(), "b", up)
+        edges = checkpointed(_ordered(_through(_through(edges, "a", up), "b", up).select("a", "b").union(on.select("a", "b"))))
+    return checkpointed(labels.select("node", "component"))

@@ -1,16 +1,17 @@
 """Near-duplicate groups by b-bit MinHash.
 
-1. Every document becomes its set of hashed 5-word shingles; equal sets form a class with one
-   representative, so copies are never expanded into pairs.
-2. A representative keeps the low ``BITS`` bits of ``PERMUTATIONS`` minima, packed, and
-   band keys over whole minima; how many, and of how many minima each, follows from the threshold.
-3. Every member of a band bucket is tied to one member of it (per salt, then per bucket), as many
-   ties as members; the connected components of the ties are candidate clusters. A pair that
-   shares a bucket shares a cluster.
-4. A cluster is compared completely, in pairs of blocks of bounded size: the collision-corrected
-   similarity from the packed bits drops hopeless pairs, the rest is confirmed on full sets,
-   except where two documents are connected already. A block pair returns a spanning forest of its
-   links, so the rows stay in proportion to the members however many pairs are alike.
+1. Every document becomes its set of hashed 5-word shingles; equal sets form a class, one node, so
+   copies are never expanded into pairs.
+2. A node keeps the low ``BITS`` bits of ``PERMUTATIONS`` minima, packed, and band keys over whole
+   minima; how many, and of how many minima each, follows from the threshold.
+3. The smallest node of a band bucket leads it. Nodes with a bucket of one leader in common form a group, so each pair that
+   shares a bucket shares a group, and a group reaches no further than one bucket from its leader.
+4. A group is cut into chunks of bounded count and shingles, the leader in each. In a chunk the collision-corrected
+   similarity from the packed bits drops hopeless pairs and the rest is confirmed on full sets, except where two nodes
+   are connected already: a chunk returns a spanning forest of its links.
+5. What is left are pairs across chunks of a group that the links found so far don't connect. Blocks of the nodes outside the
+   group's largest component are held against all its blocks, by packed bits first, and only nodes with a promising partner bring
+   their sets for the confirmation. A group of near copies that its chunks have connected is done without this step.
 
 A pair at the threshold shares no bucket with probability ``BAND_MISS`` at most, and its estimate lies
 below the bound of step 4 with ``PRUNE_MISS`` at most (the binomial tail of its unequal lanes): see ``bounds``.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import SALTS, checkpointed, map_text, mix, salted_lookup, texts, words
 from .components import components
 
-SHINGLE, BITS, PERMUTATIONS, BLOCK = 5, 4, 128, 512
+SHINGLE, BITS, PERMUTATIONS = 5, 4, 128
+#: Nodes and shingles of a chunk; one node may have more shingles by itself.
+BLOCK, ITEMS = 256, 4 << 20
 BAND_MISS, PRUNE_MISS = 4e-7, 3e-6
 _ROWS = 4
 _RNG = np.random.default_rng(7)
@@ -123,7 +126,7 @@ def _lanes(col) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n (set size), set_hi, set_lo (fingerprint of the set), sig (packed low bits), bands."""
+    """doc_id, k, h, n (set size), set_hi, set_lo (fingerprint of the set), sig (packed low bits), bands."""
     n_bands, n_rows, _ = bounds(percent)
 
     def make():
@@ -144,12 +147,18 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
 
         return of
 
-    return map_text(docs, make, "n long, set_hi long, set_lo long, sig binary, bands array<long>")
+    return map_text(docs, make, "n long, set_hi long, set_lo long, sig binary, bands array<long>", keep=("doc_id", "k", "h"))
 
 
-def _forest(left: int, right: int, a: np.ndarray, b: np.ndarray, linked) -> list[tuple[int, int]]:
-    """Links that connect what the candidate pairs (a, b) connect; ``linked(k)`` confirms the k-th, asked only across trees."""
-    parent = list(range(left + right))
+def _forest(n: int, a: np.ndarray, b: np.ndarray, linked, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the candidate pairs (a, b) of ``n`` nodes connect; ``linked(k)`` confirms the k-th, asked only across trees.
+
+    Nodes with equal ``known`` are connected from the start.
+    """
+    parent = list(range(n))
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        parent = first[of].tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -184,37 +193,51 @@ def _shared(sets: list[np.ndarray], left: int, start: int) -> np.ndarray:
     return out
 
 
-def block_links(sets: list[np.ndarray], sigs: np.ndarray, left: int, same: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the first ``left`` documents and the others (``same``: among all)."""
-    start = 0 if same else left
+def _promising(sigs: np.ndarray, left: int, same: bool, percent: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of the first ``left`` nodes with the others (``same``: among all) whose estimate reaches the bound, and the estimates.
+
+    Pairs with equal ``known`` are left out.
+    """
     least = bounds(percent)[2]
     a, b, est = [], [], []
     for i in range(left):
-        e = estimate(sigs[max(start, i + 1) :], sigs[i])
-        j = np.flatnonzero(e >= least)
+        start = i + 1 if same else left
+        e = estimate(sigs[start:], sigs[i])
+        ok = e >= least
+        j = np.flatnonzero(ok if known is None else ok & (known[start:] != known[i]))
         a.append(np.full(len(j), i))
-        b.append(j + max(start, i + 1))
+        b.append(j + start)
         est.append(e[j])
-    if not a or not sum(map(len, a)):
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((a, np.int64), (b, np.int64), (est, float)))
+
+
+def block_links(sets: list[np.ndarray], sigs: np.ndarray, left: int, same: bool, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the first ``left`` documents and the others (``same``: among all), beyond what ``known`` connects."""
+    a, b, est = _promising(sigs, left, same, percent, known)
+    if not len(a):
         return []
-    order = np.argsort(-np.concatenate(est), kind="stable")  # likely links first: they connect the most
-    a, b = np.concatenate(a)[order], np.concatenate(b)[order]
+    order = np.argsort(-est, kind="stable")  # likely links first: they connect the most
+    a, b = a[order], b[order]
     sizes = np.array([len(x) for x in sets])
-    if len(a) > 2 * len(sets):
+    if len(a) > 2 * len(sets) and len(sets) <= 2 * BLOCK:
+        start = 0 if same else left
         both = _shared(sets, left, start)[a, b - start]
         ok = 100 * both >= percent * (sizes[a] + sizes[b] - both)
-        return _forest(len(sets), 0, a[ok], b[ok], lambda k: True)
+        return _forest(len(sets), a[ok], b[ok], lambda k: True, known)
 
     def linked(k: int) -> bool:
         x = np.sort(np.concatenate([sets[a[k]], sets[b[k]]]), kind="stable")
         n = int((x[1:] == x[:-1]).sum())
         return 100 * n >= percent * (len(x) - n)
 
-    return _forest(len(sets), 0, a, b, linked)
+    return _forest(len(sets), a, b, linked, known)
+
+
+# --- groups ------------------------------------------------------------------
 
 
-def _links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect every cluster's similar documents; clusters: node, component."""
+def _with_sets(docs: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
+    """node, sig, items (the whole set) and the columns of each entry of ``at`` (node, at: array of structs)."""
 
     def make():
         def of(arr: pa.Array) -> list[pa.Array]:
@@ -223,52 +246,139 @@ def _links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
 
         return of
 
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    member = member.join(reps.select("doc_id", "sig"), "doc_id")
-    sets = map_text(docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), make, "items binary")
-    rows = member.join(sets, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "sig", "items")
+    want = reps.select("k", "h", "node", "sig").join(at, "node")
+    texts_of = docs.select("k", "h", "text").join(want, ["k", "h"]).dropDuplicates(["k", "h"])
+    rows = map_text(texts_of, make, "items binary", keep=("node", "sig", "at"))
+    return rows.select("node", "sig", "items", F.explode("at").alias("at")).select("at.*", "node", "sig", "items")
+
+
+def _placed(rows: DataFrame, *cols: str) -> DataFrame:
+    return rows.groupBy("node").agg(F.collect_list(F.struct(*cols)).alias("at"))
+
+
+def _links_of(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Links (a, b) in each group of ``rows``: node, sig, items, side (0 is held against 1, or among itself if there is no 1), known."""
 
     def compare(t: pa.Table) -> pa.Table:
-        block, lo, hi = t["block"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
-        t = t.take(np.argsort(block != lo, kind="stable"))
-        ids = t["doc_id"].to_numpy()
+        side = t["side"].to_numpy()
+        order = np.argsort(side, kind="stable")
+        t, left = t.take(order), int((side == 0).sum())
+        ids, known = t["node"].to_numpy(), t["known"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["items"]]
-        found = block_links(sets, _lanes(t["sig"].to_pylist()), int((block == lo).sum()), lo == hi, percent)
+        found = block_links(sets, _lanes(t["sig"].to_pylist()), left, left == len(ids), percent, known) if left else []
         a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    return rows.groupBy("component", "lo", "hi").applyInArrow(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked doc_id), kept (is that one itself).
+    return rows.groupBy(*by).applyInArrow(compare, "a long, b long")
+
+
+def _parts(n: str, items: str, block: int) -> F.Column:
+    """How many blocks hold ``n`` nodes with ``items`` shingles in all."""
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(items) / ITEMS), F.lit(1)).cast("int")
+
+
+def _across(pairs: DataFrame, docs: DataFrame, reps: DataFrame, heavy: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links across the chunks of the groups of ``heavy`` (leader, chunks) that ``labels`` don't connect, or None; pairs: leader, node, n."""
+    named = heavy.select("leader", F.col("leader").alias("node")).join(reps.select("node", "n"), "node").select("leader", "node", "n")
+    named = named.union(salted_lookup(pairs, heavy, "leader", F.col("node")).where("chunks is not null").select("leader", "node", "n"))
+    named = checkpointed(named.join(labels, "node", "left").select("leader", "node", "n", F.coalesce("component", "node").alias("known")))
+    sums = named.groupBy("leader", "known").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    split = sums.groupBy("leader").agg(F.max_by(F.struct("known", "c", "items"), F.struct("c", "known")).alias("most"), F.sum("c").alias("c"), F.sum("items").alias("items")).where("c > most.c")
+    split = split.select("leader", F.col("most.known").alias("main"), F.col("most.c").alias("mc"), F.col("most.items").alias("mi"), (F.col("c") - F.col("most.c")).alias("rc"), (F.col("items") - F.col("most.items")).alias("ri"))
+    split = checkpointed(split.select("leader", "main", _parts("rc", "ri", 2 * block).alias("rest"), _parts("mc", "mi", 2 * block).alias("mains")))
+    if split.isEmpty():
+        return None
+    rows = salted_lookup(named, split, "leader", F.col("node")).where("main is not null")
+    dealt = F.xxhash64("node", F.lit(3))
+    of = F.when(F.col("known") == F.col("main"), F.col("rest") + F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("rest"))).cast("int")
+    rows = rows.withColumn("block", of)
+    last = F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "known")
+
+    def hopeful(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        t = t.take(np.argsort(side, kind="stable"))
+        left = int((side == 0).sum())
+        a, b, _ = _promising(_lanes(t["sig"].to_pylist()), left, left == len(side), percent, t["known"].to_numpy()) if left else (np.zeros(0, np.int64),) * 3
+        return t.take(np.union1d(a, b)).select(["leader", "lo", "hi", "side", "node", "known"])
+
+    near = rows.join(reps.select("node", "sig"), "node").groupBy("leader", "lo", "hi").applyInArrow(hopeful, "leader long, lo int, hi int, side int, node long, known long")
+    near = checkpointed(near)
+    if near.isEmpty():
+        return None
+    return _links_of(_with_sets(docs, reps, _placed(near, "leader", "lo", "hi", "side", "known")), ["leader", "lo", "hi"], percent)
+
+
+def _labels(docs: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
+    """node, component of the nodes of ``reps`` (node, k, h, n, sig, bands) that are linked with another."""
+    rows = reps.select("node", "n", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    part = rows.groupBy("key", "salt").agg(F.min("node").alias("first"), F.count("*").alias("c"))
+    bucket = part.groupBy("key").agg(F.min("first").alias("leader"), F.sum("c").alias("c")).where("c > 1").select("key", "leader")
+    led = part.select("key", "salt").join(bucket, "key")
+    pairs = checkpointed(rows.join(led, ["key", "salt"]).where("node <> leader").select("leader", "node", "n").distinct())
+
+    sums = pairs.groupBy("leader").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    heavy = checkpointed(sums.select("leader", _parts("c", "items", block).alias("chunks")).where("chunks > 1"))
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    member = salted_lookup(pairs, heavy, "leader", F.col("node")).select("node", "leader", chunk.alias("chunk"))
+    lead = sums.select("leader").join(heavy, "leader", "left").select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+    sets = _with_sets(docs, reps, _placed(member.union(lead), "leader", "chunk"))
+    links = checkpointed(_links_of(sets.withColumns({"side": F.lit(0), "known": F.col("node")}), ["leader", "chunk"], percent))
+    labels = components(links)
+    if heavy.isEmpty():
+        return labels
+    more = _across(pairs, docs, reps, heavy, labels, percent, block)
+    return labels if more is None else components(links.union(more))
+
+
+def labelled(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, k and h (keys of id and text, never null), n_shingles, cluster (null: linked with nothing), component_id."""
+    docs = texts(docs, id_col, text_col).withColumns({"k": F.xxhash64("doc_id", "text"), "h": F.xxhash64("text", F.lit(1))})
+    all_sigs = checkpointed(signatures(docs, percent))
+    classes = all_sigs.where("n > 0").groupBy("set_hi", "set_lo", "n").agg(
+        F.min(F.struct("k", "h")).alias("key"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies")
+    )
+    # the ids are drawn once: the checkpoint holds them
+    reps = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "key.*", "set_hi", "set_lo", "n", "doc_id", "sig", "bands", "copies"))
+    labels = _labels(docs, reps, percent, block)
+
+    found = reps.select("node", "set_hi", "set_lo", F.col("n").alias("n_shingles"), "doc_id", "copies").join(labels, "node", "left").where("copies > 1 or component is not null")
+    found = found.withColumn("cluster", F.coalesce("component", "node"))
+    least = found.groupBy("cluster").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(least, "cluster").select(F.struct("set_hi", "set_lo", "n_shingles").alias("set"), "cluster", "component_id")
+    out = all_sigs.select("doc_id", "k", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.struct("set_hi", "set_lo", F.col("n").alias("n_shingles"))).alias("set"))
+    out = salted_lookup(out, found, "set", F.col("k"))
+    own = F.when(F.col("cluster").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "k", "h", "n_shingles", "cluster", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest linked doc_id), kept (is that one itself) for every row.
 
     Links documents with 100 * intersection >= ``percent`` * union of their sets of distinct
     5-word shingles (A-Z lower-cased; fewer words: the whole sequence as one). Null, empty and
-    blank texts have no shingle and stay alone. A doc_id should name one text: rows that repeat it
-    with another text are linked by one of them; an empty table gives an empty result; other columns are ignored.
+    blank texts have no shingle and stay alone. Rows are documents of their own: rows that repeat an id with another text are
+    linked each by its own text, and each row with the smallest id of its component is kept. A row without an id takes part in links; its component_id is the
+    smallest id it reaches, null if that is none, and only then it is kept. An empty table gives an empty result; other columns are ignored.
     """
-    docs = texts(docs, id_col, text_col).where("doc_id is not null")
-    all_sigs = checkpointed(signatures(docs, percent))
-    filled = all_sigs.where("n > 0")
-    classes = filled.groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
-    reps = checkpointed(classes)
-
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    part = rows.groupBy("key", "salt").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    bucket = part.groupBy("key").agg(F.min("first").alias("least"), F.sum("n").alias("n")).where("n > 1")
-    inner = rows.join(part.where("n > 1").select("key", "salt", "first"), ["key", "salt"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    outer = part.join(bucket.select("key", "least"), "key").select(F.col("first").alias("a"), F.col("least").alias("b"))
-    stars = inner.union(outer).where("a <> b")
-    label = components(_links(components(stars), docs, reps, percent))
-
-    found = reps.select("set_hi", "set_lo", F.col("n").alias("n_shingles"), "doc_id", "copies").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    found = found.where("copies > 1 or component is not null").select(F.struct("set_hi", "set_lo", "n_shingles").alias("set"), F.coalesce("component", "doc_id").alias("component"))
-    out = all_sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.struct("set_hi", "set_lo", F.col("n").alias("n_shingles"))).alias("set"))
-    out = salted_lookup(out, found, "set", F.col("doc_id"))
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = labelled(docs, percent, id_col, text_col, block)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, every column as it was, one of each group of linked rows: that with the smallest id, nulls last, then by a hash of the text.
+
+    Rows that repeat both id and text are linked if the text has a word, so one of them stays. Rows without a word all stay.
+    """
+    rows = checkpointed(labelled(docs, percent, id_col, text_col, block).where("cluster is not null").select("cluster", "doc_id", "k", "h"))
+    first = rows.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "h")).alias("f")).select("f.k", "f.h")
+    same = rows.groupBy("k", "h").agg(F.count("*").alias("n"))
+    gone = same.select("k", "h").join(first, ["k", "h"], "left_anti").select(F.col("k").alias("_k"), F.col("h").alias("_h"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"_k": F.xxhash64(F.col(id_col), text), "_h": F.xxhash64(text, F.lit(1))})
+    out = keyed.join(gone, ["_k", "_h"], "left_anti")
+    repeats = checkpointed(same.where("n > 1").join(first, ["k", "h"], "left_semi").select(F.col("k").alias("_k"), F.col("h").alias("_h")))
+    if not repeats.isEmpty():
+        out = out.join(repeats, ["_k", "_h"], "left_anti").unionByName(out.join(repeats, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]))
+    return out.select(*docs.columns)
