@@ -12,7 +12,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, filter_text, large, map_text, mix, texts
+from .common import SLICE_BYTES, checkpointed, filter_text, large, map_text, mix, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7, 8)
@@ -63,8 +63,8 @@ def features_of(text: str) -> set[str]:
 class Settings:
     """``max_rows`` bounds the labelled rows of a fit (drawn by a hash of the id), ``max_words`` the features.
 
-    A feature is a word or beginning in ``min_documents`` labelled documents whose split over the labels has a signed root
-    likelihood ratio of ``min_evidence`` or more.
+    A feature is a word or beginning in ``min_documents`` labelled documents (by weight) whose split over the labels has a signed root
+    likelihood ratio of ``min_evidence`` or more. ``max_cached`` bounds the words whose features a task keeps.
     """
 
     max_rows: int = 20_000
@@ -73,6 +73,7 @@ class Settings:
     min_evidence: float = 4.0
     ridge: float = 0.1
     swap_penalty: float = 10.0
+    max_cached: int = 200_000
     groups: tuple[str, ...] = field(default=tuple(IDENTITY_GROUPS))
 
 
@@ -82,8 +83,28 @@ class Model:
     weights: dict[str, float]
 
     def score(self, text: str) -> float:
-        z = self.bias + math.fsum(self.weights[w] for w in self.weights.keys() & features_of(text))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+        return self.scorer()(text)
+
+    def scorer(self, max_cached: int = Settings.max_cached) -> Callable[[str], float]:
+        """A function from a text to its score that remembers which features a word gives."""
+        names = list(self.weights)
+        place, weights = {w: i for i, w in enumerate(names)}, [self.weights[w] for w in names]
+        cache: dict[str, tuple[int, ...]] = {}
+
+        def score(text: str) -> float:
+            hits: set[int] = set()
+            for w in set(_WORD.findall(text.lower())):
+                own = cache.get(w)
+                if own is None:
+                    if len(cache) >= max_cached:
+                        cache.clear()
+                    own = cache[w] = tuple(place[f] for f in features({w}) if f in place)
+                if own:
+                    hits.update(own)
+            z = self.bias + math.fsum(weights[i] for i in hits)
+            return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+        return score
 
 
 def held_out(doc_id: Column) -> Column:
@@ -91,28 +112,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _without_copies(rows: DataFrame) -> DataFrame:
-    """text, label without most near-copies, whose words would count as evidence again and again.
+def shingle_key(text: str) -> int:
+    """The smallest hash of three words in a row, which most near copies have in common; of fewer words, a hash of all."""
+    w = [zlib.crc32(x.encode()) for x in _WORD.findall(text.lower())]
+    grams = np.array([w[k : len(w) - 2 + k] for k in range(3)], np.uint64) if len(w) > 2 else np.array([[sum(w)], [0], [0]], np.uint64)
+    return int(mix(grams[0] + mix(grams[1] + mix(grams[2] + np.uint64(1)))).min() >> np.uint64(1))
 
-    Of rows with the same smallest 3-word shingle under either of two hashes one stays.
+
+def _weighted(rows: DataFrame) -> DataFrame:
+    """text, label, weight: 1 / n for n rows with the same ``shingle_key``, so that copies of a text count as one document in all.
+
+    No row is left out, and copies with different labels count for each label by their share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = [], []
-            for text in large(b.column(1)).to_pylist():
-                w = [zlib.crc32(x.encode()) for x in _WORD.findall(text.lower())]
-                grams = np.array([w[k : len(w) - 2 + k] for k in range(3)], np.uint64) if len(w) > 2 else np.array([[sum(w)], [0], [0]], np.uint64)
-                key = mix(grams[0] + mix(grams[1] + mix(grams[2] + np.uint64(1))))
-                one.append(int(key.min() >> np.uint64(1)))
-                two.append(int(mix(key).min() >> np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "label", "one", "two"])
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    keys = rows.mapInArrow(run, f"doc_id {id_type}, label int, one long, two long")
-    for key in ("one", "two"):
-        keys = keys.groupBy(key).agg(F.min(F.struct("doc_id", "label", "one", "two")).alias("row")).select("row.*")
-    return rows.join(keys.select("doc_id"), "doc_id", "left_semi").select("text", "label")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_key(t) for t in large(b.column(0)).to_pylist()], pa.int64())], names=["text", "label", "key"])
+
+    keyed = rows.select(F.coalesce("text", F.lit("")).alias("text"), "label").mapInArrow(run, "text string, label int, key long")
+    sizes = keyed.groupBy("key").agg((1 / F.count("*")).alias("weight"))
+    return keyed.join(sizes, "key").select("text", "label", "weight")
 
 
 def swap_changes(text: str, swaps: dict[str, list[str]], place: dict[str, int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
@@ -134,81 +153,115 @@ def swap_changes(text: str, swaps: dict[str, list[str]], place: dict[str, int])
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """kind, word, n, n_toxic: documents by word ('word'), all documents ('all')."""
+    """kind, word, n, n_toxic: weight of the documents by word ('word'), of all documents ('all'); rows: text, label, weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[tuple[str, str, int], float] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = {k[:2] for k in seen}
+            keys = sorted({k[:2] for k in seen})
             cols = list(zip(*keys, strict=True)) if keys else [[], []]
-            n = [seen[(*k, 0)] + seen[(*k, 1)] for k in keys]
-            toxic = [seen[(*k, 1)] for k in keys]
+            toxic = [seen.get((*k, 1), 0.0) for k in keys]
+            n = [seen.get((*k, 0), 0.0) + t for k, t in zip(keys, toxic, strict=True)]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array(x, pa.int64()) for x in (n, toxic)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array(x, pa.float64()) for x in (n, toxic)], names=names)
 
         for b in batches:
-            for text, label in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update(("word", w, label) for w in features_of(text))
-                seen["all", "", label] += 1
+            for text, label, weight in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for w in features_of(text):
+                    seen["word", w, label] = seen.get(("word", w, label), 0.0) + weight
+                seen["all", "", label] = seen.get(("all", "", label), 0.0) + weight
             if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
     names = ["kind", "word", "n", "n_toxic"]
-    return rows.mapInArrow(run, "kind string, word string, n long, n_toxic long").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    sums = rows.mapInArrow(run, "kind string, word string, n double, n_toxic double").groupBy("kind", "word")
+    # rounded, so that the order of a sum doesn't show
+    return sums.agg(F.round(F.sum("n"), 6).alias("n"), F.round(F.sum("n_toxic"), 6).alias("n_toxic"))
 
 
-def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, settings: Settings, weight: np.ndarray | None = None) -> np.ndarray:
-    """Bias and weights by Newton steps. ``swaps``: a row per swap, its change of features times the root of its share."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    weight = np.ones(len(x)) if weight is None else weight
-    quad = np.full(x.shape[1], settings.ridge)
-    quad[0] = 1e-6
-    fixed = np.diag(quad)
-    fixed[1:, 1:] += settings.swap_penalty * len(y) * (swaps.T @ swaps) if len(swaps) else 0
-    w = np.zeros(x.shape[1])
+def _dense(rows: list[tuple[list[int], float]], width: int) -> np.ndarray:
+    """A column of ones, then the given value at the given places of each row."""
+    x = np.zeros((len(rows), width + 1))
+    x[:, 0] = 1
+    for i, (hits, value) in enumerate(rows):
+        x[i, [k + 1 for k in hits]] = value
+    return x
+
+
+def solve_sparse(hits: list[list[int]], width: int, y: np.ndarray, weight: np.ndarray, quad: np.ndarray, ridge: float, block: int = 1024) -> np.ndarray:
+    """``solve`` for rows of ones at ``hits``: they are spread out ``block`` rows at a time, so memory doesn't follow the rows. ``quad``: the penalty's matrix, weights by weights."""
+
+    def blocks() -> Iterator[tuple[np.ndarray, slice]]:
+        for at in range(0, len(hits), block):
+            yield _dense([(h, 1.0) for h in hits[at : at + block]], width), slice(at, at + block)
+
+    return _newton(blocks, y, weight, quad, ridge)
+
+
+def _newton(blocks: Callable[[], Iterator[tuple[np.ndarray, slice]]], y: np.ndarray, weight: np.ndarray, quad: np.ndarray, ridge: float) -> np.ndarray:
+    width = len(quad) + 1
+    fixed = np.diag(np.append(1e-6, np.full(width - 1, ridge)))
+    fixed[1:, 1:] += quad
+    w = np.zeros(width)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + fixed @ w
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + fixed, grad)
+        grad, gram = fixed @ w, fixed.copy()
+        for x, at in blocks():
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad += x.T @ (weight[at] * (p - y[at]))
+            gram += (x * (weight[at] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        step = np.linalg.solve(gram, grad)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "toxic") -> Model:
-    """A model from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0/1) marks and that aren't held out.
+def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, settings: Settings, weight: np.ndarray | None = None) -> np.ndarray:
+    """Bias and weights by Newton steps. ``swaps``: a row per swap, its change of features times the root of its share; the penalty counts as much as all rows' weight."""
+    weight = np.ones(len(x)) if weight is None else weight
+    quad = settings.swap_penalty * weight.sum() * (swaps.T @ swaps) if len(swaps) else np.zeros((x.shape[1],) * 2)
+    whole = np.hstack([np.ones((len(x), 1)), x])
+    return _newton(lambda: iter([(whole, slice(None))]), y, weight, quad, settings.ridge)
 
-    Repeated label rows count once, a document with any label 1 as 1; null labels are ignored. Without labelled rows, or
-    with one class only, the model is the smoothed share of label 1. At most about ``max_rows`` rows,
-    each reduced to which of ``max_words`` words it has, reach the driver, and the distinct changes that
-    swaps make to those words: a term loses or gains its longest beginnings, so a pair of the lexicon has few.
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """text, label of the rows of ``docs`` that ``labels`` (doc_id, label 0/1) marks and that aren't held out.
+
+    Repeated label rows count once, the larger label; null labels and ids are ignored. Of more than ``max_rows`` labelled ids about ``max_rows`` are drawn by a hash.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = marks.count()
-    if total > settings.max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * settings.max_rows / total))
+    if total > max_rows:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
     # about max_rows ids and labels at most, so a broadcast; the texts aren't shuffled
-    rows = _without_copies(docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label"))
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "toxic") -> Model:
+    """A model from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0/1) marks and that aren't held out.
+
+    Repeated label rows count once, a document with any label 1 as 1; null labels are ignored, a null text is an empty one. Copies of a text share
+    the weight of one document (``_weighted``). Without labelled rows, or with one class only, the model is the smoothed share of label 1. At most about ``max_rows`` rows,
+    each reduced to which of ``max_words`` words it has, reach the driver, and the distinct changes that
+    swaps make to those words: a term loses or gains its longest beginnings, so a pair of the lexicon has few.
+    """
+    rows = checkpointed(_weighted(labelled_rows(docs, labels, label_col, settings.max_rows)))  # read three times below
     groups = [g.split() for g in settings.groups]
     swaps = {t: [o for o in g if o != t] for g in groups for t in g}
-    counts = _counts(rows).persist()
-    try:
-        all_row = counts.where("kind = 'all'").first()
-        n, n1 = (all_row["n"], all_row["n_toxic"]) if all_row else (0, 0)
-        if not 0 < n1 < n:
-            return Model(math.log((n1 + 0.5) / (n - n1 + 0.5)), {})
-        rate = lambda k, of, share: F.when(k > 0, k * F.log(k / (of * share))).otherwise(0.0)
-        a, b, share = F.col("n_toxic"), F.col("n") - F.col("n_toxic"), F.col("n") / n
-        ratio = rate(a, n1, share) + rate(b, n - n1, share) + rate(n1 - a, n1, 1 - share) + rate(n - n1 - b, n - n1, 1 - share)
-        words = counts.where((F.col("kind") == "word") & (F.col("n") >= settings.min_documents) & (F.col("n") < n))
-        words = words.withColumn("evidence", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).where(F.col("evidence") >= settings.min_evidence)
-        vocab = [r["word"] for r in words.orderBy(F.col("evidence").desc(), "word").limit(settings.max_words).collect()]
-    finally:
-        counts.unpersist()
+    counts = checkpointed(_counts(rows))
+    all_row = counts.where("kind = 'all'").first()
+    n, n1 = (all_row["n"], all_row["n_toxic"]) if all_row else (0, 0)
+    if not 0 < n1 < n:
+        return Model(math.log((n1 + 0.5) / (n - n1 + 0.5)), {})
+    rate = lambda k, of, share: F.when(k > 0, k * F.log(k / (of * share))).otherwise(0.0)
+    a, b, share = F.col("n_toxic"), F.col("n") - F.col("n_toxic"), F.col("n") / n
+    ratio = rate(a, n1, share) + rate(b, n - n1, share) + rate(n1 - a, n1, 1 - share) + rate(n - n1 - b, n - n1, 1 - share)
+    words = counts.where((F.col("kind") == "word") & (F.col("n") >= settings.min_documents) & (F.col("n") < n))
+    words = words.withColumn("evidence", F.round(F.sqrt(F.greatest(2 * ratio, F.lit(0.0))), 6)).where(F.col("evidence") >= settings.min_evidence)
+    vocab = [r["word"] for r in words.orderBy(F.col("evidence").desc(), "word").limit(settings.max_words).collect()]
     if not vocab:
         return Model(math.log((n1 + 0.5) / (n - n1 + 0.5)), {})
     place = {w: i for i, w in enumerate(vocab)}
@@ -217,30 +270,25 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
         join = lambda hits: ",".join(map(str, hits))
         for b in batches:
             out = []
-            for text, label in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.append(("row", label, join(sorted(place[w] for w in place.keys() & features_of(text))), "", 1))
-                out += [("swap", 0, join(gone), join(new), n) for (gone, new), n in Counter(swap_changes(text, swaps, place)).items()]
+            for text, label, weight in zip(large(b.column(0)).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out.append(("row", label, join(sorted(place[w] for w in place.keys() & features_of(text))), "", weight))
+                out += [("swap", 0, join(gone), join(new), n * weight) for (gone, new), n in Counter(swap_changes(text, swaps, place)).items()]
             cols = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "label", "hits", "new", "n"])
 
-    # equal rows of features and equal swaps are counted, not repeated; ordered so that a fit is repeatable
-    seen = rows.mapInArrow(present, "kind string, label int, hits string, new string, n long").groupBy("kind", "label", "hits", "new").agg(F.sum("n").alias("n"))
+    # equal rows of features and equal swaps are summed, not repeated; ordered so that a fit is repeatable
+    seen = rows.mapInArrow(present, "kind string, label int, hits string, new string, n double").groupBy("kind", "label", "hits", "new").agg(F.round(F.sum("n"), 6).alias("n"))
     seen = seen.orderBy("kind", "label", "hits", "new").collect()
     numbers = lambda hits: [int(k) for k in hits.split(",") if k]
     docs_seen, swaps_seen = ([r for r in seen if r["kind"] == kind] for kind in ("row", "swap"))
-    x = np.zeros((len(docs_seen), len(vocab)))
-    for i, r in enumerate(docs_seen):
-        x[i, numbers(r["hits"])] = 1
-    y = np.array([r["label"] for r in docs_seen], float)
     weight = np.array([r["n"] for r in docs_seen], float)
-    delta = np.zeros((len(swaps_seen), len(vocab)))
-    of_all = max(sum(r["n"] for r in swaps_seen), 1)
-    for i, r in enumerate(swaps_seen):
-        share = math.sqrt(r["n"] / of_all)
-        delta[i, numbers(r["hits"])] = -share
-        delta[i, numbers(r["new"])] = share
-    w = solve(x, y, delta, settings, weight)
+    quad, of_all = np.zeros((len(vocab), len(vocab))), max(sum(r["n"] for r in swaps_seen), 1e-9)
+    for r in swaps_seen:  # the sum of share * change change', on the places that change
+        gone, new = numbers(r["hits"]), numbers(r["new"])
+        at, sign = np.array(gone + new, int), np.array([-1.0] * len(gone) + [1.0] * len(new))
+        quad[np.ix_(at, at)] += settings.swap_penalty * weight.sum() * r["n"] / of_all * np.outer(sign, sign)
+    w = solve_sparse([numbers(r["hits"]) for r in docs_seen], len(vocab), np.array([r["label"] for r in docs_seen], float), weight, quad, settings.ridge)
     return Model(float(w[0]), dict(zip(vocab, map(float, w[1:]), strict=True)))
 
 
@@ -252,7 +300,8 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.7, id_co
     """
 
     def make():
-        return lambda arr: [pa.array([model.score(t) for t in arr.to_pylist()], pa.float64())]
+        score = model.scorer()
+        return lambda arr: [pa.array([score(t) for t in arr.to_pylist()], pa.float64())]
 
     out = map_text(texts(docs, id_col, text_col), make, "score double", SLICE_BYTES)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -260,4 +309,9 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.7, id_co
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they were."""
-    return filter_text(docs, lambda: lambda arr: np.array([model.score(t) < threshold for t in arr.to_pylist()], bool), text_col)
+
+    def make():
+        score = model.scorer()
+        return lambda arr: np.array([score(t) < threshold for t in arr.to_pylist()], bool)
+
+    return filter_text(docs, make, text_col)
