@@ -12,6 +12,7 @@ _TAG = re.compile(
           |!--.*?(?:--!?>|\Z)|[!?/][^>]*(?:>|\Z))""",
     re.S | re.X,
 )
+_OPEN = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements whose content is no markup, and elements without content.
@@ -32,17 +33,23 @@ def scan(html: str) -> Iterator[tuple[str, str, str, int]]:
     """('start', tag, raw attributes, place), ('end', tag, '', place) and ('text', '', decoded text, place) in page order.
 
     Comments, declarations and what ``RAW`` elements hold are left out. A ``<`` that begins no tag is text.
+    A tag needs a ``>``, so none is looked for beyond the last one: the time is linear in the page.
     """
-    at, keep, n = 0, 0, len(html)
+    at, keep, n, last = 0, 0, len(html), html.rfind(">") + 1
     while True:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at, last)
         if m is None:
+            m = _OPEN.search(html, max(at, last))  # of what no > ends, comments, declarations and end tags hold no text
+            n = m.start() if m else n
             break
         if m.start() > keep:
             yield "text", "", entities.unescape(html[keep : m.start()]), keep
         close, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         at = keep = m.end()
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                keep = n
+                break
             continue
         tag = tag.lower()
         if close:
@@ -53,4 +60,4 @@ def scan(html: str) -> Iterator[tuple[str, str, str, int]]:
             end = _CLOSE[tag].search(html, at)
             at = keep = end.start() if end else n
     if keep < n:
-        yield "text", "", entities.unescape(html[keep:]), keep
+        yield "text", "", entities.unescape(html[keep:n]), keep

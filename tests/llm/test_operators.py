@@ -1,7 +1,6 @@
 """The training-data operators on odd rows and against plain versions."""
 
 import hashlib
-import html as entities
 import io
 import math
 import re
@@ -275,99 +274,6 @@ def test_quality_rules(spark, odd):
     assert got[8]["n_dup_lines"] == 0 and got[8]["n_symbols"] == 6 and got[9]["base_failed"] and got[1]["base_failed"]
 
 
-def article(page: str) -> str:
-    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
-    return "\n\n".join(x for x in (" ".join(entities.unescape(re.sub("</?b>", "", y)).split()) for y in re.split(r"</?(?:p|h1|br)[^>]*>", inside)) if x)
-
-
-def test_main_text(spark):
-    ship(spark)
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
-    assert all(got[r.page_id] == article(r.html) for r in pages.collect())
-
-
-def test_host_boilerplate(spark):
-    """Without elements or names that say so, what a host's pages share goes, what two of many share stays."""
-    ship(spark)
-    own = lambda i: f"<p>Story {i} tells of {' '.join(f'thing{i * 7 + k}' for k in range(12))}.</p>"
-    page = lambda i: f"<div>Welcome to our site, dear reader</div>{own(i)}{'<p>A passage that two of the stories quote word by word here.</p>' if i < 2 else ''}<div>All rights reserved by us</div>"
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)] + [(100, "http://other.example/", page(0)), (101, None, None), (102, "x", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
-    got = {r.page_id: r for r in main_text.main_text(df).collect()}
-    assert got[5].text == re.sub("</?p>", "", own(5)) and got[0].text.endswith("quote word by word here.") and "Welcome" not in got[0].text
-    assert "Welcome" in got[100].text and got[101].text == "" and got[102].n_chars == 0
-
-
-def whole_host(pages: list[list[str]], limits: main_text.Limits) -> list[list[str]]:
-    """What stays outside articles, by one suffix array with common prefixes over all pages of a host (distinct ones)."""
-    ids, keys, at, page = {}, [], [], []
-    for i, blocks in enumerate(pages):
-        for b in blocks:
-            at.append((i, b, len(keys)))
-            keys += [0, *(ids.setdefault(w, len(ids) + 1) for w in b.split())]
-        keys += [0, 10**6 + i]
-        page += [i] * (len(keys) - len(page))
-    array, levels = quality_rules.suffix_array(np.array(keys, np.uint64))
-    lcp, rank = quality_rules.common_prefixes(array, levels), {int(x): k for k, x in enumerate(array)}
-    kept = [[] for _ in pages]
-    least = max(limits.pages, min(limits.many, limits.share * len(pages)))
-    for i, b, start in at:
-        n, lo = len(b.split()) + 2, rank[start]
-        hi = lo
-        while lcp[lo] >= n:
-            lo -= 1
-        while hi + 1 < len(lcp) and lcp[hi + 1] >= n:
-            hi += 1
-        if len({page[array[k]] for k in range(lo, hi + 1)}) < least:
-            kept[i].append(b)
-    return kept
-
-
-def test_host_verdict_is_that_of_one_suffix_array(spark):
-    """A footer on a tenth of a large host goes from each of its pages; a block of recurring windows on one page stays."""
-    ship(spark)
-    own = lambda i: " ".join(f"t{i}x{k}" for k in range(400))
-    mixed, half = "alpha beta gamma delta epsilon zeta eta theta", 200
-    pages = []
-    for i in range(2 * half):
-        part = [own(i), "A template line of every page"]
-        part += ["The notice of one section only"] if i % 10 == 0 else []
-        part += ["alpha beta gamma delta epsilon zeta", "gamma delta epsilon zeta eta theta"][i % 2 : i % 2 + 1] if i else [mixed]
-        part += ["A line of eleven pages"] if i < 11 else []
-        part += ["A line of twelve pages"] if i < 12 else []
-        pages.append(part)
-    pad = f"<script>{'x' * 40_000}</script>"  # 16 MB for the host
-    rows = [(i, "http://h.example/", pad + "".join(f"<div>{x}</div>" for x in p)) for i, p in enumerate(pages)]
-    got = {r.page_id: r.text.split("\n\n") for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == dict(enumerate(whole_host(pages, main_text.Limits())))
-    assert got[0] == [own(0), mixed, "A line of eleven pages"] and got[20] == [own(20)]
-
-
-def test_article_template_of_large_pages(spark):
-    """The verdict on a template inside articles doesn't depend on the pages' size."""
-    ship(spark)
-    page = lambda i: f"<article><p>Template of all</p><p>{' '.join(f'o{i}x{k}' for k in range(20))}</p></article><script>{'x' * 1_500_000}</script>"
-    df = spark.range(20, numPartitions=5).selectExpr("id AS page_id", "'http://big.example/' AS url").collect()
-    df = spark.createDataFrame([(r.page_id, r.url, page(r.page_id)) for r in df], "page_id long, url string, html string")
-    assert not [r.page_id for r in main_text.main_text(df).collect() if "Template" in r.text or not r.text]
-
-
-PAGES = {
-    '<div class="menu"><a href=x>Home</a></div><div id="content"><h2>Title</h2><p>One  two&nbsp;three<br>four</p><p class="ad">Buy<p>Five &lt;six&gt;</div><div class="comments"><p>nice</div>': ["Title", "One two three four", "Five <six>"],
-    "<body><nav><ul><li>a<li>b<article><h1>T</h1><p>text one</article>": ["T", "text one"],
-    '<body class="has-sidebar"><main><h1>T</h1><article><p>body text</p><aside>x</aside></article></main><div class="sidebar"><article>teaser</article></div>': ["T", "body text"],
-    "<article><p>5 < 6 & 7 &gt; 3</p><!-- c --><script>if(a<b){'</p>'}</script><noscript>js</noscript><p>last": ["5 < 6 & 7 > 3", "last"],
-    "<main><article><h1>T</h1><p>main</p></article><div class='comment-list'><article><p>no</p></article></div></main>": ["T", "main"],
-    "<p>Hello <b>wor</b>ld</p>plain<form><input><label>Mail</label></form>tail": ["Hello world", "plain", "tail"],
-}
-
-
-@pytest.mark.parametrize("page", PAGES)
-def test_page_structure(page):
-    assert [t for t, _ in main_text.page_blocks(page)] == PAGES[page]
-
-
 def test_pipeline(spark):
     """The stages' decisions are those of the queries, each on what the stage before kept."""
     ship(spark)
