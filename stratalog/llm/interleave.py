@@ -27,11 +27,13 @@ from .markup import attributes, scan
 WIDTH = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
 _DIGEST = re.compile(r"^media:sha256:([0-9a-f]{64})$")
-ELEMENT = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
+ELEMENT = "struct<position:int,kind:string,text:string,digest:string,caption:string,src:string>"
+STORED = "struct<digest:string,data:binary>"
 
 # Elements that end a text, and those that name media.
 _BREAKS = frozenset("address article aside blockquote body br caption dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _MEDIA = frozenset("img audio video source embed".split())
+_ENDS_CAPTION = frozenset("article aside figure footer form h1 h2 h3 h4 h5 h6 header main nav section".split())
 
 
 # --- stored form -----------------------------------------------------------
@@ -86,11 +88,12 @@ def describe(samples: bytes) -> str:
 # --- sequences -------------------------------------------------------------
 
 
-def elements(html: str) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, 'text' or 'media', text, digest, caption) in page order, positions gapless from 0.
+def elements(html: str) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:
+    """(position, 'text' or 'media', text, digest, caption, src) in page order, positions gapless from 0.
 
     A caption is the figcaption of the reference's figure, else its alt text, else null; a figcaption is no
-    text element. References that name no digest are left out.
+    text element unless its figure has no reference. One that isn't closed ends with its figure or where a section or heading begins or ends.
+    A reference that names no digest keeps its src, with a null digest.
     """
     out: list[list] = []
     text: list[str] = []
@@ -101,41 +104,49 @@ def elements(html: str) -> list[tuple[int, str, str | None, str | None, str | No
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append([len(out), "text", joined, None, None])
+            out.append([len(out), "text", joined, None, None, None])
+
+    def end_caption() -> None:
+        nonlocal caption
+        if caption is None:
+            return
+        joined, caption = " ".join("".join(caption).split()), None
+        for i in figure:
+            out[i][4] = joined or out[i][4]
+        if joined and not figure:
+            out.append([len(out), "text", joined, None, None, None])
 
     for kind, tag, raw, _ in scan(html):
         if kind == "text":
             (text if caption is None else caption).append(raw)
         elif kind == "start" and tag in _MEDIA:
             a = attributes(raw)
-            name = _DIGEST.match(a.get("src", ""))
-            if name:
+            if a.get("src"):
                 flush()
+                name = _DIGEST.match(a["src"])
                 figure.append(len(out))
-                out.append([len(out), "media", None, name[1], a.get("alt") or None])
+                out.append([len(out), "media", None, name[1] if name else None, a.get("alt") or None, a["src"]])
         elif tag == "figcaption":
-            if kind == "start":
-                flush()
-                caption = []
-            elif caption is not None:
-                joined = " ".join("".join(caption).split())
-                for i in figure:
-                    out[i][4] = joined or out[i][4]
-                caption = None
+            flush()
+            end_caption()
+            caption = [] if kind == "start" else None
         elif tag in _BREAKS:
+            if tag in _ENDS_CAPTION:
+                end_caption()
             if tag == "figure":
+                flush()
                 figure.clear()
-                caption = None
             (flush if caption is None else lambda: caption.append(" "))()
     flush()
+    end_caption()
     return [tuple(x) for x in out]
 
 
 def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``elements``, the ordered elements of each row's HTML, in place of it."""
     at, names = pages.columns.index(html_col), [c for c in pages.columns if c != html_col]
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-    fields = ("position", "kind", "text", "digest", "caption")
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("src", pa.string())]))
+    fields = ("position", "kind", "text", "digest", "caption", "src")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,51 +160,69 @@ def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def resolve(rows: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """Each media element of ``rows`` (``id_col``, elements) with the columns of ``media`` (digest, unique, and more).
 
-    One row for each reference: id_col, position, caption, n_elements, what media says of the digest (null
-    where it is unknown). Digests that a large share of the documents have are joined without a shuffle.
+    One row for each reference: id_col, position, caption, src, n_elements, what media says of the digest (null
+    where it is unknown or there is none). Digests that a large share of the documents have are joined without a shuffle. The references are stored first, so pages are parsed once.
     """
     one = F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")
-    refs = rows.select(id_col, F.size("elements").alias("n_elements"), one).select(id_col, "n_elements", "e.position", "e.digest", "e.caption")
-    return heavy_lookup(refs, media, "digest")
+    refs = rows.select(id_col, F.size("elements").alias("n_elements"), one).select(id_col, "n_elements", "e.position", "e.digest", "e.caption", "e.src")
+    return heavy_lookup(saved(refs, "references"), media, "digest")
 
 
 # --- documents as media ----------------------------------------------------
 
 
+def badge(n: int) -> bytes:
+    """The payload of the picture that pages of texts of the same order of magnitude share."""
+    return f"texts below {1 << n.bit_length()} bytes".encode().ljust(WIDTH, b"\0")
+
+
+def page_of(text: str, n: int, payload: str, shared: str) -> str:
+    """The HTML of a document: title, lead, the picture of its text with a caption, its last line with the badge of its size inside, and a note."""
+    start, end = (entities.escape(" ".join(x.split())[:80]) for x in (text[:200], text[-200:]))
+    figure = f'<figure><img src="media:sha256:{payload}" alt="text"><figcaption>text of {n} bytes</figcaption></figure>'
+    return f'<article><h1>{start}</h1><p>Begins: {start}</p>{figure}<p>Ends: {end} <img src="media:sha256:{shared}" alt="size of {n} bytes"> as stored</p></article>'
+
+
 def store_documents(docs: DataFrame, path: str) -> None:
-    """Writes, for each document, an HTML page (title, reference, caption) and the PNG of its text to the table ``path``.
+    """Writes, for each document, an HTML page (texts, two references, captions) and the PNGs it refers to to the table ``path``.
 
-    The payload is the text in UTF-8 with zero bytes up to a positive multiple of 64. A task stores equal
-    payloads once; across tasks a digest may be stored again, with equal bytes.
+    The payload is the text in UTF-8 with zero bytes up to a positive multiple of 64; the second picture is shared by all
+    texts of its size. A task stores equal payloads once; across tasks a digest may be stored again, with equal bytes. ``page`` numbers the rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = pa.list_(pa.struct([("digest", pa.string()), ("data", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, str] = {}
+
+        def put(raw: bytes, payload: bytes, new: list[dict]) -> str:
+            known = hashlib.blake2b(raw, digest_size=16).digest()
+            name = seen.get(known)
+            if name is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                stored = to_png(payload)
+                name = seen[known] = hashlib.sha256(stored).hexdigest()
+                new.append({"digest": name, "data": stored})
+            return name
+
         for b in batches:
             ids, arr = b.column("doc_id"), large(b.column("text"))
             for i, j in slices(arr):
-                page, digest, media = [], [], []
+                page, media = [], []
                 for text in arr.slice(i, j - i).to_pylist():
-                    raw = text.encode()
-                    known = hashlib.blake2b(raw, digest_size=16).digest()
-                    name, stored = seen.get(known), None
-                    if name is None:
-                        stored = to_png(raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH)))
-                        name = seen[known] = hashlib.sha256(stored).hexdigest()
-                        if len(seen) > 500_000:
-                            seen.clear()
-                    title = entities.escape(" ".join(text[:200].split())[:80])
-                    page.append(f'<article><h1>{title}</h1><figure><img src="media:sha256:{name}" alt="text"><figcaption>text of {len(raw)} bytes</figcaption></figure></article>')
-                    digest.append(name)
-                    media.append(stored)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(page, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
-
-    docs.mapInArrow(run, f"doc_id {id_type}, html string, digest string, media binary").write.option("compression", "snappy").parquet(path)
+                    raw, new = text.encode(), []
+                    own = put(raw, raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH)), new)
+                    page.append(page_of(text, len(raw), own, put(b"badge " + badge(len(raw)), badge(len(raw)), new)))
+                    media.append(new)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(page, pa.string()), pa.array(media, kind)], names=["doc_id", "html", "media"])
+
+    pages = docs.mapInArrow(run, f"doc_id {id_type}, html string, media array<{STORED}>").withColumn("page", F.monotonically_increasing_id())
+    pages.write.option("compression", "snappy").parquet(path)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored PNGs, unique on digest.
+    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored PNGs (digest, data), unique on digest.
 
     A file whose bytes don't have its digest is an error.
     """
@@ -214,11 +243,12 @@ def media_features(media: DataFrame) -> DataFrame:
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     ddl = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.where("media is not null").select("digest", "media").mapInArrow(run, ddl).dropDuplicates(["digest"])
+    return media.select("digest", "data").mapInArrow(run, ddl).dropDuplicates(["digest"])
 
 
 def interleaved_media(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and what ``media_features`` reads back for every document, with position and caption of its reference.
+    """doc_id, n_bytes and what ``media_features`` reads back for every document, and of its page's sequence: position and caption of that reference,
+    n_elements, n_media, and position, caption and payload_sha256 of the second reference.
 
     Documents are stored under ``path`` as pages with media, parsed into sequences and resolved by
     digest. A null text is empty: 64 zero bytes. Repeated rows share media and stay rows of their own; other columns are ignored; an empty table gives an empty result.
@@ -227,6 +257,12 @@ def interleaved_media(docs: DataFrame, path: str | None = None, id_col: str = "d
     path = path or fresh_path(spark, "media")
     store_documents(texts(docs, id_col, text_col), path)
     stored = spark.read.parquet(path)
-    found = resolve(sequences(stored.select("doc_id", "html")), saved(media_features(stored), "features"), "doc_id")
-    n_bytes = F.regexp_extract("caption", r"(\d+) bytes$", 1).cast("long")
-    return found.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    media = saved(media_features(stored.select(F.explode("media").alias("m")).select("m.*")), "features")
+    # the table numbers its rows, so the references of a page meet whatever its doc_id
+    found = resolve(sequences(stored.select(F.struct("page", "doc_id").alias("of"), "html")), media, "of")
+    found = found.select(F.col("of.page").alias("page"), F.col("of.doc_id").alias("doc_id"), "n_elements", F.struct("position", "caption", *media.columns[1:]).alias("ref"))
+    found = found.groupBy("page").agg(F.first("doc_id").alias("doc_id"), F.first("n_elements").alias("n_elements"), F.array_sort(F.collect_list("ref")).alias("refs"))
+    own, other = F.col("refs")[0], F.col("refs")[1]
+    n_bytes = F.regexp_extract(own["caption"], r"(\d+) bytes$", 1).cast("long")
+    more = [F.size("refs").alias("n_media"), other["position"].alias("badge_position"), other["caption"].alias("badge_caption"), other["payload_sha256"].alias("badge_sha256")]
+    return found.select("doc_id", n_bytes.alias("n_bytes"), *(own[c].alias(c) for c in (*media.columns[1:], "position", "caption")), "n_elements", *more)

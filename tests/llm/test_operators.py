@@ -159,6 +159,9 @@ def test_archives(spark):
     ship(spark)
     rows = [(1, "u", "x"), (2, None, "x"), (3, "http://a b/", None), (4, "u", ""), (None, "u", "x"), (1, "u", "x"), (9, "u", "é" * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    named = df.withColumn("page_id", F.concat(F.lit("päge /:> "), F.col("page_id").cast("string")))  # ids of another type, with characters that headers refuse
+    texts = {(r.page_id, r.refers_to) for r in archives.archive_round_trip(named).collect()}
+    assert texts == {(None if k is None else f"päge /:> {k}", None if f is None else f"päge /:> {f}") for k, f in ((1, None), (2, 1), (3, None), (4, 3), (None, None), (9, None))}
     got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in archives.archive_round_trip(df).collect())
     assert got == [(0, "response", None, 1), (1, "response", None, 1), (1, "response", None, 1), (2, "revisit", 1, 1), (3, "response", None, 0), (4, "revisit", 3, 0), (9, "response", None, 100_000)]
 
@@ -223,6 +226,10 @@ def test_media(spark, odd):
         assert (got[k]["n_bytes"], got[k]["payload_sha256"], got[k]["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         png = interleave.to_png(payload)
         assert interleave.from_png(png) == payload and got[k]["media_sha256"] == hashlib.sha256(png).hexdigest()
+        # a picture of its own and one that texts of its size share, in order, between texts; an empty text has no title
+        first = 1 + bool(raw.strip())
+        want = (first, f"text of {len(raw)} bytes", first + 4, 2, first + 2, f"size of {len(raw)} bytes", hashlib.sha256(interleave.badge(len(raw))).hexdigest())
+        assert tuple(got[k][c] for c in ("position", "caption", "n_elements", "n_media", "badge_position", "badge_caption", "badge_sha256")) == want
     with pytest.raises((ValueError, struct.error, zlib.error)):
         interleave.from_png(png[:-20] + b"\0" * 20)
 
@@ -230,12 +237,18 @@ def test_media(spark, odd):
 def test_interleaved_elements(spark):
     a, b = "a" * 64, "b" * 64
     page = f'<p>One<img src="media:sha256:{a}" alt="alt">two</p><figure><img src="media:sha256:{b}"><figcaption>A <b>cap</b></figcaption></figure><img src="x.png"><p>three'
-    assert interleave.elements(page) == [(0, "text", "One", None, None), (1, "media", None, a, "alt"), (2, "text", "two", None, None), (3, "media", None, b, "A cap"), (4, "text", "three", None, None)]
+    assert [x[:5] for x in interleave.elements(page)] == [(0, "text", "One", None, None), (1, "media", None, a, "alt"), (2, "text", "two", None, None), (3, "media", None, b, "A cap"), (4, "media", None, None, None), (5, "text", "three", None, None)]
+    assert [x[5] for x in interleave.elements(page) if x[1] == "media"] == [f"media:sha256:{a}", f"media:sha256:{b}", "x.png"]
+    short = lambda h: [x[2] or (x[5], x[4]) for x in interleave.elements(h)]
+    assert short("<figure><p>only words</p><figcaption>no picture</figcaption></figure>after") == ["only words", "no picture", "after"]
+    assert short("<figure><img src=1><figcaption>open</figure><p>next</p>") == [("1", "open"), "next"]
+    assert short("<figure><img src=1><img src=2><figcaption>both<h2>Head</h2>tail") == [("1", "both"), ("2", "both"), "Head", "tail"]
     ship(spark)
     pages = interleave.sequences(spark.createDataFrame([(1, page), (2, None), (3, page)], "page_id long, html string"))
     media = spark.createDataFrame([(b, 7)], "digest string, bytes int")
-    got = sorted((r.page_id, r.position, r.caption, r.bytes) for r in interleave.resolve(pages, media, "page_id").collect())
-    assert got == [(1, 1, "alt", None), (1, 3, "A cap", 7), (3, 1, "alt", None), (3, 3, "A cap", 7)]
+    got = sorted(((r.page_id, r.position, r.caption, r.bytes) for r in interleave.resolve(pages, media, "page_id").collect()), key=lambda x: x[:2])
+    want = [(1, "alt", None), (3, "A cap", 7), (4, None, None)]
+    assert got == [(k, *x) for k in (1, 3) for x in want]
 
 
 def test_shards(spark, odd):
@@ -250,6 +263,24 @@ def test_shards(spark, odd):
         assert max(sums) - min([*sums, 0][: len(sums)]) <= 1.05 * max(r.size for r in rows)
 
 
+def test_shards_are_what_the_texts_say(spark):
+    """Sizes and sums recomputed, more cuts than a fixed depth of the search allows, and one text that fills shards by itself."""
+    ship(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = QUERIES["op8_sampled_splitters"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "bytes", None) and 0 <= r.shard < 40 for r in rows)
+    sums = Counter()
+    for r in rows:
+        sums[r.shard] += r.size
+    assert len(sums) == 40 and max(sums.values()) - min(sums.values()) < max(r.size for r in rows)
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("the same text")).otherwise(F.col("id").cast("string")).alias("text"))
+    shards = {r.shard: r for r in sharding.shard_by_bytes(many, 2500).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("d")).collect()}
+    assert len(shards) == 2500 and max(r.b for r in shards.values()) - min(r.b for r in shards.values()) <= 40
+    assert all(r.n == r.d == r.top + 1 for r in shards.values())
+
+
 def brute_rules(text: str) -> tuple[int, int, int]:
     w = [x for x in re.split("[\x20\x09-\x0d]+", text) if x]
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
