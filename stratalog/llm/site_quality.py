@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence and what its site and path show.
 
-1. A logistic model over the shape of a text (symbols, shouting, repetition, ...), fitted on a bounded
+1. A logistic model over a text's hashed byte trigrams and its shape (symbols, shouting, repetition, ...), fitted on a bounded
    sample of labelled documents, gives each document its log-odds.
 2. Grouped sums of the probabilities by path, by host and over all give each level's mean. The
    strength of a prior is estimated from the spread between groups beyond what sampling explains
@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, large, salted_lookup, slices
-from .toxicity import Settings as SolverSettings
-from .toxicity import held_out, solve
+from .common import checkpointed, large, mix, raw_bytes, salted_lookup, slices
+from .toxicity import labelled_rows, newton, held_out
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -31,7 +30,9 @@ _NOISE = re.compile(r"[#%&$*@^~=<>]{2,}$")
 _PARTS = ("log_words", "word_length", "noise", "shouts", "bars", "adjacent", "dup_lines", "upper", "digits", "symbols", "distinct", "top_word")
 #: Of each share, besides itself, whether it is over these.
 _STEPS = (0.05, 0.2, 0.5)
-N_FEATURES = len(_PARTS) * (1 + len(_STEPS))
+#: Buckets that trigrams are hashed to.
+GRAMS = 256
+N_FEATURES = len(_PARTS) * (1 + len(_STEPS)) + GRAMS
 
 
 @dataclass(frozen=True)
@@ -82,9 +83,26 @@ def shape(text: str) -> list[float]:
     ]
 
 
-def shapes(texts: list[str]) -> np.ndarray:
-    base = np.array([shape(t) for t in texts], float).reshape(-1, len(_PARTS))
-    return np.hstack([base, *(base > s for s in _STEPS)])
+def grams(arr: pa.Array, rows: int = 1024) -> np.ndarray:
+    """The root of the share of each bucket among the trigrams of bytes (A-Z as a-z) of each text; all 0 for fewer than 3 bytes."""
+    out = np.zeros((len(arr), GRAMS), np.float32)
+    for i in range(0, len(arr), rows):
+        data, off = raw_bytes(arr.slice(i, rows))
+        n, low = len(off) - 1, np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
+        if len(low) < 3:
+            continue
+        bucket = (mix(low[:-2] | low[1:-1] << np.uint64(8) | low[2:] << np.uint64(16)) % np.uint64(GRAMS)).astype(np.int64)
+        row = np.repeat(np.arange(n), np.diff(off))
+        same = row[:-2] == row[2:]  # no trigram crosses texts
+        counts = np.bincount(row[:-2][same] * GRAMS + bucket[same], minlength=n * GRAMS).reshape(n, GRAMS)
+        out[i : i + n] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    return out
+
+
+def shapes(arr: pa.Array) -> np.ndarray:
+    """The features of texts (large_string without nulls): shape, whether it is over the steps, trigrams."""
+    base = np.array([shape(t) for t in arr.to_pylist()], np.float32).reshape(-1, len(_PARTS))
+    return np.hstack([base, *(base > s for s in _STEPS), grams(arr)]).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "quality") -> Model:
@@ -93,26 +111,27 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     Repeated label rows count once, the largest label; null labels are ignored. With one class or none
     the model is the smoothed share of label 1. At most about ``max_rows`` rows reach the driver, as numbers.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    total = marks.count()
-    if total > settings.max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * settings.max_rows / total))
-    # about max_rows ids and labels at most, so a broadcast; the texts aren't shuffled
-    rows = docs.join(F.broadcast(marks), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = labelled_rows(docs, labels, label_col, settings.max_rows).select("label", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = shapes(large(b.column(1)).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
-
-    # max_rows rows at most; sorted here so that a fit is repeatable
-    seen = sorted(rows.mapInArrow(run, "label int, x array<double>").collect(), key=lambda r: (r["label"], r["x"]))
-    y = np.array([r["label"] for r in seen], float)
+            text = large(b.column(1))
+            for i, j in slices(text):
+                x = shapes(text.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+
+    # max_rows rows of about a kilobyte at most; sorted here so that a fit is repeatable
+    seen = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(run, "label int, x binary").collect())
+    y = np.array([label for label, _ in seen], float)
     if not 0 < y.sum() < len(y):
         return Model(math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), (0.0,) * N_FEATURES)
-    x = np.array([r["x"] for r in seen], float)
-    w = solve(x, y, np.zeros((0, N_FEATURES)), SolverSettings(ridge=settings.ridge))
+
+    def blocks(size: int = 1024) -> Iterator[tuple[np.ndarray, slice]]:
+        for at in range(0, len(seen), size):
+            part = np.frombuffer(b"".join(x for _, x in seen[at : at + size]), np.float32).reshape(-1, N_FEATURES)
+            yield np.hstack([np.ones((len(part), 1)), part]), slice(at, at + size)
+
+    w = newton(blocks, y, np.ones(len(y)), np.zeros((N_FEATURES,) * 2), settings.ridge)
     return Model(float(w[0]), tuple(map(float, w[1:])))
 
 
@@ -124,7 +143,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = large(b.column(3))
-            z = [model.log_odds(shapes(text.slice(i, j - i).to_pylist())) for i, j in slices(text)]
+            z = [model.log_odds(shapes(text.slice(i, j - i))) for i, j in slices(text)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate(z) if z else np.zeros(0))], names=["doc_id", "host", "path", "z"])
 
     out = rows.mapInArrow(run, f"doc_id {id_type}, host string, path string, z double")

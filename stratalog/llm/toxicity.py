@@ -89,18 +89,20 @@ class Model:
         """A function from a text to its score that remembers which features a word gives."""
         names = list(self.weights)
         place, weights = {w: i for i, w in enumerate(names)}, [self.weights[w] for w in names]
+        heads = {w[:4] for w in names}  # a word gives features that begin as it does
         cache: dict[str, tuple[int, ...]] = {}
 
         def score(text: str) -> float:
             hits: set[int] = set()
             for w in set(_WORD.findall(text.lower())):
+                if w[:4] not in heads:
+                    continue
                 own = cache.get(w)
                 if own is None:
                     if len(cache) >= max_cached:
                         cache.clear()
                     own = cache[w] = tuple(place[f] for f in features({w}) if f in place)
-                if own:
-                    hits.update(own)
+                hits.update(own)
             z = self.bias + math.fsum(weights[i] for i in hits)
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -197,10 +199,11 @@ def solve_sparse(hits: list[list[int]], width: int, y: np.ndarray, weight: np.nd
         for at in range(0, len(hits), block):
             yield _dense([(h, 1.0) for h in hits[at : at + block]], width), slice(at, at + block)
 
-    return _newton(blocks, y, weight, quad, ridge)
+    return newton(blocks, y, weight, quad, ridge)
 
 
-def _newton(blocks: Callable[[], Iterator[tuple[np.ndarray, slice]]], y: np.ndarray, weight: np.ndarray, quad: np.ndarray, ridge: float) -> np.ndarray:
+def newton(blocks: Callable[[], Iterator[tuple[np.ndarray, slice]]], y: np.ndarray, weight: np.ndarray, quad: np.ndarray, ridge: float) -> np.ndarray:
+    """Bias and weights of a logistic model; ``blocks()`` gives the rows' features after a column of ones, and which rows they are, block by block."""
     width = len(quad) + 1
     fixed = np.diag(np.append(1e-6, np.full(width - 1, ridge)))
     fixed[1:, 1:] += quad
@@ -223,7 +226,7 @@ def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, settings: Settings, w
     weight = np.ones(len(x)) if weight is None else weight
     quad = settings.swap_penalty * weight.sum() * (swaps.T @ swaps) if len(swaps) else np.zeros((x.shape[1],) * 2)
     whole = np.hstack([np.ones((len(x), 1)), x])
-    return _newton(lambda: iter([(whole, slice(None))]), y, weight, quad, settings.ridge)
+    return newton(lambda: iter([(whole, slice(None))]), y, weight, quad, settings.ridge)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
