@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from .sharding import shard_by_bytes
 from .toxicity import fit, toxicity_scores
 
 #: Folder of the public vocabulary files, on every executor.
-TOKENIZERS = os.environ.get("STRATALOG_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
+TOKENIZERS = os.environ.get("STRATALOG_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,24 +121,28 @@ gram AS (
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 covered AS (
   SELECT doc_id, count(DISTINCT i + d) AS n FROM gram, range(5) AS t(d) WHERE n > 1 GROUP BY 1),
+far AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(ws[i:i + 9], ' '))) AS n FROM gram WHERE n > 1 AND i + 9 <= len(ws)), range(10) AS t(d)
+  WHERE n > 1 GROUP BY 1),
 long AS (  -- a repeat of 101 words begins where one of 5 begins
   SELECT DISTINCT doc_id FROM gram WHERE n > 1 AND i + 100 <= len(ws)
   GROUP BY doc_id, md5(array_to_string(ws[i:i + 100], ' ')) HAVING count(*) > 1),
 base AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, l.doc_id IS NOT NULL AS too_long
-  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN long l ON l.doc_id = w.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(f.n, 0)::BIGINT AS n_long_words, l.doc_id IS NOT NULL AS too_long
+  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN far f ON f.doc_id = w.doc_id LEFT JOIN long l ON l.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_long_words, too_long,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR too_long) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR too_long OR 100 * n_long_words > 10 * n_words) AS kept
 FROM base
 """
 
 
 @query("op9_suffix_array_rules", _RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).drop("covered_fraction", "longest_repeat")
+    return quality_rules(documents(spark, sf_dir)).drop("covered_fraction", "longest_repeat")  # what SQL can't say in reasonable time
 
 
 @query("op7_interleaved_media")

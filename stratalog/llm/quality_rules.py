@@ -21,7 +21,7 @@ from .common import filter_text, map_text, mix, texts, words
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "covered_fraction double, longest_repeat long, kept boolean"
+    "n_long_words long, covered_fraction double, longest_repeat long, too_long boolean, kept boolean"
 )
 
 _SYMBOL = np.zeros(256, bool)
@@ -30,15 +30,17 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Limits:
-    """What a document may hold. Repeats count from ``window`` words on.
+    """What a document may hold. Repeats count from ``window`` words on, long ones from ``long_window``.
 
-    ``max_repeat_percent`` bounds the words that repeated windows cover; ``max_longest_repeat``
-    bounds the words of the longest passage that occurs twice.
+    ``max_repeat_percent`` bounds the words that repeats cover (the base rule). The method's own, stricter limits: ``max_long_percent``
+    bounds the words that long repeats cover, ``max_longest_repeat`` the words of the longest passage that occurs twice.
     """
 
     min_words: int = 10
     window: int = 5
     max_repeat_percent: int = 20
+    long_window: int = 10
+    max_long_percent: int = 10
     max_longest_repeat: int = 100
 
 
@@ -130,24 +132,29 @@ def measures(arr: pa.Array, limits: Limits) -> list[np.ndarray]:
         n_dup[i] = len(lines) - len(set(lines))
 
     depth = longest_repeats(word, first)
-    hit = np.flatnonzero(depth >= limits.window)
-    change = np.zeros(len(word) + 1, np.int64)
-    np.add.at(change, hit, 1)
-    np.subtract.at(change, hit + depth[hit], 1)
-    repeat = _sums(np.cumsum(change[:-1]) > 0, first)
+
+    def covered(window: int) -> np.ndarray:
+        hit = np.flatnonzero(depth >= window)
+        change = np.zeros(len(word) + 1, np.int64)
+        np.add.at(change, hit, 1)
+        np.subtract.at(change, hit + depth[hit], 1)
+        return _sums(np.cumsum(change[:-1]) > 0, first)
+
+    repeat, long = covered(limits.window), covered(limits.long_window)
     longest = np.zeros(len(arr), np.int64)
     np.maximum.at(longest, np.repeat(np.arange(len(arr)), n_words), depth)
     failed = (n_words < limits.min_words) | (100 * repeat > limits.max_repeat_percent * n_words)
-    kept = ~failed & (longest <= limits.max_longest_repeat)
-    return [n_words, word_chars, n_symbols, n_dup, repeat, failed, repeat / np.maximum(n_words, 1), longest, kept]
+    too_long = longest > limits.max_longest_repeat
+    kept = ~failed & ~too_long & (100 * long <= limits.max_long_percent * n_words)
+    return [n_words, word_chars, n_symbols, n_dup, repeat, failed, long, repeat / np.maximum(n_words, 1), longest, too_long, kept]
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id with ``FIELDS``: the base counts, what maximal repeats cover, the longest one and the verdict.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are. ``covered_fraction`` is the share of
-    words in repeats of ``window`` words or more (overlaps count once, the first occurrence too);
-    ``longest_repeat`` may overlap itself. A null text counts as empty and fails for its length.
+    words in repeats of ``window`` words or more (overlaps count once, the first occurrence too), ``n_long_words`` the words in repeats of
+    ``long_window`` or more; ``longest_repeat`` may overlap itself. A null text counts as empty and fails for its length.
     Rows are judged one by one, so repeated rows and ids get equal results; other columns are
     ignored and an empty table gives an empty result.
     """
