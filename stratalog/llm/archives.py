@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -109,15 +110,25 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(key: object) -> str:
+    """``urn:page:`` and the key, quoted; a null key is ``urn:page-none``."""
+    return "urn:page-none" if key is None else f"urn:page:{quote(str(key), safe='')}"
+
+
+def key_of(name: str | None) -> str | None:
+    """The key, as text, of what ``<urn(key)>`` says; null for none."""
+    return unquote(name[len("<urn:page:") : -1]) if name is not None and name.startswith("<urn:page:") else None
+
+
 def warc_record(key: object, url: str | None, payload: bytes, refers_to: object | None) -> bytes:
     """A response with its payload, or a revisit that names the response; both keep the HTTP header and full digest."""
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{key}")
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or urn(key))
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{key}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn(key)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if refers_to is None:
         block += payload
     else:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{urn(refers_to)}>"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -164,7 +175,7 @@ def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
                 record = warc_record(key, url, payload, refers)
                 packer = zlib.compressobj(6, wbits=31)
                 packed = packer.compress(record) + packer.flush()
-                index.append(f"{'' if key is None else key} {json.dumps({'offset': len(data), 'length': len(packed)})}\n")
+                index.append(f"{urn(key)} {json.dumps({'offset': len(data), 'length': len(packed)})}\n")
                 data.extend(packed)
                 if len(data) >= archive_bytes:
                     yield archive()
@@ -208,14 +219,13 @@ def locate_records(spark: SparkSession, path: str) -> DataFrame:
     return listing.mapInArrow(run, "archive string, offset long, length long")
 
 
-def read_records(records: DataFrame, with_payload: bool = True) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and the payload (null for a revisit), read by range.
+def read_records(records: DataFrame, with_payload: bool = True, id_type: str = "long") -> DataFrame:
+    """page_id (of type ``id_type``), url, record_type, refers_to, payload_bytes, payload_digest and the payload (null for a revisit), read by range.
 
     A response whose payload doesn't have its recorded digest or length is an error.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    number = lambda urn: None if urn is None or urn.endswith(":None>") else int(urn.rpartition(":")[2][:-1])
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files()
@@ -229,12 +239,13 @@ def read_records(records: DataFrame, with_payload: bool = True) -> DataFrame:
                     if warc["warc-type"] == "response" and (len(payload) != size or payload_digest(payload) != digest):
                         raise ValueError(f"damaged record {warc['warc-record-id']} in {place[0]}")
                     kept = payload if warc["warc-type"] == "response" else None
-                    rows.append((number(warc["warc-record-id"]), warc["warc-target-uri"], warc["warc-type"], number(warc.get("warc-refers-to")), size, digest, kept))
+                    rows.append((key_of(warc["warc-record-id"]), warc["warc-target-uri"], warc["warc-type"], key_of(warc.get("warc-refers-to")), size, digest, kept))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: len(names)], names=names)
 
-    ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
-    return records.select("archive", "offset", "length").mapInArrow(run, ddl + ", payload binary" * with_payload)
+    ddl = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+    out = records.select("archive", "offset", "length").mapInArrow(run, ddl + ", payload binary" * with_payload)
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -242,9 +253,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
 
     A null html is an empty payload, a null url a urn. Of equal payloads the smallest page_id is the
     response; rows that repeat it are responses as well. Rows without a page_id are responses
-    and refer to nothing. Other columns are ignored; an empty table leaves no archive and gives no row.
+    and refer to nothing. Ids of any type that its text gives back are kept as they are. Other columns are ignored; an empty table leaves no archive and gives no row.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write_archives(with_revisits(pages, min_bytes), path)
-    return read_records(locate_records(spark, path), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(locate_records(spark, path), False, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -2,7 +2,7 @@
 
 A document is tokenized once; its hashed token counts are projected to ``DIMS`` numbers, scaled by
 the corpus's mean and deviation and quantised to a cell of a grid. Documents are range-sorted by
-the cell's Hilbert key, and each range is cut into sequences of ``length`` tokens from its start
+the cell's Hilbert key into as many ranges as their tokens ask for, and each range is cut into sequences of ``length`` tokens from its start
 to its end, so neighbours on the curve, being of like content, share sequences and only the last
 sequence of a range can be short.
 """
@@ -24,6 +24,8 @@ from .common import checkpointed, map_text, texts
 
 DIMS, LEVELS, HASH_SIZE = 4, 8, 4096
 LENGTH, END = 1024, 0
+#: Stored token bytes of a range of the curve, and the ranges there are at most.
+RANGE_BYTES, RANGES = 16 << 20, 50_000
 
 # Fixed value: how byte-level vocabularies of this kind cut a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,7 +114,7 @@ def pack_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str =
     packed once each. Other columns are ignored; an empty table gives an empty result.
     """
     tokens = checkpointed(tokenized(texts(docs, id_col, text_col), path))
-    stats = tokens.agg(*[f(f"v{d}").alias(f"{f.__name__}{d}") for d in range(DIMS) for f in (F.mean, F.stddev_pop)]).first()
+    stats = tokens.agg(*[f(f"v{d}").alias(f"{f.__name__}{d}") for d in range(DIMS) for f in (F.mean, F.stddev_pop)], F.sum(F.octet_length("ids")).alias("bytes")).first()
     spread = [(round(stats[f"mean{d}"] or 0.0, 6), round(stats[f"stddev_pop{d}"] or 0.0, 6) or 1.0) for d in range(DIMS)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,8 @@ def pack_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str =
     cells = tokens.select("doc_id", "n", "ids", *[_cell(d, *spread[d]).alias(f"c{d}") for d in range(DIMS)])
     id_type = tokens.schema["doc_id"].dataType.simpleString()
     curve = cells.mapInArrow(keyed, f"doc_id {id_type}, n long, ids binary, curve_key long")
-    curve = curve.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id").withColumn("part", F.spark_partition_id())
+    ranges = min(max(-(-(stats["bytes"] or 0) // RANGE_BYTES), 1), RANGES)
+    curve = curve.repartitionByRange(ranges, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id").withColumn("part", F.spark_partition_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0

@@ -40,13 +40,11 @@ def _quantiles(sample: DataFrame, every: int, by: tuple[str, ...] = ()) -> DataF
 
 
 def _ranged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``range``: how many cuts are at or below the row's key, by binary search in one array.
-
-    The array holds a few thousand keys at most, as many as ``shards`` asks for.
-    """
+    """``range``: how many cuts are at or below the row's key, by binary search in one array, however many ``shards`` asks for."""
+    n = cuts.count()
     rows = rows.withColumn("cuts", cuts.agg(F.sort_array(F.collect_list("cut"))).scalar())
     key = F.struct(*_KEY)
-    steps = F.array(*[F.lit(1 << b) for b in range(14, -1, -1)])
+    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)]) if n else F.array().cast("array<int>")
 
     def advance(at: Column, step: Column) -> Column:
         ok = (at + step <= F.size("cuts")) & (F.get("cuts", at + step - 1) <= key)
