@@ -7,7 +7,7 @@
    block where it is short or inside an article. A host's streams are concatenated, one after the other with a separator of its own
    each, and sorted into a suffix array, whose intervals of a common prefix of ``window`` tokens (or of one whole block) are
    the long substrings that several places share; the distinct pages of each interval are counted. The union of those windows is
-   what all repeats of ``window`` tokens or more cover. A host beyond ``chunk_tokens`` is cut into chunks, an array for each, and
+   what all repeats of ``window`` tokens or more cover. A host beyond ``chunk_tokens`` or ``chunk_pages`` is cut into chunks, an array for each, and
    the counts of equal windows are summed over the chunks; a page and its copies lie in one chunk, so the sums are those of one array.
 3. What enough pages share goes: a suspect block's parts from two pages on; what no article or main part holds from a number of pages on,
    or half of a small host; inside an article only blocks that nearly all pages and many of them have whole, since
@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -80,7 +81,7 @@ OPEN, INSIDE, SUSPECT = 0, 1, 2
 class Limits:
     """``window``: tokens of the shortest repeat, a power of two. Outside articles it goes if ``many`` distinct pages of the host have it, or the share
     ``share`` of them if those are fewer, and ``pages`` at least; inside if ``article_pages`` and the share ``article_share`` have the whole
-    block; in suspect blocks if ``suspect_pages`` do. ``chunk_tokens`` bounds one suffix array and changes no result.
+    block; in suspect blocks if ``suspect_pages`` do. ``chunk_tokens`` and ``chunk_pages`` bound one suffix array and change no result.
     """
 
     window: int = 16
@@ -92,6 +93,7 @@ class Limits:
     suspect_pages: int = 2
     link_share: float = 0.6
     chunk_tokens: int = 1 << 20
+    chunk_pages: int = 512
 
 
 def _named(name: str, inside: bool) -> tuple[bool, bool]:
@@ -264,13 +266,17 @@ def stream(blocks: list[tuple[str, int]], host: int, window: int) -> tuple[np.nd
     return mix(np.array(tokens, np.uint64) ^ np.uint64(host & (2**64 - 1))), np.array(kinds, np.int8), np.array(room, np.int32)
 
 
+@cache
+def _factors(window: int) -> np.ndarray:
+    return np.random.default_rng(17).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def windows(tokens: np.ndarray, room: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window or a whole block begins, and their keys: equal for equal windows of a host."""
     long, whole = np.flatnonzero(room >= window), np.flatnonzero(room == 0)
-    factors = np.random.default_rng(17).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     keys = np.zeros(len(long), np.uint64)
-    for k in range(window):
-        keys += tokens[long + k] * factors[k]
+    for k, factor in enumerate(_factors(window) if len(long) else ()):
+        keys += tokens[long + k] * factor
     return np.concatenate([long, whole]), mix(np.concatenate([keys, tokens[whole] ^ np.uint64(_WHOLE)])).view(np.int64)
 
 
@@ -337,7 +343,7 @@ def verdicts(streams: DataFrame, limits: Limits) -> DataFrame:
     A key covers its host. The counts of a host's chunks are partial sums; nothing but keys and counts leaves a chunk.
     """
     sizes = streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("tokens") + 1).alias("tokens"))
-    sizes = sizes.where("pages > 1").select("host", "pages", F.ceil(F.col("tokens") / limits.chunk_tokens).cast("int").alias("chunks"))
+    sizes = sizes.where("pages > 1").select("host", "pages", F.ceil(F.greatest(F.col("tokens") / limits.chunk_tokens, F.col("pages") / limits.chunk_pages)).cast("int").alias("chunks"))
     rows = salted_lookup(streams, sizes, "host", F.col("page")).where("chunks is not null")
     rows = rows.select("host", F.pmod("page", "chunks").alias("chunk"), "chunks", "page", "tokens", "room")
     least = min(limits.pages, limits.article_pages, limits.suspect_pages)
