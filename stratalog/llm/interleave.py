@@ -160,11 +160,11 @@ def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def resolve(rows: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """Each media element of ``rows`` (``id_col``, elements) with the columns of ``media`` (digest, unique, and more).
 
-    One row for each reference: id_col, position, caption, src, n_elements, what media says of the digest (null
+    One row for each reference: id_col, position, caption, src (where it names no digest), n_elements, what media says of the digest (null
     where it is unknown or there is none). Digests that a large share of the documents have are joined without a shuffle. The references are stored first, so pages are parsed once.
     """
     one = F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")
-    refs = rows.select(id_col, F.size("elements").alias("n_elements"), one).select(id_col, "n_elements", "e.position", "e.digest", "e.caption", "e.src")
+    refs = rows.select(id_col, F.size("elements").alias("n_elements"), one).select(id_col, "n_elements", "e.position", "e.digest", "e.caption", F.when(F.col("e.digest").isNull(), F.col("e.src")).alias("src"))
     return heavy_lookup(saved(refs, "references"), media, "digest")
 
 
