@@ -70,7 +70,7 @@ def to_hex(data: Column) -> Column:
 
 def from_hex(text: Column) -> Column:
     """Bytes of hexadecimal text; an odd length is an error."""
-    return F.when(F.length(text) % 2 == 0, F.unhex(text)).otherwise(F.raise_error(F.lit("hexadecimal text of odd length")).cast("binary"))
+    return F.when(F.length(text) % 2 == 1, F.raise_error(F.lit("hexadecimal text of odd length")).cast("binary")).otherwise(F.unhex(text))
 
 
 def human_size(size: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default sizes in bytes, and the ratios of content-defined cutting to the average of 1015.
 CHUNK, CONTAINER, COMMIT_BYTES, COMMIT_FILES = 512 * 1024, 4096 * 1024, 50 << 20, 10_000
-TTTD_MIN, TTTD_MAX, TTTD_DIVISOR, TTTD_SECOND, TTTD_UNIT, TTTD_WINDOW = 460, 2800, 540, 270, 1015, 48
+TTTD_MIN, TTTD_MAX, TTTD_DIVISOR, TTTD_UNIT, TTTD_WINDOW = 460, 2800, 540, 1015, 48
 
 
 def fixed_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -22,29 +24,30 @@ def fixed_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def tttd_cuts(data: bytes, average: int) -> list[int]:
-    """Ends of content-defined chunks: where the rolling sum of a window has the divisor's last remainder, past the least size, at the largest size at the latest."""
-    scale = lambda n: max(1, n * average // TTTD_UNIT)
-    least, most, divisor = scale(TTTD_MIN), scale(TTTD_MAX), scale(TTTD_DIVISOR)
-    cuts, start, n = [], 0, len(data)
-    while start < n:
-        a = b = 0
-        end = min(start + most, n)
-        cut = end
-        for at in range(start, end):
-            new = data[at] - 256 if data[at] > 127 else data[at]
-            a, b = a + new, b + a + new
-            if at - start >= TTTD_WINDOW:
-                old = data[at - TTTD_WINDOW]
-                old -= 256 if old > 127 else 0
-                a, b = a - old, b - TTTD_WINDOW * old
-            if at - start + 1 >= least:
-                value = ((a & 0xFFFF) | (b << 16)) & 0xFFFFFFFF
-                value -= (value >> 31) << 32
-                if (abs(value) % divisor) * (1 if value >= 0 else -1) == divisor - 1:
-                    cut = at + 1
-                    break
-        cuts.append(cut)
-        start = cut
+    """Ends of content-defined chunks: where the rolling sum over ``TTTD_WINDOW`` bytes has the divisor's last remainder, past the least size, at the largest size at the latest.
+
+    The sum starts with the window before the byte at the least size, and that byte never enters it. Bytes are signed and the sum is
+    a signed 32-bit number of two halves, so only a positive one can have that remainder. An empty file has no chunk.
+    """
+    least, most, divisor = (math.floor(x * average / TTTD_UNIT + 0.5) for x in (TTTD_MIN, TTTD_MAX, TTTD_DIVISOR))
+    if least < TTTD_WINDOW:
+        raise ValueError(f"chunks of {average} bytes are shorter than the window of {TTTD_WINDOW}")
+    x = np.frombuffer(data, np.int8).astype(np.int64)
+    cuts, start, w = [], 0, TTTD_WINDOW
+    while start < len(x):
+        part = x[start : start + most]
+        seen = np.concatenate([part[least - w : least], part[least + 1 :]])
+        cut = len(part)
+        if len(part) > least:
+            one, two = np.zeros(len(seen) + 1, np.int64), np.zeros(len(seen) + 1, np.int64)
+            one[1:], two[1:] = np.cumsum(seen), np.cumsum(seen * np.arange(len(seen)))
+            low = one[w:] - one[:-w]
+            high = (w + np.arange(len(low))) * low - (two[w:] - two[:-w])
+            value = ((low & 0xFFFF) | (high << 16)) & 0xFFFFFFFF
+            hits = np.flatnonzero((value < 1 << 31) & (value % divisor == divisor - 1))
+            cut = least + int(hits[0]) + 1 if len(hits) else cut
+        start += cut
+        cuts.append(start)
     return cuts
 
 
@@ -86,22 +89,67 @@ def pack_containers(chunks: DataFrame, size: int = CONTAINER, by: str = "commit"
     return lists.select(by, F.inline(F.aggregate("c", start, step, lambda acc: acc["out"])))
 
 
+def container_files(chunks: DataFrame, size: int = CONTAINER, by: str = "commit") -> DataFrame:
+    """``by``, container, content and entries (checksum, offset, size) of the containers that ``pack_containers`` fills from chunks with their ``data``.
+
+    A container has ``size`` bytes and one chunk at most, so it fits a row.
+    """
+    placed = pack_containers(chunks.drop("data"), size, by).join(chunks.select(by, "checksum", "data"), [by, "checksum"])
+    lists = placed.groupBy(by, "container").agg(F.array_sort(F.collect_list(F.struct("checksum", "data"))).alias("c"))
+    begin = lambda i: F.aggregate(F.slice("c", 1, i), F.lit(0), lambda s, x: s + F.octet_length(x["data"]))
+    entries = F.transform("c", lambda x, i: F.struct(x["checksum"].alias("checksum"), begin(i).alias("offset"), F.octet_length(x["data"]).alias("size")))
+    return lists.select(by, "container", F.aggregate("c.data", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"), entries.alias("entries"))
+
+
+def stored_chunks(containers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """checksum, data of the ``wanted`` chunks (checksum) out of ``container_files``; of several places of a chunk one counts."""
+    rows = containers.select("content", F.explode("entries").alias("e")).select("e.*", "content").join(wanted.select("checksum").distinct(), "checksum", "left_semi")
+    return rows.select("checksum", F.substring("content", F.col("offset") + 1, F.col("size")).alias("data")).dropDuplicates(["checksum"])
+
+
+def running(df: DataFrame, by: str, order: str, ties: list[str], value: str, descending: bool = False, ranges: int = 256) -> DataFrame:
+    """``df`` with _sum and _n: the sum of ``value`` and the number of rows of the same ``by`` before each row, by ``order`` and ``ties``; rows without an ``order`` come first, last if ``descending``.
+
+    In two levels, so a group of any size is spread: rows are cut into ranges at quantiles of ``order`` (a number or time), and the totals of the ranges
+    before are added to the sums inside a range. A group's totals are ``ranges`` rows at most.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    below = F.size(F.filter(F.array(*[F.lit(c).cast(df.schema[order].dataType) for c in dict.fromkeys(cuts)]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("_range", F.when(F.col(order).isNull(), 1 if descending else -1).otherwise(-below if descending else below))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(by, "_range").agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
+    totals = totals.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
+    inside = Window.partitionBy(by, "_range").orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_in": F.coalesce(F.sum(value).over(inside), F.lit(0)), "_nth": F.count("*").over(inside)})
+    rows = rows.join(totals, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return rows.select(*df.columns, (F.col("_s0") + F.col("_in")).alias("_sum"), (F.col("_c0") + F.col("_nth")).alias("_n"))
+
+
 def commit_numbers(files: DataFrame, order: str = "file_id", most_bytes: int = COMMIT_BYTES, most_files: int = COMMIT_FILES, by: str = "client") -> DataFrame:
     """``files`` (client, file_id, size) with the commit each falls into: by running bytes and counts of its client's files."""
-    run = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(run), F.lit(0))
-    return files.withColumn("commit", F.greatest(F.floor(before / most_bytes), F.floor(F.count("*").over(run) / most_files)))
+    rows = running(files, by, order, [], "size")
+    return rows.withColumn("commit", F.greatest(F.floor(F.col("_sum") / most_bytes), F.floor(F.col("_n") / most_files))).drop("_sum", "_n")
+
 
+def assemble(refs: DataFrame, chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """file_id and content from ``refs`` (file_id, num, checksum) and stored ``chunks`` (checksum, data).
 
-def assemble(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """file_id and content from ``refs`` (file_id, num, checksum) and stored ``chunks`` (checksum, data); a missing chunk is an error."""
+    A missing chunk is an error, and one whose data doesn't have its checksum. With ``files`` (file_id, checksum; null or no chunk: empty) each of them gives a row,
+    and content that doesn't have the file's checksum is an error. A content lies in one row, as it does in ``files``.
+    """
     rows = refs.join(chunks.select("checksum", "data"), "checksum", "left")
-    data = F.when(F.col("data").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), F.col("checksum"))).cast("binary")).otherwise(F.col("data"))
-    lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", F.hex(data).alias("hex")))).alias("p"))
-    return lists.select("file_id", F.unhex(F.array_join("p.hex", "")).alias("content"))
+    fail = lambda text, *cols: F.raise_error(F.concat(F.lit(text), *cols)).cast("binary")
+    data = F.when(F.col("data").isNull(), fail("missing chunk ", "checksum")).when(F.sha1("data") != F.col("checksum"), fail("damaged chunk ", "checksum")).otherwise(F.col("data"))
+    lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", data.alias("data")))).alias("p"))
+    out = lists.select("file_id", F.aggregate(F.col("p.data"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    if files is None:
+        return out
+    out = files.select("file_id", F.col("checksum").alias("_sum")).join(out, "file_id", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+    wrong = F.col("_sum").isNotNull() & (F.sha1("content") != F.col("_sum"))
+    return out.select("file_id", F.when(wrong, fail("damaged content ", "_sum")).otherwise(F.col("content")).alias("content"))
 
 
 def within_budget(files: DataFrame, budget: int, newest: str = "lastmodified", by: str = "cache") -> DataFrame:
     """Cached files (cache, path, size, lastmodified) that stay: from the newest on, while the sum of sizes is ``budget`` at most."""
-    run = Window.partitionBy(by).orderBy(F.desc(newest), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("_sum", F.sum("size").over(run)).where(F.col("_sum") <= budget).drop("_sum")
+    rows = running(files, by, newest, ["path"], "size", descending=True)
+    return rows.where(F.col("_sum") + F.col("size") <= budget).drop("_sum", "_n")

@@ -134,6 +134,27 @@ def file_action(compared: Column, has_local: Column, local_as_expected: Column,
     return F.when(has_local & ~local_as_expected, F.when(~(has(DELETED) & winner_deleted), do("CHANGE", "changed"))).when(~alike & ~has_local, fresh).when(~alike, known)
 
 
+def reconciled(winner: DataFrame, local: DataFrame, disk: DataFrame) -> DataFrame:
+    """filehistory_id, path, type, action, bucket: what makes the disk as the winning versions say; histories that need nothing give no row.
+
+    ``winner`` and ``local``: the last version of each history, deletions included; ``disk``: a listing. A history that is here but not
+    in ``winner`` any more, after a clean-up elsewhere, is deleted.
+    """
+    here = disk.select("path", F.struct(F.lit(True).alias("exists"), *SIDE[1:]).alias("disk"))
+    won = winner.select("filehistory_id", F.col("path").alias("path"), F.col("type").alias("type"), side(winner, "won"), (F.col("status") == "DELETED").alias("ends"))
+    own = local.select("filehistory_id", F.col("path").alias("own_path"), F.col("type").alias("own_type"), side(local, "own"))
+    rows = won.join(own, "filehistory_id", "full_outer")
+    rows = rows.join(here.select(F.col("path").alias("own_path"), F.col("disk").alias("at_own")), "own_path", "left")
+    rows = rows.join(here.withColumnRenamed("disk", "at_won"), "path", "left")
+    known, gone = F.col("own").isNotNull(), F.col("won").isNull()
+    local_changes = changes(F.col("own"), F.col("at_own"))
+    compared = F.when(~known, changes(F.col("won"), F.col("at_won"))).when(F.size(local_changes) == 0, changes(F.col("won"), F.col("own"))).otherwise(local_changes)
+    act = file_action(compared, known, F.size(local_changes) == 0, F.coalesce("ends", F.lit(False)))
+    act = F.when(gone, F.struct(F.lit("DELETE").alias("action"), F.lit("deleted").alias("bucket"))).otherwise(act)
+    rows = rows.withColumn("act", act).where("act is not null")
+    return rows.select("filehistory_id", F.coalesce("path", "own_path").alias("path"), F.coalesce("type", "own_type").alias("type"), "act.action", "act.bucket")
+
+
 # The order in which kinds of action run.
 ACTION_ORDER = ["DELETE FILE", "DELETE SYMLINK", "NEW FOLDER", "NEW FILE", "NEW SYMLINK", "RENAME FILE", "RENAME SYMLINK", "DELETE FOLDER"]
 
@@ -146,6 +167,7 @@ def ordered_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumn("rank", rank).orderBy("rank", F.when(F.col("action") == "DELETE", F.col("path")).desc_nulls_last(), F.when(F.col("action") != "DELETE", F.col("path")).asc_nulls_last())
 
 
+# Fixed value: the form of such a name.
 def conflict_name(path: Column, user: Column, time: Column) -> Column:
     """``name (user's conflicted copy, 5 Jan 24, 3-07 PM).ext``."""
     note = F.concat(F.lit(" ("), user, F.lit("'s conflicted copy, "), F.date_format(time, "d MMM yy, h-mm a"), F.lit(")"))

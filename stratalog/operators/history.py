@@ -16,6 +16,11 @@ _HALF = {"SS": "500 milliseconds", "MI": "30 seconds", "HH": "30 minutes", "DD":
 INTERVALS = ((3600, "MI"), (3 * 86400, "HH"), (30 * 86400, "DD"))
 
 
+def newest_numbers(store, clients: DataFrame) -> DataFrame:
+    """Largest file number of each of ``clients`` (client), 0 where none is known."""
+    return clients.select("client").distinct().join(highest_known_numbers(store), "client", "left").select("client", F.coalesce("max_number", F.lit(0)).alias("max_number"))
+
+
 def highest_known_numbers(store, compat: bool = False) -> DataFrame:
     """Largest file number of each client; ``compat`` groups by the number as well, which keeps every row."""
     if compat:
@@ -41,9 +46,12 @@ def history_for_path(store, path: str) -> DataFrame:
     return best.join(last, ["filehistory_id", "version"], "left_semi").select("filehistory_id", "version", "path")
 
 
-def histories_by_content(store, checksum: str, min_size: int = 0) -> DataFrame:
-    """Histories whose last version has this content, isn't deleted and has ``min_size`` at least."""
-    return store.fileversion_master_last.where((F.col("filecontent_checksum") == checksum) & (F.col("size") >= min_size))
+def histories_by_content(store, wanted: DataFrame) -> DataFrame:
+    """Last versions that have one of the wanted (checksum, size, lastmodified) and aren't deleted; an older version that has them doesn't count."""
+    keys = wanted.select(F.col("checksum").alias("filecontent_checksum"), "size", "lastmodified").distinct()
+    by = keys.columns
+    found = store.fileversion_master.join(keys, by, "left_semi").groupBy("filehistory_id").agg(F.max("version").alias("version"))
+    return store.fileversion_master_last.join(found, ["filehistory_id", "version"], "left_semi").select(*store.fileversion.columns)
 
 
 def last_version(store, history: str, strict_master: bool = True) -> DataFrame:
@@ -96,18 +104,24 @@ def thinned(store, now: Column, intervals: tuple[tuple[int, str], ...] = INTERVA
     return out.distinct()
 
 
-def list_files(store, path: str | None = None, history: str | None = None, as_of: Column | None = None, recursive: bool = True, deleted: bool = False, types: tuple[str, ...] = ("FILE", "FOLDER", "SYMLINK")) -> DataFrame:
+def list_files(store, path: str | None = None, history: str | None = None, as_of: Column | None = None, recursive: bool = True, deleted: bool = False, types: tuple[str, ...] = ("FILE", "FOLDER", "SYMLINK"), depths: tuple[int, int] | None = None, compat: bool = False) -> DataFrame:
     """The tree as of a time. ``path``: ``^`` and ``*`` stand for anything, else it is a prefix; ``history``: a prefix or whole id.
 
-    Not recursive: as many slashes as the pattern. One partial aggregation by history; the time filter reaches the scan.
+    Not recursive: as many slashes as the pattern; ``depths``: from so many to so many. One partial aggregation by history; the time filter reaches the scan.
+    ``compat``: every row with the number of a last version, also one of a dirty commit.
     """
     rows = store.fileversion_master
     rows = rows.where(F.col("updated") <= as_of) if as_of is not None else rows
     rows = rows.where(F.col("filehistory_id").startswith(history)) if history else rows
-    rows = greatest_per(rows, "filehistory_id", "version").where(F.col("type").isin(*types))
+    rows = greatest_per(rows, "filehistory_id", "version")
+    if compat:
+        rows = store.fileversion.join(rows.select("filehistory_id", "version"), ["filehistory_id", "version"], "left_semi").select(*store.fileversion.columns)
+    rows = rows.where(F.col("type").isin(*types))
+    rows = rows.where(depth(F.col("path")).between(*depths)) if depths else rows
     rows = rows if deleted else rows.where("status <> 'DELETED'")
     if path is not None:
         pattern = path.replace("^", "%").replace("*", "%") if "^" in path or "*" in path else path + "%"
+        pattern = pattern.replace("\\", "\\\\")  # like takes a backslash for an escape
         rows = rows.where(F.col("path").like(pattern))
         if not recursive:
             rows = rows.where(depth(F.col("path")) == pattern.count("/"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clocks import vc_parse
+
 #: Key columns of tables into which the first writer's row counts.
 KEYS = {
     "chunk": ["checksum"],
@@ -26,6 +28,12 @@ def append_numbered(old: DataFrame, new: DataFrame, order: list[str], id_col: st
     return append(old, new.withColumn(id_col, (F.row_number().over(Window.orderBy(*order)) + top).cast("int")))
 
 
+def clock_entries(commits: DataFrame) -> DataFrame:
+    """databaseversion_id, client, logicaltime of every entry of the commits' clocks (id, vectorclock_serialized), to be appended."""
+    rows = commits.select(F.col("id").alias("databaseversion_id"), F.explode(vc_parse(F.col("vectorclock_serialized"))).alias("client", "logicaltime"))
+    return rows.withColumn("logicaltime", F.col("logicaltime").cast("int"))
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Appends rows whose key isn't there yet, one for each key."""
     return append(old, new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
@@ -125,11 +133,25 @@ def remove_dirty(store, new_id: int):
     return out.with_tables(databaseversion=without_dirty(out, "databaseversion"))
 
 
-def collect_garbage(store):
-    """The store without what no file version reaches any more."""
-    out = store.with_tables(filehistory=referenced_histories(store))
-    out = out.with_tables(filecontent_chunk=referenced_content_chunks(out), filecontent=referenced_contents(out))
-    out = out.with_tables(multichunk_chunk=referenced_container_chunks(out))
+def collect_garbage(store, cut=lambda df, name: df):
+    """The store without what no file version reaches any more.
+
+    ``cut`` (``session.cut``) stores what several tables are held against: the references of the versions, and the rows that they leave of two tables.
+    """
+    refs = cut(store.fileversion.select("filehistory_id", "databaseversion_id", "filecontent_checksum").distinct(), "references")
+    seen = store.with_tables(fileversion=refs)
+    out = store.with_tables(filehistory=referenced_histories(seen), filecontent_chunk=cut(referenced_content_chunks(seen).select(*store.filecontent_chunk.columns), "content-chunks"), filecontent=referenced_contents(seen))
+    live = out.filecontent_chunk.select("chunk_checksum").distinct()
+    out = out.with_tables(multichunk_chunk=cut(out.multichunk_chunk.join(live, "chunk_checksum", "left_semi").select(*out.multichunk_chunk.columns), "container-chunks"))
     out = out.with_tables(multichunk=filled_containers(out))
     out = out.with_tables(chunk=referenced_chunks(out))
     return out.with_tables(databaseversion_vectorclock=non_empty_commits(out, "databaseversion_vectorclock"), databaseversion=non_empty_commits(out))
+
+
+def without_known_databases(store):
+    return store.with_tables(known_databases=store.known_databases.limit(0))
+
+
+def cleared(store):
+    """Every table empty but the settings."""
+    return store.with_tables(**{t: df.limit(0) for t, df in store.tables.items() if t != "general_settings"})

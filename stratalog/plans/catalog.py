@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clocks, text
-from ..session import ship
-from ..operators import causality, chunks, diff, history, lookups, mutations
+from ..session import cut, fresh_path, ship
+from ..operators import causality, chunks, cleanup, diff, history, indexing, lookups, mutations
 from ..sources import deltalog
 from ..sources.model import MODEL_SQL
 from ..streaming import sync
@@ -108,6 +109,9 @@ query("containers_of_chunks", "SELECT chunk_checksum, min(multichunk_id) AS mult
     lambda s: lookups.containers_of_chunks(s, s.chunk.where("checksum like 'a%'").select(F.col("checksum").alias("chunk_checksum")))
 )
 query("containers_of_files", "SELECT DISTINCT r.filecontent_checksum, m.multichunk_id FROM filecontent_chunk r JOIN multichunk_chunk m USING (chunk_checksum)")(lambda s: s.filecontent_chunk.join(s.multichunk_chunk, "chunk_checksum").select("filecontent_checksum", "multichunk_id").distinct())
+query("containers_of_file", "SELECT DISTINCT multichunk_id FROM filecontent_chunk r JOIN multichunk_chunk m USING (chunk_checksum) WHERE r.filecontent_checksum = (SELECT max(filecontent_checksum) FROM fileversion_last)")(
+    lambda s: lookups.containers_of_file(s, s.fileversion_last.agg(F.max("filecontent_checksum")).first()[0])
+)
 query("containers_with_chunks", f"SELECT multichunk_id, count(*) AS n_chunks, string_agg(chunk_checksum, ',' ORDER BY chunk_checksum) AS chunks FROM multichunk_chunk WHERE multichunk_id IN (SELECT m.id FROM multichunk m JOIN databaseversion d ON d.id = m.databaseversion_id WHERE d.vectorclock_serialized = '{_CLOCK}') GROUP BY 1")(
     lambda s: lookups.containers_with_chunks(s, _CLOCK)
 )
@@ -116,14 +120,19 @@ query("dirty_containers", "SELECT DISTINCT id FROM multichunk WHERE databasevers
 # --- greatest per group ---------------------------------------------------
 
 query("highest_known_numbers", "SELECT client, max(filenumber) AS max_number FROM known_databases GROUP BY 1")(history.highest_known_numbers)
+query("newest_numbers", "SELECT c AS client, coalesce(max(filenumber), 0)::INT AS max_number FROM (SELECT unnest(['A', 'B', 'C', 'Z']) AS c) LEFT JOIN known_databases ON client = c GROUP BY 1")(
+    lambda s: history.newest_numbers(s, s.known_databases.sparkSession.createDataFrame([(c,) for c in "ABCZ"], "client string"))
+)
 query("highest_known_numbers_compat", "SELECT client, max(filenumber) AS max_number FROM known_databases GROUP BY client, filenumber")(lambda s: history.highest_known_numbers(s, True))
 _LATEST = f"SELECT filehistory_id, version, path, vectorclock_serialized FROM (SELECT * FROM fileversion_full WHERE commit_status = 'MASTER' AND path = '{_PATH}' QUALIFY row_number() OVER (PARTITION BY filehistory_id ORDER BY version DESC) = 1) WHERE status <> 'DELETED'"
 query("latest_for_path", _LATEST)(lambda s: history.latest_for_path(s, _PATH))
 query("history_for_path", f"SELECT filehistory_id, version, path FROM ({_LATEST}) SEMI JOIN fileversion_last USING (filehistory_id, version)")(lambda s: history.history_for_path(s, _PATH))
-query("histories_by_content", "SELECT * FROM fileversion_master_last WHERE filecontent_checksum IN (SELECT filecontent_checksum FROM fileversion_master_last GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)")(
-    lambda s: s.fileversion_master_last.join(s.fileversion_master_last.where("filecontent_checksum is not null").groupBy("filecontent_checksum").count().orderBy(F.desc("count"), "filecontent_checksum").limit(5), "filecontent_checksum", "left_semi").select(*s.fileversion.columns)
-)
-SQL["histories_by_content"] = SQL["histories_by_content"].replace("SELECT filecontent_checksum FROM fileversion_master_last GROUP", "SELECT filecontent_checksum FROM fileversion_master_last WHERE filecontent_checksum IS NOT NULL GROUP")
+query(
+    "histories_by_content",
+    """, w AS (SELECT DISTINCT filecontent_checksum, size, lastmodified FROM fileversion WHERE version % 3 <> 0 AND filecontent_checksum IS NOT NULL)
+    SELECT l.* FROM fileversion_master_last l JOIN (SELECT filehistory_id, max(version) AS version FROM fileversion_master SEMI JOIN w USING (filecontent_checksum, size, lastmodified) GROUP BY 1) m USING (filehistory_id, version)""",
+)(lambda s: history.histories_by_content(s, s.fileversion.where("version % 3 <> 0 and filecontent_checksum is not null").select(F.col("filecontent_checksum").alias("checksum"), "size", "lastmodified")))
+query("ls_compat", "SELECT f.* FROM fileversion f JOIN fileversion_last l USING (filehistory_id, version) WHERE f.status <> 'DELETED' AND length(f.path) - length(replace(f.path, '/', '')) BETWEEN 1 AND 2")(lambda s: history.list_files(s, depths=(1, 2), compat=True))
 query("last_version_of_history", f"SELECT * FROM fileversion_last WHERE filehistory_id = sha1('{_HISTORY}')")(lambda s: history.last_version(s, _hash_prefix(40)))
 query("purge_before", f"SELECT filehistory_id, version FROM (SELECT *, max(version) OVER (PARTITION BY filehistory_id) AS m FROM fileversion) WHERE version <> m AND updated < TIMESTAMP '{_NOW}'")(lambda s: history.purge_before(s, _now()))
 query("deleted_before", f"SELECT filehistory_id, version FROM (SELECT * FROM fileversion WHERE status = 'DELETED' QUALIFY row_number() OVER (PARTITION BY filehistory_id ORDER BY version DESC) = 1) WHERE updated < TIMESTAMP '{_NOW}'")(lambda s: history.deleted_before(s, _now()))
@@ -152,6 +161,26 @@ query(
 query("insert_commits", "SELECT * FROM databaseversion UNION ALL SELECT ((SELECT max(id) FROM databaseversion) + row_number() OVER (ORDER BY localtime, client))::INT, 'MASTER', localtime, client, vectorclock_serialized FROM databaseversion WHERE status = 'DIRTY'")(
     lambda s: mutations.append_numbered(s.databaseversion, s.dirty_commits.withColumn("status", F.lit("MASTER")), ["localtime", "client"])
 )
+query("insert_clocks", "SELECT * FROM databaseversion_vectorclock UNION ALL SELECT v.databaseversion_id + 1000, v.client, v.logicaltime FROM databaseversion_vectorclock v JOIN databaseversion d ON d.id = v.databaseversion_id WHERE d.status = 'DIRTY'")(
+    lambda s: mutations.append(s.databaseversion_vectorclock, mutations.clock_entries(s.dirty_commits.withColumn("id", (F.col("id") + 1000).cast("int"))))
+)
+query("insert_histories", "SELECT * FROM filehistory UNION ALL SELECT id, databaseversion_id + 1000 FROM filehistory WHERE databaseversion_id % 7 = 3")(
+    lambda s: mutations.append(s.filehistory, s.filehistory.where("databaseversion_id % 7 = 3").withColumn("databaseversion_id", (F.col("databaseversion_id") + 1000).cast("int")))
+)
+query("insert_known_databases", "SELECT * FROM known_databases UNION ALL SELECT ((SELECT max(id) FROM known_databases) + row_number() OVER (ORDER BY client, own))::INT, client, own FROM commits WHERE own % 2 = 1")(
+    lambda s: mutations.append_numbered(s.known_databases, deltalog.unknown_databases(_remote(s), s.known_databases), ["client", "filenumber"])
+)
+
+
+def _sizes(s: VersionStore) -> DataFrame:
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, df in s.tables.items() if t in ("chunk", "fileversion", "known_databases", "general_settings")]
+    return reduce(DataFrame.union, counts)
+
+
+query("cleared_tables", "SELECT 'general_settings' AS name, count(*) AS n FROM general_settings UNION ALL SELECT unnest(['chunk', 'fileversion', 'known_databases']), 0")(lambda s: _sizes(mutations.cleared(s)))
+query("without_known_databases", "SELECT 'general_settings' AS name, count(*) AS n FROM general_settings UNION ALL SELECT 'chunk', count(*) FROM chunk UNION ALL SELECT 'fileversion', count(*) FROM fileversion UNION ALL SELECT 'known_databases', 0")(
+    lambda s: _sizes(mutations.without_known_databases(s))
+)
 query("insert_versions", f"SELECT {_FV} FROM fileversion UNION ALL SELECT {_FV} FROM fileversion_last")(lambda s: mutations.append(s.fileversion, s.fileversion_last))
 for _table, _keys in mutations.KEYS.items():
     _first = ", ".join(_keys)
@@ -196,13 +225,13 @@ query("gc_content_chunks", f"SELECT * FROM filecontent_chunk WHERE filecontent_c
 query("gc_contents", f"SELECT * FROM filecontent WHERE checksum IN {_CONTENTS}")(lambda s: mutations.referenced_contents(_thin(s)))
 query("gc_container_chunks", f"SELECT * FROM multichunk_chunk WHERE chunk_checksum IN {_LIVE}")(lambda s: mutations.referenced_container_chunks(_thin(s)))
 _KEPT = f"(SELECT multichunk_id FROM multichunk_chunk WHERE chunk_checksum IN {_LIVE})"
-query("gc_containers", f"SELECT * FROM multichunk WHERE id IN {_KEPT}")(lambda s: mutations.collect_garbage(_thin(s)).multichunk)
-query("gc_chunks", f"SELECT * FROM chunk WHERE checksum IN {_LIVE}")(lambda s: mutations.collect_garbage(_thin(s)).chunk)
+query("gc_containers", f"SELECT * FROM multichunk WHERE id IN {_KEPT}")(lambda s: mutations.collect_garbage(_thin(s), cut).multichunk)
+query("gc_chunks", f"SELECT * FROM chunk WHERE checksum IN {_LIVE}")(lambda s: mutations.collect_garbage(_thin(s), cut).chunk)
 query("unused_containers", f"SELECT id, size FROM multichunk WHERE id NOT IN {_KEPT}")(lambda s: mutations.unused_containers(_thin(s)))
 query("freed_bytes", f"SELECT count(*) AS n, coalesce(sum(size), 0)::BIGINT AS bytes FROM multichunk WHERE id NOT IN {_KEPT}")(lambda s: mutations.unused_containers(_thin(s)).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")))
 _USED = f"(SELECT h.databaseversion_id FROM filehistory h SEMI JOIN fileversion_master_last v ON v.filehistory_id = h.id AND v.databaseversion_id = h.databaseversion_id UNION SELECT databaseversion_id FROM chunk WHERE checksum IN {_LIVE} UNION SELECT databaseversion_id FROM multichunk WHERE id IN {_KEPT} UNION SELECT databaseversion_id FROM filecontent WHERE checksum IN {_CONTENTS})"
-query("gc_commits", f"SELECT * FROM databaseversion WHERE id IN {_USED}")(lambda s: mutations.collect_garbage(_thin(s)).databaseversion)
-query("gc_clocks", f"SELECT * FROM databaseversion_vectorclock WHERE databaseversion_id IN {_USED}")(lambda s: mutations.collect_garbage(_thin(s)).databaseversion_vectorclock)
+query("gc_commits", f"SELECT * FROM databaseversion WHERE id IN {_USED}")(lambda s: mutations.collect_garbage(_thin(s), cut).databaseversion)
+query("gc_clocks", f"SELECT * FROM databaseversion_vectorclock WHERE databaseversion_id IN {_USED}")(lambda s: mutations.collect_garbage(_thin(s), cut).databaseversion_vectorclock)
 query("settle_muddy", "SELECT * FROM multichunk_muddy WHERE id NOT IN (SELECT id FROM multichunk WHERE databaseversion_id < 40)")(lambda s: mutations.without_settled_muddy(s.with_tables(multichunk=s.multichunk.where("databaseversion_id < 40"))))
 query("remove_dirty_contents", f"SELECT * REPLACE ((CASE WHEN databaseversion_id IN {_DIRTY_IDS} THEN 999 ELSE databaseversion_id END)::INT AS databaseversion_id) FROM filecontent WHERE checksum IN (SELECT filecontent_checksum FROM fileversion_master WHERE filecontent_checksum IS NOT NULL)")(
     lambda s: mutations.remove_dirty(s, 999).filecontent
@@ -226,20 +255,62 @@ query("next_clock_time", "SELECT (coalesce((SELECT v.logicaltime FROM databaseve
 )
 
 
-def _branches(s: VersionStore) -> DataFrame:
-    """A branch for each client: its own commits in order, all of one repository."""
-    h = s.databaseversion.select(F.lit(1).alias("repo"), F.col("client").alias("branch"), "id", "client", F.col("vectorclock_serialized").alias("clock"), F.unix_millis(F.col("localtime").cast("timestamp")).alias("t"))
-    own = s.databaseversion_vectorclock.select(F.col("databaseversion_id").alias("id"), "client", F.col("logicaltime").alias("pos"))
-    return h.join(own, ["id", "client"]).select("repo", "branch", "pos", "client", "clock", "t")
-
-
-query("branch_winner", None)(lambda s: causality.winners(_branches(s)))
-_B = ", b AS (SELECT c.client AS branch, c.own AS pos, c.client, d.vectorclock_serialized AS clock, epoch_us(d.localtime) // 1000 AS t FROM commits c JOIN databaseversion d USING (id))"
+def _branches(s: VersionStore, repo: F.Column | None = None) -> DataFrame:
+    """A branch for each client: its own commits in order; of one repository, or of several."""
+    return causality.branches(s).withColumn("repo", F.lit(1) if repo is None else repo).select("repo", "branch", "pos", "client", "clock", "t")
+
+
+def _repos(s: VersionStore) -> DataFrame:
+    """As many as the remainders of a commit's place by 4."""
+    return _branches(s, (F.col("pos") % 4).cast("int"))
+
+
+_B = ", b AS (SELECT c.client AS branch, c.own AS pos, c.client, d.vectorclock_serialized AS clock, epoch_us(d.localtime) // 1000 AS t, c.id FROM commits c JOIN databaseversion d USING (id))"
+#: The order in which no header comes before one that its clock follows, the earliest first, and the last header taken in it.
+_WON = (
+    _B.replace("c.id FROM", "c.id, c.own % 4 AS repo FROM")
+    + """, below AS (SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON y.repo = x.repo AND y.id <> x.id
+      WHERE NOT EXISTS (SELECT 1 FROM databaseversion_vectorclock e LEFT JOIN databaseversion_vectorclock f ON f.databaseversion_id = y.id AND f.client = e.client WHERE e.databaseversion_id = x.id AND e.logicaltime > coalesce(f.logicaltime, 0))),
+    after AS (SELECT h.*, coalesce((SELECT list(a) FROM below WHERE below.b = h.id), []) AS waits FROM b h),
+    steps AS (
+      SELECT DISTINCT repo, 0 AS n, []::INT[] AS done, -1 AS last FROM b
+      UNION ALL
+      SELECT repo, n + 1, list_append(done, x.id), CASE WHEN last < 0 OR list_contains(x.waits, last) THEN x.id ELSE last END
+      FROM (SELECT k.repo, k.n, k.done, k.last, arg_min({'id': h.id, 'waits': h.waits}, {'t': h.t, 'client': h.client, 'clock': h.clock}) AS x
+        FROM steps k JOIN after h ON h.repo = k.repo AND NOT list_contains(k.done, h.id) AND list_has_all(k.done, h.waits) GROUP BY k.repo, k.n, k.done, k.last)),
+    won AS (SELECT repo, b.branch, b.client, b.clock, b.t, b.pos, b.id FROM (SELECT repo, arg_max(last, n) AS id FROM steps GROUP BY 1) JOIN b USING (repo, id)),
+    winner AS (SELECT w.repo, CASE WHEN w.pos = (SELECT max(pos) FROM b WHERE b.repo = w.repo AND b.branch = w.branch) THEN w.branch END AS winner, w.client, w.clock, w.t FROM won w)
+    """
+)
+_recursive = lambda sql: MODEL_SQL.replace("WITH", "WITH RECURSIVE", 1) + sql
+query("branch_winner", _recursive(_WON + "SELECT * FROM winner"), model=False)(lambda s: causality.winners(_repos(s)))
 query("branch_prune", f"{_B}, f AS (SELECT min(l.pos) AS p FROM b l JOIN b w ON w.pos = l.pos AND w.branch = 'B' WHERE l.branch = 'A' AND (l.clock, l.t) <> (w.clock, w.t)) SELECT 1 AS repo, branch, pos, client, clock, t FROM b, f WHERE branch = 'A' AND pos >= p")(
     lambda s: causality.to_prune(_branches(s).where("branch = 'A'"), _branches(s).where("branch = 'B'"))
 )
-query("branch_apply", f"{_B} SELECT 1 AS repo, branch, pos, client, clock, t FROM b WHERE branch = 'B' AND pos >= 4")(lambda s: causality.to_apply(_branches(s).where("branch = 'B' and pos < 4"), _branches(s).where("branch = 'B'")))
-query("branch_muddy", f"{_B} SELECT 1 AS repo, client, clock, t FROM b WHERE branch <> 'C'")(lambda s: causality.muddy_headers(_branches(s), _branches(s).select("repo", F.lit("C").alias("winner")).distinct()))
+# the loser has B's own commits up to its 5th, and then those of A
+_LOSER = "SELECT * FROM b WHERE (branch = 'B' AND pos < 6) OR (branch = 'A' AND pos >= 6)"
+query("branch_apply", f"{_B}, l AS ({_LOSER}), f AS (SELECT min(w.pos) AS p FROM b w LEFT JOIN l ON l.pos = w.pos WHERE w.branch = 'B' AND (l.pos IS NULL OR (l.client, l.clock, l.t) <> (w.client, w.clock, w.t))) SELECT 1 AS repo, branch, w.pos, client, clock, t FROM b w, f WHERE branch = 'B' AND w.pos >= p")(
+    lambda s: causality.to_apply(_branches(s).where("(branch = 'B' and pos < 6) or (branch = 'A' and pos >= 6)"), _branches(s).where("branch = 'B'"))
+)
+query("branch_muddy", _recursive(_WON + "SELECT b.repo, b.client, b.clock, b.t FROM b JOIN winner USING (repo) WHERE branch IS DISTINCT FROM winner"), model=False)(
+    lambda s: causality.muddy_headers(h := _repos(s), causality.winners(h))
+)
+query("muddy_containers", "SELECT m.id, c.client AS machine_name, c.own AS machine_version FROM multichunk m JOIN commits c ON c.id = m.databaseversion_id WHERE c.client <> 'C'")(lambda s: causality.muddy_containers(s, _branches(s).where("branch <> 'C'")))
+query(
+    "header_order",
+    """, e AS (SELECT d.id, d.client, d.localtime::DATE AS day, epoch_ms(d.localtime) AS ms, v.client AS c, v.logicaltime AS t FROM databaseversion d JOIN databaseversion_vectorclock v ON v.databaseversion_id = d.id),
+    p AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, CASE WHEN (a.ms, a.client) < (b.ms, b.client) THEN -1 ELSE 1 END AS tie FROM e a JOIN e b ON a.day = b.day AND a.client <> b.client),
+    s AS (SELECT id_a, id_b, tie, coalesce((SELECT t FROM e WHERE e.id = id_a AND e.c = k.c), 0) - coalesce((SELECT t FROM e WHERE e.id = id_b AND e.c = k.c), 0) AS d FROM p, (SELECT unnest(['A', 'B', 'C']) AS c) k)
+    SELECT id_a, id_b, CASE WHEN max(d) > 0 AND min(d) >= 0 THEN 1 WHEN min(d) < 0 AND max(d) <= 0 THEN -1 ELSE any_value(tie) END AS "order" FROM s GROUP BY 1, 2""",
+)(lambda s: _header_pairs(s))
+
+
+def _header_pairs(s: VersionStore) -> DataFrame:
+    h = s.databaseversion.select("id", "client", F.to_date("localtime").alias("day"), F.struct("client", F.col("vectorclock_serialized").alias("clock"), F.unix_millis(F.col("localtime").cast("timestamp")).alias("t")).alias("h"))
+    a, b = (h.select(*[F.col(c).alias(f"{c}_{x}") for c in h.columns]) for x in "ab")
+    pairs = a.join(b, (F.col("day_a") == F.col("day_b")) & (F.col("client_a") != F.col("client_b")))
+    return pairs.select("id_a", "id_b", causality.header_order(F.col("h_a"), F.col("h_b")).alias("order"))
+
 
 # --- differences ----------------------------------------------------------
 
@@ -281,6 +352,102 @@ query(
     )
 )
 
+_SIDE_SQL = "{'ex': status <> 'DELETED', 'type': type, 'path': path, 'mt': lastmodified, 'size': size, 'ck': filecontent_checksum, 'li': linktarget, 'px': posixperms, 'da': dosattrs}"
+
+
+def _changes_sql(e: str, a: str) -> str:
+    """``diff.changes`` of two columns made by ``_SIDE_SQL``."""
+    attributes = f"CASE WHEN NOT ({e}.px IS NOT DISTINCT FROM {a}.px AND {e}.da IS NOT DISTINCT FROM {a}.da) THEN 'CHANGED_ATTRIBUTES' END"
+    return f"""CASE WHEN NOT coalesce({e}.ex, false) AND NOT coalesce({a}.ex, false) THEN [] WHEN NOT coalesce({a}.ex, false) THEN ['DELETED'] WHEN NOT coalesce({e}.ex, false) THEN ['NEW'] WHEN {e}.type <> {a}.type THEN ['DELETED'] ELSE list_filter(
+      CASE {e}.type WHEN 'FOLDER' THEN [{attributes}] WHEN 'SYMLINK' THEN [CASE WHEN {e}.li IS NULL OR {e}.li IS DISTINCT FROM {a}.li THEN 'CHANGED_LINK_TARGET' END] ELSE [CASE WHEN {e}.path <> {a}.path THEN 'CHANGED_PATH' END,
+      CASE WHEN abs(epoch_us({e}.mt) - epoch_us({a}.mt)) > 1000000 THEN 'CHANGED_LAST_MOD_DATE' END, CASE WHEN {e}.size <> {a}.size THEN 'CHANGED_SIZE' END, {attributes},
+      CASE WHEN {e}.size <> {a}.size OR {e}.ck IS DISTINCT FROM {a}.ck THEN 'CHANGED_CHECKSUM' END] END, lambda x: x IS NOT NULL) END"""
+
+
+_AT = "SELECT * FROM (SELECT * FROM fileversion_master WHERE updated <= TIMESTAMP '{} 00:00:00' QUALIFY row_number() OVER (PARTITION BY filehistory_id ORDER BY version DESC) = 1)"
+_INDEX_NOW = "2024-02-01 00:00:00"
+#: What ``indexing.indexed`` gives for the listing of 2024-01-20, with a quarter of the files moved.
+_INDEXED = f""", disk AS (SELECT * REPLACE (CASE WHEN filehistory_id < '4' THEN 'moved/' || path ELSE path END AS path) FROM ({_AT.format("2024-01-20")}) WHERE status <> 'DELETED'),
+    tree AS (SELECT * FROM fileversion_master_last),
+    claims AS (
+      SELECT d.path, t.filehistory_id FROM disk d JOIN tree t ON t.path = d.path
+      UNION ALL SELECT min(d.path), t.filehistory_id FROM disk d JOIN tree t ON d.type = 'FILE' AND t.type = 'FILE' AND t.filecontent_checksum = d.filecontent_checksum AND t.size = d.size AND t.lastmodified = d.lastmodified
+        WHERE d.path NOT IN (SELECT path FROM tree) AND t.path NOT IN (SELECT path FROM disk) GROUP BY 2),
+    j AS (SELECT d.* EXCLUDE (filehistory_id, version), {_SIDE_SQL.replace("status <> 'DELETED'", "true").replace(": ", ": d.").replace("d.true", "true")} AS e, t AS last, t.filehistory_id AS hid,
+      CASE WHEN t.filehistory_id IS NOT NULL THEN {_SIDE_SQL.replace(": ", ": t.")} END AS a FROM disk d LEFT JOIN claims c ON c.path = d.path LEFT JOIN tree t ON t.filehistory_id = c.filehistory_id),
+    k AS (SELECT *, hid IS NULL OR last.type <> type AS fresh, hid IS NOT NULL AND last.type <> type AS retyped, {_changes_sql("e", "a")} AS ch FROM j),
+    added AS (SELECT CASE WHEN fresh THEN 'new' ELSE 'changed' END AS kind, CASE WHEN fresh THEN sha1('history/' || path || '/{_INDEX_NOW}') ELSE hid END AS filehistory_id, (CASE WHEN fresh THEN 1 ELSE last.version + 1 END)::INT AS version, path, type,
+      CASE WHEN fresh THEN 'NEW' WHEN type = 'FILE' AND filecontent_checksum IS NOT DISTINCT FROM last.filecontent_checksum THEN 'CHANGED' WHEN path <> last.path THEN 'RENAMED' ELSE 'CHANGED' END AS status, size, lastmodified, linktarget,
+      filecontent_checksum, TIMESTAMP '{_INDEX_NOW}' AS updated, posixperms, dosattrs FROM k WHERE fresh OR len(ch) > 0),
+    ends AS (SELECT filehistory_id, (version + 1)::INT AS version, path, type, 'DELETED' AS status, size, lastmodified, linktarget, filecontent_checksum, TIMESTAMP '{_INDEX_NOW}' AS updated, posixperms, dosattrs FROM tree),
+    every AS (SELECT * FROM added UNION ALL SELECT 'replaced', * FROM ends WHERE filehistory_id IN (SELECT hid FROM k WHERE retyped)
+      UNION ALL SELECT 'deleted', * FROM ends WHERE filehistory_id NOT IN (SELECT filehistory_id FROM added WHERE kind = 'changed' UNION SELECT hid FROM k WHERE retyped) AND (path NOT IN (SELECT path FROM disk) OR path IN (SELECT path FROM added)))
+    """
+
+
+def _indexed(s: VersionStore) -> DataFrame:
+    disk = _disk(s).withColumn("path", F.when(F.col("filehistory_id") < "4", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    disk = disk.select("path", *[c for c in diff.SIDE if c not in ("exists", "path")])
+    return indexing.indexed(cut(disk, "disk"), cut(s.fileversion_master_last, "tree"), F.lit(_INDEX_NOW).cast("timestamp_ntz"))  # both are read several times
+
+
+for _name, _kinds in (("new_versions", "'new', 'changed'"), ("type_changes", "'replaced'"), ("deletion_versions", "'deleted'")):
+    query(_name, f"{_INDEXED} SELECT * FROM every WHERE kind IN ({_kinds})")(lambda s, k=_kinds: _indexed(s).where(f"kind in ({k})"))
+query("new_contents", f"{_INDEXED} SELECT filecontent_checksum AS checksum, max(size) AS size FROM every WHERE status <> 'DELETED' AND filecontent_checksum NOT IN (SELECT checksum FROM filecontent WHERE checksum < '8') GROUP BY 1")(
+    lambda s: indexing.new_contents(_indexed(s), s.filecontent.where("checksum < '8'"))
+)
+_HAS = "list_contains(c, '{}')"
+_SAME = f"NOT {_HAS.format('CHANGED_CHECKSUM')} AND NOT {_HAS.format('CHANGED_SIZE')}"
+_MOVED = f"({_HAS.format('CHANGED_LAST_MOD_DATE')} OR {_HAS.format('CHANGED_ATTRIBUTES')}"
+query(
+    "file_actions",
+    f""", won AS (SELECT filehistory_id, path, type, status = 'DELETED' AS ends, {_SIDE_SQL} AS w FROM fileversion_last WHERE filehistory_id >= '2'),
+    own AS (SELECT filehistory_id, path AS own_path, type AS own_type, {_SIDE_SQL} AS o FROM ({_AT.format("2024-01-20")})),
+    disk AS (SELECT path, {_SIDE_SQL} AS d FROM ({_AT.format("2024-01-18")}) WHERE status <> 'DELETED'),
+    r AS (SELECT *, coalesce(won.path, own_path) AS p, (SELECT d FROM disk WHERE disk.path = own_path) AS at_own, (SELECT d FROM disk WHERE disk.path = won.path) AS at_won FROM won FULL JOIN own USING (filehistory_id)),
+    l AS (SELECT *, {_changes_sql("o", "at_own")} AS lc, {_changes_sql("w", "at_won")} AS fc, {_changes_sql("w", "o")} AS kc FROM r),
+    c AS (SELECT *, CASE WHEN o IS NULL THEN fc WHEN len(lc) = 0 THEN kc ELSE lc END AS c FROM l),
+    a AS (SELECT filehistory_id, p AS path, coalesce(type, own_type) AS type, CASE WHEN w IS NULL THEN 'DELETE/deleted'
+      WHEN o IS NOT NULL AND len(lc) > 0 THEN CASE WHEN NOT ({_HAS.format("DELETED")} AND coalesce(ends, false)) THEN 'CHANGE/changed' END WHEN len(c) = 0 THEN NULL
+      WHEN {_HAS.format("NEW")} THEN 'DELETE/deleted' WHEN {_HAS.format("DELETED")} THEN CASE WHEN o IS NULL THEN 'NEW/new' ELSE 'CHANGE/changed' END WHEN {_HAS.format("CHANGED_LINK_TARGET")} THEN 'NEW_SYMLINK/new'
+      WHEN o IS NULL AND {_SAME} AND {_MOVED}) THEN 'SET_ATTRIBUTES/new' WHEN o IS NULL THEN 'NEW/new' WHEN {_SAME} AND {_MOVED} OR {_HAS.format("CHANGED_PATH")}) THEN 'RENAME/changed' ELSE 'CHANGE/changed' END AS act FROM c)
+    SELECT filehistory_id, path, type, split_part(act, '/', 1) AS action, split_part(act, '/', 2) AS bucket FROM a WHERE act IS NOT NULL""",
+)(
+    lambda s: diff.reconciled(
+        s.fileversion_last.where("filehistory_id >= '2'"), _disk_at(s, "2024-01-20", deleted=True), _disk_at(s, "2024-01-18").withColumnRenamed("filecontent_checksum", "checksum")
+    )
+)
+
+
+def _disk_at(s: VersionStore, day: str, deleted: bool = False) -> DataFrame:
+    return history.list_files(s, as_of=F.lit(f"{day} 00:00:00").cast("timestamp_ntz"), deleted=deleted)
+
+
+query("conflict_names", "SELECT DISTINCT path, regexp_replace(path, '\\.([a-z]+)$', ' (ann''s conflicted copy, 5 Jan 24, 3-07 PM).\\1') AS name FROM fileversion")(
+    lambda s: s.fileversion.select("path").distinct().select("path", diff.conflict_name(F.col("path"), F.lit("ann"), F.lit("2024-01-05 15:07:00").cast("timestamp_ntz")).alias("name"))
+)
+
+# --- cleaning up ----------------------------------------------------------
+
+_NAMES = "(SELECT client, count(*) AS files, max(own) AS top FROM commits GROUP BY 1)"
+for _name, _last, _force, _code in (("dirty", "2024-01-01 00:00:00", False, "NOK_DIRTY_LOCAL"), ("recent", "2024-01-28 10:00:00", False, "NOK_RECENTLY_CLEANED"), ("forced", "2024-01-28 10:00:00", True, "NOK_LOCAL_CHANGES")):
+
+    def _precondition(s: VersionStore, name: str = _name, last: str = _last, force: bool = _force) -> DataFrame:
+        clean = s if name == "dirty" else s.with_tables(databaseversion=s.databaseversion.withColumn("status", F.lit("MASTER")))
+        none = _remote(s).limit(0)
+        return cleanup.precondition(clean, diff.status(s.fileversion_master_last, _disk(s)), none, none, F.lit(last).cast("timestamp_ntz"), _now(), force)
+
+    _CASES = f"""SELECT CASE WHEN {_name == "dirty"} AND (SELECT count(*) FROM databaseversion WHERE status = 'DIRTY') > 0 THEN 'NOK_DIRTY_LOCAL' WHEN {not _force} AND TIMESTAMP '{_last}' + INTERVAL 3 HOUR > TIMESTAMP '{_NOW}' THEN 'NOK_RECENTLY_CLEANED'
+      WHEN (SELECT count(*) FROM fileversion_master_last WHERE updated > TIMESTAMP '2024-01-20 00:00:00') > 0 THEN 'NOK_LOCAL_CHANGES' ELSE 'OK' END AS code"""
+    query(f"cleanup_{_name}", _CASES)(_precondition)
+query("merge_needed", f"SELECT count(*) AS clients, sum(files)::BIGINT AS files, sum(files) > 15 * count(*) AS needed FROM {_NAMES}")(lambda s: cleanup.merge_needed(deltalog.parse_names(_remote(s))))
+query("merged_files", f"SELECT client, top::BIGINT + 1 AS number, files AS replaces FROM {_NAMES}")(lambda s: cleanup.merged_files(deltalog.parse_names(_remote(s))))
+query("cleanup_occurred", "SELECT max(CASE WHEN own % 5 = 0 THEN own ELSE 0 END) > 10 AS occurred FROM commits")(
+    lambda s: cleanup.cleanup_occurred(
+        deltalog.parse_names(s.databaseversion_vectorclock.join(s.databaseversion.select(F.col("id").alias("databaseversion_id"), "client"), ["databaseversion_id", "client"]).where("logicaltime % 5 = 0").select(F.concat(F.lit("cleanup-"), "logicaltime").alias("name"))), F.lit(10)
+    )
+)
+
 # --- chunks ---------------------------------------------------------------
 
 
@@ -303,13 +470,24 @@ c AS (SELECT file_id, i::INT AS num, substr(x, i * 2048 + 1, 2048) AS part FROM
 k AS (SELECT file_id, num, sha1(unhex(part)) AS checksum, (length(part) // 2)::BIGINT AS size FROM c)
 """
 document_query("fixed_chunks", _SLICES + "SELECT * FROM k")(lambda f: chunks.fixed_chunks(f, 1024).drop("data"))
-document_query("new_chunks", _SLICES + "SELECT checksum, file_id, num, size FROM k QUALIFY row_number() OVER (PARTITION BY checksum ORDER BY file_id, num) = 1")(
-    lambda f: chunks.new_chunks(c := chunks.fixed_chunks(f, 1024).drop("data"), c.select("checksum").limit(0))
+document_query("new_chunks", _SLICES + "SELECT checksum, file_id, num, size FROM k WHERE checksum NOT IN (SELECT checksum FROM k WHERE file_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY checksum ORDER BY file_id, num) = 1")(
+    lambda f: chunks.new_chunks(c := chunks.fixed_chunks(f, 1024).drop("data"), c.where("file_id % 2 = 0"))
 )
 document_query("tttd_chunks", None)(lambda f: chunks.tttd_chunks(f, 1024).drop("data"))
-document_query("assembled", "SELECT doc_id AS file_id, sha1(text) AS checksum, octet_length(encode(text))::BIGINT AS size FROM documents WHERE length(text) > 0")(
-    lambda f: chunks.assemble((c := chunks.fixed_chunks(f, 4096)).drop("data"), c.dropDuplicates(["checksum"])).select("file_id", F.sha1("content").alias("checksum"), F.octet_length("content").cast("bigint").alias("size"))
-)
+_SUMS = lambda df: df.select("file_id", F.sha1("content").alias("checksum"), F.octet_length("content").cast("bigint").alias("size"))
+_WHOLE = "SELECT doc_id AS file_id, sha1(coalesce(text, '')) AS checksum, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents"
+document_query("assembled", _WHOLE)(lambda f: _SUMS(chunks.assemble((c := chunks.fixed_chunks(f, 4096)).drop("data"), c.dropDuplicates(["checksum"]), f.select("file_id", F.sha1("content").alias("checksum")))))
+
+
+@document_query("restored", _WHOLE)
+def _restored(f: DataFrame) -> DataFrame:
+    """Files cut, their new chunks packed into containers by a hundred files, and everything fetched from the containers again."""
+    c = chunks.fixed_chunks(f, 1024)
+    first = chunks.new_chunks(c.drop("data"), c.select("checksum").limit(0)).withColumn("commit", F.expr("file_id div 100"))
+    packed = chunks.container_files(first.join(c.select("file_id", "num", "data"), ["file_id", "num"]), 20_000)
+    return _SUMS(chunks.assemble(c.drop("data"), chunks.stored_chunks(packed, c), f.select("file_id", F.sha1("content").alias("checksum"))))
+
+
 document_query("commit_numbers", "SELECT doc_id AS file_id, s AS size, greatest(coalesce(sum(s) OVER w, 0) // 100000, count(*) OVER w // 50)::BIGINT AS commit FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS s, doc_id % 3 AS client FROM documents) WINDOW w AS (PARTITION BY client ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")(
     lambda f: chunks.commit_numbers(f.select("file_id", F.octet_length("content").cast("bigint").alias("size"), (F.col("file_id") % 3).alias("client")), most_bytes=100_000, most_files=50).select("file_id", "size", "commit")
 )
@@ -331,6 +509,23 @@ def _remote(s: VersionStore) -> DataFrame:
     return names.select(deltalog.database_name(F.col("client"), F.col("logicaltime")).alias("name")).union(s.multichunk.select(F.concat(F.lit("multichunk-"), "id")))
 
 
+def _deltas(s: VersionStore) -> dict[str, DataFrame]:
+    """Written, and A's commits from its 3rd to its 20th read back."""
+    path = fresh_path(s.databaseversion.sparkSession, "deltas")
+    deltalog.write_deltas(s, path)
+    return deltalog.read_deltas(s.databaseversion.sparkSession, path, "A", 3, 20)
+
+
+_DELTA = ", c AS (SELECT id AS databaseversion_id, client, d.vectorclock_serialized FROM commits JOIN (SELECT id, vectorclock_serialized FROM databaseversion) d USING (id) WHERE client = 'A' AND own BETWEEN 3 AND 20)"
+query("delta_round_trip", f"{_DELTA} SELECT c.client, c.vectorclock_serialized, f.* EXCLUDE (databaseversion_id) REPLACE (date_trunc('millisecond', f.lastmodified) AS lastmodified, date_trunc('millisecond', f.updated) AS updated) FROM fileversion f JOIN c USING (databaseversion_id)")(
+    lambda s: _deltas(s)["fileversion"]
+)
+query("delta_contents", f"{_DELTA} SELECT filecontent_checksum, chunk_checksum, num FROM filecontent_chunk WHERE filecontent_checksum IN (SELECT checksum FROM filecontent JOIN c USING (databaseversion_id))")(lambda s: _deltas(s)["filecontent_chunk"])
+query("delta_containers", f"{_DELTA} SELECT multichunk_id, chunk_checksum FROM multichunk_chunk WHERE multichunk_id IN (SELECT id FROM multichunk JOIN c USING (databaseversion_id))")(lambda s: _deltas(s)["multichunk_chunk"])
+query("delta_chunks", f"{_DELTA} SELECT c.client, c.vectorclock_serialized, checksum, size FROM chunk JOIN c USING (databaseversion_id)")(lambda s: _deltas(s)["chunk"])
+query("read_batches", "SELECT d.client, d.vectorclock_serialized, d.localtime, coalesce(h.n, 0)::BIGINT AS n, floor(coalesce(sum(coalesce(h.n, 0)) OVER (ORDER BY localtime, client, vectorclock_serialized ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 101)::INT AS batch FROM databaseversion d LEFT JOIN (SELECT databaseversion_id AS id, count(*) AS n FROM filehistory GROUP BY 1) h USING (id)")(
+    lambda s: deltalog.read_batches(s.databaseversion.select("client", "vectorclock_serialized", "localtime"), s.filehistory_full.select("client", "vectorclock_serialized"), 100)
+)
 query("remote_names", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, 'database' AS kind, client, own::BIGINT AS number FROM commits UNION ALL SELECT 'multichunk-' || id, 'multichunk', NULL, NULL FROM multichunk")(lambda s: deltalog.parse_names(_remote(s)))
 query("unknown_databases", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, client, own AS filenumber FROM commits WHERE own % 2 = 1")(lambda s: deltalog.unknown_databases(_remote(s), s.known_databases))
 query("cache_within_budget", "SELECT path, size FROM (SELECT *, sum(size) OVER (PARTITION BY type ORDER BY lastmodified DESC, path ROWS UNBOUNDED PRECEDING) AS s FROM fileversion_last) WHERE s <= 200000")(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clocks import vc_get, vc_parse
+
 # Typed file names.
 FILE_NAMES = {
     "database": r"^database-([^-]+)-(\d{10})$",
@@ -17,9 +19,14 @@ FILE_NAMES = {
 }
 _ATTR = "_"
 HEADER_SCHEMA = "_client string, _date bigint, _clock string"
+# The elements and attributes of a commit.
+_REFS = "chunkRefs:struct<chunkRef:array<struct<_ref:string>>>"
+_VERSION = (
+    "_version:int,_type:string,_status:string,_path:string,_pathEncoded:string,_size:bigint,_lastModified:bigint,_linkTarget:string,_updated:bigint,_checksum:string,_dosattrs:string,_posixperms:string"
+)
 BODY_SCHEMA = (
-    HEADER_SCHEMA
-    + ", fileVersions struct<fileVersion:array<struct<_historyId:string,_version:int,_path:string,_pathEncoded:string,_type:string,_status:string,_size:bigint,_checksum:string,_updated:bigint>>>"
+    f"{HEADER_SCHEMA}, chunks struct<chunk:array<struct<_checksum:string,_size:bigint>>>, fileContents struct<fileContent:array<struct<_checksum:string,_size:bigint,{_REFS}>>>, "
+    f"multiChunks struct<multiChunk:array<struct<_id:string,_size:bigint,{_REFS}>>>, fileHistories struct<fileHistory:array<struct<_id:string,fileVersions:struct<fileVersion:array<struct<{_VERSION}>>>>>>"
 )
 
 
@@ -56,30 +63,95 @@ def _time(name: str) -> Column:
     return F.timestamp_millis(F.col(name)).cast("timestamp_ntz")
 
 
-def write_deltas(fileversion_full: DataFrame, path: str) -> None:
-    """Commits with their file versions as XML, a ``databaseVersion`` element each; times in milliseconds. Paths with characters that XML refuses are base64."""
-    bad = F.col("path").rlike(r"[\x00-\x1f￾￿]")
+def _collected(rows: DataFrame, by: list[str], item: Column, outer: str, inner: str) -> DataFrame:
+    """A row for each ``by`` with the items as ``<outer><inner/><inner/></outer>``."""
+    return rows.groupBy(*by).agg(F.struct(F.array_sort(F.collect_list(item)).alias(inner)).alias(outer))
+
+
+def commits(store) -> DataFrame:
+    """Each commit in the form of ``BODY_SCHEMA``: header, chunks, contents and containers with their chunks in order, histories with versions.
+
+    A commit is one row, as it is one file: ``chunks.commit_numbers`` bounds what goes into it.
+    """
+    dbv = "databaseversion_id"
+    bad = F.col("path").rlike(r"[\x00-\x1f\ufffe\uffff]")  # characters that XML refuses
     version = F.struct(
-        F.col("filehistory_id").alias("_historyId"), F.col("version").alias("_version"), F.when(~bad, F.col("path")).alias("_path"), F.when(bad, F.base64(F.encode("path", "UTF-8"))).alias("_pathEncoded"),
-        F.col("type").alias("_type"), F.col("status").alias("_status"), F.col("size").alias("_size"), F.col("filecontent_checksum").alias("_checksum"), _millis("updated").alias("_updated"),
+        F.col("version").alias("_version"), F.col("type").alias("_type"), F.col("status").alias("_status"), F.when(~bad, F.col("path")).alias("_path"), F.when(bad, F.base64(F.encode("path", "UTF-8"))).alias("_pathEncoded"),
+        F.col("size").alias("_size"), _millis("lastmodified").alias("_lastModified"), F.col("linktarget").alias("_linkTarget"), _millis("updated").alias("_updated"), F.col("filecontent_checksum").alias("_checksum"),
+        F.col("dosattrs").alias("_dosattrs"), F.col("posixperms").alias("_posixperms"),
     )
-    rows = fileversion_full.groupBy(F.col("client").alias("_client"), _millis("localtime").alias("_date"), F.col("vectorclock_serialized").alias("_clock"))
-    rows = rows.agg(F.struct(F.array_sort(F.collect_list(version)).alias("fileVersion")).alias("fileVersions"))
-    rows.write.format("xml").option("rootTag", "database").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).save(path)
+    histories = _collected(store.fileversion, [dbv, "filehistory_id"], version, "fileVersions", "fileVersion")
+    histories = store.filehistory.withColumnRenamed("id", "filehistory_id").join(histories, [dbv, "filehistory_id"], "full_outer")
+    histories = _collected(histories, [dbv], F.struct(F.col("filehistory_id").alias("_id"), "fileVersions"), "fileHistories", "fileHistory")
+    chunks = _collected(store.chunk, [dbv], F.struct(F.col("checksum").alias("_checksum"), F.col("size").alias("_size")), "chunks", "chunk")
+
+    def with_refs(owner: DataFrame, refs: DataFrame, name: str, outer: str, inner: str) -> DataFrame:
+        lists = refs.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("num", "chunk_checksum"))).alias("r"))
+        lists = lists.select(name, F.struct(F.transform("r", lambda x: F.struct(x["chunk_checksum"].alias("_ref"))).alias("chunkRef")).alias("chunkRefs"))
+        rows = owner.withColumnRenamed(owner.columns[0], name).join(lists, name, "left")
+        return _collected(rows, [dbv], F.struct(F.col(name).alias(f"_{owner.columns[0]}"), F.col("size").alias("_size"), "chunkRefs"), outer, inner)
+
+    contents = with_refs(store.filecontent, store.filecontent_chunk.withColumnRenamed("filecontent_checksum", "of"), "of", "fileContents", "fileContent")
+    containers = with_refs(store.multichunk, store.multichunk_chunk.select(F.col("multichunk_id").alias("of"), "chunk_checksum", F.lit(0).alias("num")), "of", "multiChunks", "multiChunk")
+    rows = store.databaseversion.select(F.col("id").alias(dbv), F.col("client").alias("_client"), _millis("localtime").alias("_date"), F.col("vectorclock_serialized").alias("_clock"))
+    for part in (chunks, contents, containers, histories):
+        rows = rows.join(part, dbv, "left")
+    return rows.drop(dbv)
+
+
+def write_deltas(store, path: str) -> None:
+    """Commits as XML, a ``databaseVersion`` element each; times in milliseconds. Paths with characters that XML refuses are base64."""
+    commits(store).write.format("xml").option("rootTag", "database").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).save(path)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).schema(schema).load(path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """client, date, clock of the commits; what they hold isn't parsed into columns."""
-    rows = spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).schema(HEADER_SCHEMA).load(path)
-    return rows.select(F.col("_client").alias("client"), _time("_date").alias("localtime"), F.col("_clock").alias("vectorclock_serialized"))
-
-
-def read_deltas(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file version of the commits."""
-    rows = spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).schema(BODY_SCHEMA).load(path)
-    rows = rows.select("_client", "_clock", F.explode("fileVersions.fileVersion").alias("v"))
-    decoded = F.coalesce("v._path", F.decode(F.unbase64("v._pathEncoded"), "UTF-8"))
-    return rows.select(
-        F.col("_client").alias("client"), F.col("_clock").alias("vectorclock_serialized"), F.col("v._historyId").alias("filehistory_id"), F.col("v._version").alias("version"), decoded.alias("path"),
-        F.col("v._type").alias("type"), F.col("v._status").alias("status"), F.col("v._size").alias("size"), F.col("v._checksum").alias("filecontent_checksum"), _time("v._updated").alias("updated"),
+    """client, localtime, clock of the commits; what they hold isn't parsed into columns."""
+    return _read(spark, path, HEADER_SCHEMA).select(F.col("_client").alias("client"), _time("_date").alias("localtime"), F.col("_clock").alias("vectorclock_serialized"))
+
+
+def read_deltas(spark: SparkSession, path: str, client: str | None = None, first: int | None = None, last: int | None = None) -> dict[str, DataFrame]:
+    """Tables of the commits, by name, with client and clock in place of the commit's id; of one ``client`` only, and only of its own times from ``first`` to ``last``."""
+    rows = _read(spark, path, BODY_SCHEMA)
+    own = vc_get(vc_parse(F.col("_clock")), F.col("_client"))
+    rows = rows.where(F.col("_client") == client) if client is not None else rows
+    rows = rows.where(own >= first) if first is not None else rows
+    rows = rows.where(own <= last) if last is not None else rows
+    head = [F.col("_client").alias("client"), F.col("_clock").alias("vectorclock_serialized")]
+    each = lambda name, *cols: rows.select(*head, F.explode(name).alias("x")).select("client", "vectorclock_serialized", *cols)
+    size = F.col("x._size").alias("size")
+    chunks = each("chunks.chunk", F.col("x._checksum").alias("checksum"), size)
+    contents = each("fileContents.fileContent", F.col("x._checksum").alias("checksum"), size, F.col("x.chunkRefs.chunkRef").alias("refs"))
+    containers = each("multiChunks.multiChunk", F.col("x._id").alias("id"), size, F.col("x.chunkRefs.chunkRef").alias("refs"))
+    histories = each("fileHistories.fileHistory", F.col("x._id").alias("id"), F.col("x.fileVersions.fileVersion").alias("versions"))
+    v = histories.select("client", "vectorclock_serialized", F.col("id").alias("filehistory_id"), F.explode("versions").alias("v"))
+    versions = v.select(
+        "client", "vectorclock_serialized", "filehistory_id", F.col("v._version").alias("version"), F.coalesce("v._path", F.decode(F.unbase64("v._pathEncoded"), "UTF-8")).alias("path"),
+        F.col("v._type").alias("type"), F.col("v._status").alias("status"), F.col("v._size").alias("size"), _time("v._lastModified").alias("lastmodified"), F.col("v._linkTarget").alias("linktarget"),
+        F.col("v._checksum").alias("filecontent_checksum"), _time("v._updated").alias("updated"), F.col("v._posixperms").alias("posixperms"), F.col("v._dosattrs").alias("dosattrs"),
     )
+    return {
+        "databaseversion": rows.select(*head, _time("_date").alias("localtime")),
+        "databaseversion_vectorclock": rows.select(*head, F.explode(vc_parse(F.col("_clock"))).alias("of", "logicaltime")),
+        "chunk": chunks,
+        "filecontent": contents.drop("refs"),
+        "filecontent_chunk": contents.select(F.col("checksum").alias("filecontent_checksum"), F.posexplode("refs").alias("num", "r")).select("filecontent_checksum", F.col("r._ref").alias("chunk_checksum"), "num"),
+        "multichunk": containers.drop("refs"),
+        "multichunk_chunk": containers.select(F.col("id").alias("multichunk_id"), F.explode("refs").alias("r")).select("multichunk_id", F.col("r._ref").alias("chunk_checksum")),
+        "filehistory": histories.drop("versions"),
+        "fileversion": versions,
+    }
+
+
+def read_batches(headers: DataFrame, histories: DataFrame, most: int = 9_999) -> DataFrame:
+    """``headers`` (client, vectorclock_serialized, localtime) with ``batch``: commits in order of time and client, a new batch once the one before has over ``most`` histories.
+
+    Headers are few, one a commit; ``histories`` (client, vectorclock_serialized) are counted.
+    """
+    by = ["client", "vectorclock_serialized"]
+    rows = headers.join(histories.groupBy(*by).agg(F.count("*").alias("n")), by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = Window.orderBy("localtime", "client", "vectorclock_serialized").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("batch", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / (most + 1)).cast("int")).select(*by, "localtime", "n", "batch")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import clocks, text
-from stratalog.operators import causality, chunks, diff, history, lookups, mutations
+from stratalog.operators import causality, chunks, diff, history, indexing, lookups, mutations
 from stratalog.plans.store import VersionStore
 from stratalog.session import ship
 from stratalog.sources import deltalog
@@ -118,6 +118,27 @@ def test_changes_and_actions(spark):
     assert [r.path for r in diff.ordered_actions(acts).collect()] == ["z", "a/2", "a/1", "c", "b", "x"]
 
 
+def plain_cuts(data: bytes, least: int, most: int, divisor: int) -> list[int]:
+    """Content-defined cuts byte by byte: the window before the byte at ``least`` first, that byte never, then the others."""
+    signed = [x - 256 if x > 127 else x for x in data]
+    cuts, start = [], 0
+    while start < len(data):
+        end = min(start + most, len(data))
+        cut = end
+        window = signed[start + least - 48 : start + least]
+        for at in range(start + least, end):
+            if at > start + least:
+                window = [*window[1:], signed[at]]
+            a, b = sum(window), sum((48 - j) * x for j, x in enumerate(window))
+            value = ((a & 0xFFFF) | (b << 16)) & 0xFFFFFFFF
+            if value < 2**31 and value % divisor == divisor - 1:
+                cut = at + 1
+                break
+        cuts.append(cut)
+        start = cut
+    return cuts
+
+
 def test_chunks_round_trip(spark):
     ship(spark)
     rng = random.Random(5)
@@ -128,19 +149,44 @@ def test_chunks_round_trip(spark):
         back = {r.file_id: bytes(r.content) for r in chunks.assemble(c.drop("data"), c.dropDuplicates(["checksum"])).collect()}
         assert back == {k: v for k, v in files if v}
     cuts = chunks.tttd_cuts(files[0][1], 1024)
-    assert all(460 * 1024 // 1015 <= b - a <= 2800 * 1024 // 1015 for a, b in zip([0, *cuts], cuts[:-1]))
+    assert all(464 < b - a <= 2825 for a, b in zip([0, *cuts], cuts[:-1]))
+    for data in (files[0][1], bytes(rng.choice(b"ab") for _ in range(30_000)), b"x" * 7000, bytes(465), bytes(464)):
+        assert chunks.tttd_cuts(data, 1024) == plain_cuts(data, 464, 2825, 545)
+    with pytest.raises(ValueError):
+        chunks.tttd_cuts(b"x", 50)
     moved = chunks.tttd_cuts(b"abc" + files[0][1], 1024)
     assert len({x - 3 for x in moved} & set(cuts)) > len(cuts) // 2  # cuts follow the content
+    sums = df.select("file_id", F.sha1("content").alias("checksum"))
+    c = chunks.fixed_chunks(df, 1024)
+    assert {r.file_id: bytes(r.content) for r in chunks.assemble(c.drop("data"), c.dropDuplicates(["checksum"]), sums).collect()} == dict(files)
+    with pytest.raises(Exception, match="damaged chunk"):
+        chunks.assemble(c.drop("data"), c.dropDuplicates(["checksum"]).withColumn("data", F.lit(b"other"))).collect()
+    with pytest.raises(Exception, match="damaged content"):
+        chunks.assemble(c.drop("data"), c.dropDuplicates(["checksum"]), sums.withColumn("checksum", F.lit("0"))).collect()
     with pytest.raises(Exception, match="missing chunk"):
         chunks.assemble(c.drop("data"), c.limit(1)).collect()
 
 
 def test_delta_log(spark, tmp_path):
     s = store(spark, [version("h1", 1, path="a&<b>"), version("h2", 1, path="x\x01y", status="DELETED", content=None)])
-    deltalog.write_deltas(s.fileversion_full, f"{tmp_path}/log")
+    t = datetime(2024, 1, 1, 2, 3, 4, 567_000)
+    link = ("h3", 1, 1, "l", "SYMLINK", "NEW", 0, t, "to/here", None, t, "rwxr--r--", "--a-")
+    s = s.with_tables(
+        fileversion=s.fileversion.union(spark.createDataFrame([link], SCHEMAS["fileversion"])), filehistory=spark.createDataFrame([("h1", 1), ("h2", 1), ("h3", 1)], SCHEMAS["filehistory"]),
+        chunk=spark.createDataFrame([("k1", 1, 5), ("k2", 1, 6)], SCHEMAS["chunk"]), filecontent=spark.createDataFrame([("c" * 40, 1, 16), ("empty", 1, 0)], SCHEMAS["filecontent"]),
+        filecontent_chunk=spark.createDataFrame([("c" * 40, "k2", 0), ("c" * 40, "k1", 1), ("c" * 40, "k1", 2)], SCHEMAS["filecontent_chunk"]),
+        multichunk=spark.createDataFrame([("m", 1, 11)], SCHEMAS["multichunk"]), multichunk_chunk=spark.createDataFrame([("m", "k1"), ("m", "k2")], SCHEMAS["multichunk_chunk"]),
+    )
+    deltalog.write_deltas(s, f"{tmp_path}/log")
+    tables = deltalog.read_deltas(spark, f"{tmp_path}/log")
+    for name, df in tables.items():  # every table comes back with every column but the commit's id, which the clock stands for
+        if name.startswith("databaseversion"):
+            continue
+        cols = [c for c in s.tables[name].columns if c != "databaseversion_id"]
+        assert sorted(map(str, df.select(*cols).collect())) == sorted(map(str, s.tables[name].select(*cols).collect())), name
+    assert [(r.of, r.logicaltime) for r in tables["databaseversion_vectorclock"].collect()] == [("A", 1)]
+    assert deltalog.read_deltas(spark, f"{tmp_path}/log", "A", 2)["chunk"].count() == 0 and deltalog.read_deltas(spark, f"{tmp_path}/log", "A", 1, 1)["chunk"].count() == 2
     assert [tuple(r) for r in deltalog.read_headers(spark, f"{tmp_path}/log").select("client", "vectorclock_serialized").collect()] == [("A", "(A1)")]
-    back = sorted((r.filehistory_id, r.path, r.status, r.filecontent_checksum) for r in deltalog.read_deltas(spark, f"{tmp_path}/log").collect())
-    assert back == [("h1", "a&<b>", "NEW", "c" * 40), ("h2", "x\x01y", "DELETED", None)]
     names = spark.createDataFrame([("database-A-0000000012",), ("multichunk-ab12",), ("action-up-B-17",), ("cleanup-3",), ("other",)], "name string")
     assert [(r.kind, r.client, r.number) for r in deltalog.parse_names(names).collect()] == [("database", "A", 12), ("multichunk", None, None), ("action", "B", None), ("cleanup", None, 3), (None, None, None)]
 
@@ -161,3 +207,103 @@ def test_text_functions(spark):
     assert text.parse_period("1d2h1.5m") == timedelta(days=1, hours=2, seconds=90)
     with pytest.raises(ValueError):
         text.parse_period("5 apples")
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab") if i % 50 else None, rng.choice([None, *range(20)]) if i % 3 else i, i, rng.randrange(100)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, o int, tie int, v int")
+    for descending in (False, True):
+        got = {r.tie: (r._sum, r._n) for r in chunks.running(df, "g", "o", ["tie"], "v", descending, ranges=16).collect()}
+        for g in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (1 if descending else -1, 0, r[2]) if r[1] is None else (0, -r[1] if descending else r[1], r[2]))
+            total = 0
+            for n, r in enumerate(own):
+                assert got[r[2]] == (total, n)
+                total += r[3]
+    assert chunks.running(df.limit(0), "g", "o", ["tie"], "v").count() == 0
+
+
+def plain_winner(rows) -> tuple:
+    """client, clock, t of the last header taken: headers one by one, the earliest of those that no header left precedes."""
+    clocks = {r[4]: {e[0]: int(e[1:]) for e in r[4][1:-1].split(",") if e} for r in rows}
+    below = lambda a, b: clocks[a] != clocks[b] and all(n <= clocks[b].get(c, 0) for c, n in clocks[a].items())
+    left, last = sorted({(r[5], r[3], r[4]) for r in rows}), None
+    while left:
+        one = next(h for h in left if not any(below(o[2], h[2]) for o in left))
+        left.remove(one)
+        if last is None or below(last[2], one[2]):
+            last = one
+    return last[1], last[2], last[0]
+
+
+def test_winners_of_many_repositories(spark):
+    ship(spark)
+    rng, rows = random.Random(9), []
+    for repo in range(12):
+        for branch in "ABC":
+            clock = dict.fromkeys("ABC", 0)
+            for pos in range(rng.randrange(1, 9)):
+                clock[branch] += 1
+                for other in "ABC":
+                    clock[other] += rng.random() < 0.2 and other != branch
+                rows.append((f"r{repo}", branch, pos, branch, "(" + ",".join(f"{c}{n}" for c, n in clock.items() if n) + ")", rng.randrange(6)))
+    got = {r.repo: r for r in causality.winners(spark.createDataFrame(rows, "repo string, branch string, pos int, client string, clock string, t long")).collect()}
+    assert len(got) == 12
+    for repo, r in got.items():
+        assert (r.client, r.clock, r.t) == plain_winner([x for x in rows if x[0] == repo])
+
+
+def test_indexing(spark):
+    """A file that is as it was, one changed, one moved, one gone, one new, one that became a folder, and a path taken by another."""
+    t = datetime(2024, 1, 1)
+    tree = store(spark, [version("same", 1), version("mod", 3, path="m"), version("mov", 2, path="old/name.txt", content="d" * 40, size=7), version("gone", 1, path="g", content="e" * 40), version("type", 4, path="t", content="f" * 40)]).fileversion_master_last
+    now = F.lit("2024-05-05 00:00:00").cast("timestamp_ntz")
+    entry = lambda path, content="c" * 40, size=1, kind="FILE", at=t: (path, kind, size, at, content, None, None, None)
+    schema = "path string, type string, size long, lastmodified timestamp_ntz, checksum string, linktarget string, posixperms string, dosattrs string"
+    listing = [entry("p"), entry("m", "9" * 40, 2), entry("new/name.txt", "d" * 40, 7), entry("n", "8" * 40), entry("t", None, 0, "FOLDER")]
+    rows = indexing.indexed(spark.createDataFrame(listing, schema), tree, now).collect()
+    got = {(r.kind, r.path): (r.filehistory_id, r.version, r.status, r.type) for r in rows}
+    assert got["changed", "m"] == ("mod", 4, "CHANGED", "FILE") and got["changed", "new/name.txt"] == ("mov", 3, "CHANGED", "FILE")
+    assert got["new", "n"][1:] == (1, "NEW", "FILE") and got["new", "t"][1:] == (1, "NEW", "FOLDER") and got["new", "t"][0] != "type"
+    assert got["replaced", "t"] == ("type", 5, "DELETED", "FILE") and got["deleted", "g"] == ("gone", 2, "DELETED", "FILE")
+    assert len(rows) == 6 and all(str(r.updated) == "2024-05-05 00:00:00" for r in rows)
+    none = spark.createDataFrame([], schema)
+    assert {r.kind for r in indexing.indexed(none, tree, now).collect()} == {"deleted"} and indexing.indexed(none, tree.limit(0), now).count() == 0
+    two = spark.createDataFrame([entry("x/name.txt", "d" * 40, 7), entry("y/name.txt", "d" * 40, 7)], schema)  # a moved file goes on once
+    assert sorted((r.kind, r.path) for r in indexing.indexed(two, tree.where("filehistory_id = 'mov'"), now).collect()) == [("changed", "x/name.txt"), ("new", "y/name.txt")]
+
+
+def test_disk_listing(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_bytes(b"hello")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    got = {r.path: (r.type, r.size, r.checksum) for r in indexing.disk_listing(files, str(tmp_path)).collect()}
+    assert got == {"d/a.txt": ("FILE", 5, "aaf4c61ddcc5e8a2dabede0f3b482cd9aea9434d")}
+
+
+def test_reconciled(spark):
+    """Every state: nothing to do, new here, gone there, moved, changed here and there, and a history that a clean-up took."""
+    won = [version("same", 1, path="s"), version("fresh", 1, path="f"), version("ends", 2, path="e", status="DELETED"), version("moves", 2, path="n"), version("edit", 2, path="x", content="d" * 40), version("clash", 2, path="c", content="d" * 40)]
+    own = [version("same", 1, path="s"), version("ends", 1, path="e"), version("moves", 1, path="o"), version("edit", 1, path="x"), version("clash", 1, path="c"), version("purged", 1, path="q")]
+    make = lambda rows: spark.createDataFrame(rows, SCHEMAS["fileversion"])
+    disk = make([*own[:4], own[5], version("clash", 1, path="c", content="7" * 40)]).withColumnRenamed("filecontent_checksum", "checksum")
+    disk = disk.union(make([own[3]]).limit(0)).dropDuplicates(["path"])
+    got = {r.filehistory_id: (r.path, r.action, r.bucket) for r in diff.reconciled(make(won), make(own), disk).collect()}
+    assert got == {"fresh": ("f", "NEW", "new"), "ends": ("e", "DELETE", "deleted"), "moves": ("n", "RENAME", "changed"), "edit": ("x", "CHANGE", "changed"), "clash": ("c", "CHANGE", "changed"), "purged": ("q", "DELETE", "deleted")}
+
+
+def test_listing_takes_patterns_literally(spark):
+    s = store(spark, [version("a", 1, path="x\\y"), version("b", 1, path="d/e")])
+    assert [r.path for r in history.list_files(s, path="x\\").collect()] == ["x\\y"]
+    assert [r.path for r in history.list_files(s, depths=(1, 9)).collect()] == ["d/e"]
+    cleared = mutations.cleared(s.with_tables(general_settings=spark.createDataFrame([("k", "v")], SCHEMAS["general_settings"])))
+    assert cleared.fileversion.count() == 0 and cleared.general_settings.count() == 1
+
+
+def test_odd_text_functions(spark):
+    df = spark.createDataFrame([("a:b*c?.txt", "--a-", bytes.fromhex("00ff")), (None, None, None)], "n string, d string, b binary")
+    got = [tuple(r) for r in df.select(text.creatable_name(F.col("n")), text.has_dos_attribute(F.col("d"), "a"), text.to_hex(F.col("b")), text.from_hex(text.to_hex(F.col("b"))) == F.col("b")).collect()]
+    assert got == [("abc.txt", True, "00ff", True), (None, False, None, None)]
+    with pytest.raises(Exception, match="odd length"):
+        df.select(text.from_hex(F.lit("abc"))).collect()
