@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,37 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text handled at once inside a task; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, one in the working folder on a local master; elsewhere that is an error,
-    since executors and driver need not share any folder but the one the cluster names.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = os.path.abspath(f"spark-shared/{uuid.uuid4().hex}")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    _at_exit(spark, sc.getCheckpointDir())  # the application's own part of the folder
-    return named
-
+from ..session import cut as saved
+from ..session import fresh_path, shared_dir
 
-def _at_exit(spark: SparkSession, path: str) -> None:
-    """Has the file system remove ``path`` when the application ends."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+__all__ = ["checkpointed", "documents", "filter_text", "fresh_path", "heavy_lookup", "large", "map_text", "mix", "offsets", "raw_bytes", "salted_lookup", "saved", "slices", "texts", "words"]
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/stratalog-{name}-{uuid.uuid4().hex}"
-    _at_exit(spark, path)
-    return path
+#: Text handled at once inside a task; a longer document is handled alone.
+SLICE_BYTES = 2 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -53,13 +27,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder: compressed and read by column."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -303,16 +303,3 @@ def test_quality_rules(spark, odd):
         assert (got[k]["n_words"], got[k]["n_repeat_words"]) == (n, covered)
         assert n >= 400 or got[k]["longest_repeat"] == longest
     assert got[8]["n_dup_lines"] == 0 and got[8]["n_symbols"] == 6 and got[9]["base_failed"] and got[1]["base_failed"]
-
-
-def test_pipeline(spark):
-    """The stages' decisions are those of the queries, each on what the stage before kept."""
-    ship(spark)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id for r in QUERIES["op1_toxicity"](spark, SF).where("predicted = 0").collect()}
-    rules = by_id(quality_rules.quality_rules(docs))
-    kept = {k for k in kept if rules[k]["kept"]}
-    alone = near_duplicates(docs.where(F.col("doc_id").isin(list(kept)))).where("kept").collect()
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in out} == {r.doc_id for r in alone}
-    assert all(sum(p.length for p in out if p.doc_id == k) == next(p.doc_tokens for p in out if p.doc_id == k) for k in {r.doc_id for r in out})
