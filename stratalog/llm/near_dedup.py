@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, checkpointed, map_text, mix, salted_lookup, texts, words
+from .common import SALTS, checkpointed, map_text, mix, salted_lookup, saved, texts, words
 from .components import components
 
 SHINGLE, BITS, PERMUTATIONS = 5, 4, 128
@@ -237,7 +237,7 @@ def block_links(sets: list[np.ndarray], sigs: np.ndarray, left: int, same: bool,
 
 
 def _with_sets(docs: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
-    """node, sig, items (the whole set) and the columns of each entry of ``at`` (node, at: array of structs)."""
+    """node, sig, at and items (the whole set) of the nodes of ``at`` (node, at: array of structs)."""
 
     def make():
         def of(arr: pa.Array) -> list[pa.Array]:
@@ -248,7 +248,11 @@ def _with_sets(docs: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
 
     want = reps.select("k", "h", "node", "sig").join(at, "node")
     texts_of = docs.select("k", "h", "text").join(want, ["k", "h"]).dropDuplicates(["k", "h"])
-    rows = map_text(texts_of, make, "items binary", keep=("node", "sig", "at"))
+    return map_text(texts_of, make, "items binary", keep=("node", "sig", "at"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """A row for each entry of ``at``."""
     return rows.select("node", "sig", "items", F.explode("at").alias("at")).select("at.*", "node", "sig", "items")
 
 
@@ -277,8 +281,8 @@ def _parts(n: str, items: str, block: int) -> F.Column:
     return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(items) / ITEMS), F.lit(1)).cast("int")
 
 
-def _across(pairs: DataFrame, docs: DataFrame, reps: DataFrame, heavy: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame | None:
-    """Links across the chunks of the groups of ``heavy`` (leader, chunks) that ``labels`` don't connect, or None; pairs: leader, node, n."""
+def _across(pairs: DataFrame, sets: DataFrame, reps: DataFrame, heavy: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links across the chunks of the groups of ``heavy`` (leader, chunks) that ``labels`` don't connect, or None; pairs: leader, node, n; sets: node, sig, items."""
     named = heavy.select("leader", F.col("leader").alias("node")).join(reps.select("node", "n"), "node").select("leader", "node", "n")
     named = named.union(salted_lookup(pairs, heavy, "leader", F.col("node")).where("chunks is not null").select("leader", "node", "n"))
     named = checkpointed(named.join(labels, "node", "left").select("leader", "node", "n", F.coalesce("component", "node").alias("known")))
@@ -307,7 +311,7 @@ def _across(pairs: DataFrame, docs: DataFrame, reps: DataFrame, heavy: DataFrame
     near = checkpointed(near)
     if near.isEmpty():
         return None
-    return _links_of(_with_sets(docs, reps, _placed(near, "leader", "lo", "hi", "side", "known")), ["leader", "lo", "hi"], percent)
+    return _links_of(_spread(sets.drop("at").join(_placed(near, "leader", "lo", "hi", "side", "known"), "node")), ["leader", "lo", "hi"], percent)
 
 
 def _labels(docs: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
@@ -323,12 +327,13 @@ def _labels(docs: DataFrame, reps: DataFrame, percent: int, block: int) -> DataF
     chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
     member = salted_lookup(pairs, heavy, "leader", F.col("node")).select("node", "leader", chunk.alias("chunk"))
     lead = sums.select("leader").join(heavy, "leader", "left").select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
-    sets = _with_sets(docs, reps, _placed(member.union(lead), "leader", "chunk"))
-    links = checkpointed(_links_of(sets.withColumns({"side": F.lit(0), "known": F.col("node")}), ["leader", "chunk"], percent))
+    sets, chunked = _with_sets(docs, reps, _placed(member.union(lead), "leader", "chunk")), not heavy.isEmpty()
+    sets = saved(sets, "sets") if chunked else sets  # pairs across chunks need them again
+    links = checkpointed(_links_of(_spread(sets).withColumns({"side": F.lit(0), "known": F.col("node")}), ["leader", "chunk"], percent))
     labels = components(links)
-    if heavy.isEmpty():
+    if not chunked:
         return labels
-    more = _across(pairs, docs, reps, heavy, labels, percent, block)
+    more = _across(pairs, sets, reps, heavy, labels, percent, block)
     return labels if more is None else components(links.union(more))
 
 
