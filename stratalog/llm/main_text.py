@@ -400,7 +400,9 @@ def main_text(pages: DataFrame, limits: Limits = Limits(), repeats: bool = True)
         streams = saved(streams.where("size(tokens) > 0").groupBy("page").agg(*(F.first(c).alias(c) for c in ("host", "tokens", "room", "keys"))), "streams")
         hits = salted_lookup(streams.select("page", F.explode("keys").alias("k")).select("page", "k.kind", "k.key"), verdicts(streams, limits), "key", F.col("page"))
         hits = hits.where(f"(kind = {OPEN} and outside) or (kind = {INSIDE} and inside) or (kind = {SUSPECT} and suspect)")
-        rows = rows.join(hits.groupBy("page").agg(F.collect_set(F.struct("kind", "key")).alias("gone")), "page", "left")
+        # stored, so that Spark knows its size when it plans: few pages with something to remove are no reason to shuffle all
+        gone = saved(hits.groupBy("page").agg(F.collect_set(F.struct("kind", "key")).alias("gone")), "gone")
+        rows = rows.join(gone, "page", "left")
     else:
         rows = rows.withColumn("gone", F.lit(None).cast(gone_type))
     out = rows.select("page_id", "url", "html", "host", "gone").mapInArrow(to_text, f"page_id {id_type}, url string, text string")
