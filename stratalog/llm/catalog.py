@@ -14,6 +14,7 @@ from . import site_quality
 from .archives import archive_round_trip
 from .bpe import bpe_round_trip
 from .common import documents
+from .importance import resampled
 from .interleave import interleaved_media
 from .main_text import main_text
 from .near_dedup import near_duplicates
@@ -158,3 +159,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_host_suffix_array")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(documents(spark, sf_dir, "pages"))
+
+
+#: CRC-32 of texts: the table by eight halvings of each byte, then one step for each byte of the UTF-8 form.
+_CRC = r"""byte(i, c) AS (SELECT i::BIGINT, i::BIGINT FROM range(256) t(i)),
+halved AS (SELECT i, c, 0 AS n FROM byte UNION ALL SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n + 1 FROM halved WHERE n < 8),
+tbl AS (SELECT list(c ORDER BY i) AS tbl FROM halved WHERE n = 8)"""
+_crc = lambda hex_: f"xor(list_reduce(list_transform(range(0, len({hex_}) // 2), lambda i: ('0x' || substr({hex_}, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+_RESAMPLED = rf"""
+WITH RECURSIVE {_CRC},
+texts AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+w AS (SELECT side, doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM texts),
+f AS (SELECT side, r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))) AS g FROM w),
+crc AS (SELECT g, {_crc("x")} % 10000 AS bucket FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)), tbl),
+fb AS (SELECT side, r, bucket FROM f JOIN crc USING (g)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM fb GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+weight AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM fb JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(ws) >= 20 AS able,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weight USING (r) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * (SELECT count(*) FROM scored WHERE able) // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op13_importance_resampling", _RESAMPLED)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
