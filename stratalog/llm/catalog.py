@@ -19,6 +19,7 @@ from .interleave import interleaved_media
 from .main_text import main_text
 from .near_dedup import near_duplicates
 from .packing import pack_pieces
+from .periodic import periodic_runs, repeated_tail
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
 from .toxicity import fit, toxicity_scores
@@ -167,6 +168,33 @@ halved AS (SELECT i, c, 0 AS n FROM byte UNION ALL SELECT i, xor(c >> 1, CASE WH
 tbl AS (SELECT list(c ORDER BY i) AS tbl FROM halved WHERE n = 8)"""
 _crc = lambda hex_: f"xor(list_reduce(list_transform(range(0, len({hex_}) // 2), lambda i: ('0x' || substr({hex_}, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
 
+_PERIODIC = rf"""
+WITH RECURSIVE {_CRC},
+w AS (SELECT *, len(ws) AS n, row_number() OVER () AS r FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
+h AS (SELECT *, {_crc("x")} AS h FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS x FROM w), tbl),
+a AS (SELECT *, h // 10 % n AS a FROM h WHERE h % 10 = 0 AND n > 0),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+d AS (SELECT r, doc_id, list_concat(ws[:a], list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1])) AS ws FROM p
+  UNION ALL SELECT r, doc_id, ws FROM h WHERE h % 10 <> 0 OR n = 0),
+g AS (SELECT r, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i + 4], ' ')))) AS g FROM d),
+-- windows that recur a period on; a run of four periods and six words has two of them or more
+q AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON y.r = x.r AND y.g = x.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM q) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+every AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT k.r, string_agg(k.w, ' ' ORDER BY k.i) AS text FROM (SELECT r, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM d) k ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(e.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best b USING (r) LEFT JOIN every e USING (r) LEFT JOIN kept k USING (r)
+"""
+
+
+@query("op12_periodic_runs", _PERIODIC)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(documents(spark, sf_dir), repeated_tail)
+
+
 _RESAMPLED = rf"""
 WITH RECURSIVE {_CRC},
 texts AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
