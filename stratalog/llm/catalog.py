@@ -16,6 +16,7 @@ from .bpe import bpe_round_trip
 from .common import documents
 from .importance import resampled
 from .interleave import interleaved_media
+from .log_bilinear import text_scores
 from .main_text import main_text
 from .near_dedup import near_duplicates
 from .packing import pack_pieces
@@ -162,6 +163,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(documents(spark, sf_dir, "pages"))
 
 
+@query("op11_log_bilinear")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(documents(spark, sf_dir))
+
+
 #: CRC-32 of texts: the table by eight halvings of each byte, then one step for each byte of the UTF-8 form.
 _CRC = r"""byte(i, c) AS (SELECT i::BIGINT, i::BIGINT FROM range(256) t(i)),
 halved AS (SELECT i, c, 0 AS n FROM byte UNION ALL SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n + 1 FROM halved WHERE n < 8),
