@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import numbered, part_numbers
+
 # Default sizes in bytes, and the ratios of content-defined cutting to the average of 1015.
 CHUNK, CONTAINER, COMMIT_BYTES, COMMIT_FILES = 512 * 1024, 4096 * 1024, 50 << 20, 10_000
 TTTD_MIN, TTTD_MAX, TTTD_DIVISOR, TTTD_UNIT, TTTD_WINDOW = 460, 2800, 540, 1015, 48
@@ -75,18 +77,15 @@ def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:
 def pack_containers(chunks: DataFrame, size: int = CONTAINER, by: str = "commit") -> DataFrame:
     """checksum and container number within its commit: a container is closed once it has ``size`` bytes, before the next chunk.
 
-    The last chunk may go over. A commit is bounded (``COMMIT_BYTES``, ``COMMIT_FILES``), so its ordered chunk list fits a row.
+    The last chunk may go over. A commit is bounded (``COMMIT_BYTES``, ``COMMIT_FILES``), so its chunks meet in a task; nothing else of them than sizes and names does.
     """
-    lists = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("file_id", "num", "checksum", "size"))).alias("c"))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("fill"), F.array().cast("array<struct<checksum:string,container:int>>").alias("out"))
+    kind = chunks.schema[by].dataType.simpleString()
 
-    def step(acc, x):
-        full = acc["fill"] >= size
-        bin_ = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        fill = F.when(full, F.lit(0).cast("bigint")).otherwise(acc["fill"]) + x["size"]
-        return F.struct(bin_.alias("bin"), fill.alias("fill"), F.array_append(acc["out"], F.struct(x["checksum"].alias("checksum"), bin_.alias("container"))).alias("out"))
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["file_id", "num", "checksum"])
+        return pd.DataFrame({by: g[by], "checksum": g["checksum"], "container": part_numbers(g["size"].to_numpy(), size).astype(np.int32)})
 
-    return lists.select(by, F.inline(F.aggregate("c", start, step, lambda acc: acc["out"])))
+    return chunks.select(by, "file_id", "num", "checksum", "size").groupBy(by).applyInPandas(pack, f"{by} {kind}, checksum string, container int")
 
 
 def container_files(chunks: DataFrame, size: int = CONTAINER, by: str = "commit") -> DataFrame:
@@ -95,16 +94,16 @@ def container_files(chunks: DataFrame, size: int = CONTAINER, by: str = "commit"
     A container has ``size`` bytes and one chunk at most, so it fits a row.
     """
     placed = pack_containers(chunks.drop("data"), size, by).join(chunks.select(by, "checksum", "data"), [by, "checksum"])
-    lists = placed.groupBy(by, "container").agg(F.array_sort(F.collect_list(F.struct("checksum", "data"))).alias("c"))
-    begin = lambda i: F.aggregate(F.slice("c", 1, i), F.lit(0), lambda s, x: s + F.octet_length(x["data"]))
-    entries = F.transform("c", lambda x, i: F.struct(x["checksum"].alias("checksum"), begin(i).alias("offset"), F.octet_length(x["data"]).alias("size")))
-    return lists.select(by, "container", F.aggregate("c.data", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"), entries.alias("entries"))
+    before = Window.partitionBy(by, "container").orderBy("checksum").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.octet_length("data").cast("bigint")
+    placed = placed.withColumn("entry", F.struct("checksum", F.coalesce(F.sum(length).over(before), F.lit(0)).alias("offset"), length.alias("size")))
+    return placed.groupBy(by, "container").agg(F.expr("listagg(data) within group (order by checksum)").alias("content"), F.array_sort(F.collect_list("entry")).alias("entries"))
 
 
 def stored_chunks(containers: DataFrame, wanted: DataFrame) -> DataFrame:
     """checksum, data of the ``wanted`` chunks (checksum) out of ``container_files``; of several places of a chunk one counts."""
     rows = containers.select("content", F.explode("entries").alias("e")).select("e.*", "content").join(wanted.select("checksum").distinct(), "checksum", "left_semi")
-    return rows.select("checksum", F.substring("content", F.col("offset") + 1, F.col("size")).alias("data")).dropDuplicates(["checksum"])
+    return rows.select("checksum", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("data")).dropDuplicates(["checksum"])
 
 
 def running(df: DataFrame, by: str, order: str, ties: list[str], value: str, descending: bool = False, ranges: int = 256) -> DataFrame:
@@ -126,9 +125,8 @@ def running(df: DataFrame, by: str, order: str, ties: list[str], value: str, des
 
 
 def commit_numbers(files: DataFrame, order: str = "file_id", most_bytes: int = COMMIT_BYTES, most_files: int = COMMIT_FILES, by: str = "client") -> DataFrame:
-    """``files`` (client, file_id, size) with the commit each falls into: by running bytes and counts of its client's files."""
-    rows = running(files, by, order, [], "size")
-    return rows.withColumn("commit", F.greatest(F.floor(F.col("_sum") / most_bytes), F.floor(F.col("_n") / most_files))).drop("_sum", "_n")
+    """``files`` (client, file_id, size) with the commit each falls into: a client's commit ends with the file that brings it to ``most_bytes`` or ``most_files``."""
+    return numbered(files, by, [order], "size", most_bytes, most_files, "commit")
 
 
 def assemble(refs: DataFrame, chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:

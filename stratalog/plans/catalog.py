@@ -488,8 +488,14 @@ def _restored(f: DataFrame) -> DataFrame:
     return _SUMS(chunks.assemble(c.drop("data"), chunks.stored_chunks(packed, c), f.select("file_id", F.sha1("content").alias("checksum"))))
 
 
-document_query("commit_numbers", "SELECT doc_id AS file_id, s AS size, greatest(coalesce(sum(s) OVER w, 0) // 100000, count(*) OVER w // 50)::BIGINT AS commit FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS s, doc_id % 3 AS client FROM documents) WINDOW w AS (PARTITION BY client ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")(
-    lambda f: chunks.commit_numbers(f.select("file_id", F.octet_length("content").cast("bigint").alias("size"), (F.col("file_id") % 3).alias("client")), most_bytes=100_000, most_files=50).select("file_id", "size", "commit")
+#: File by file: a commit's bytes and files so far, and whether the file before has ended one.
+_COMMITS = """WITH RECURSIVE f AS (SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, doc_id % 3 AS client, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS nth FROM documents),
+r AS (SELECT file_id, size, client, nth, size AS bytes, 1 AS files, 0::BIGINT AS commit FROM f WHERE nth = 1
+  UNION ALL SELECT f.file_id, f.size, f.client, f.nth, CASE WHEN full_ THEN f.size ELSE bytes + f.size END, CASE WHEN full_ THEN 1 ELSE files + 1 END, commit + full_::INT
+  FROM (SELECT *, bytes >= 40000 OR files >= 12 AS full_ FROM r) r JOIN f ON f.client = r.client AND f.nth = r.nth + 1)
+SELECT file_id, size, commit FROM r"""
+document_query("commit_numbers", _COMMITS)(
+    lambda f: chunks.commit_numbers(f.select("file_id", F.octet_length("content").cast("bigint").alias("size"), (F.col("file_id") % 3).alias("client")), most_bytes=40_000, most_files=12).select("file_id", "size", "commit")
 )
 document_query(
     "packed_containers",
@@ -523,9 +529,24 @@ query("delta_round_trip", f"{_DELTA} SELECT c.client, c.vectorclock_serialized,
 query("delta_contents", f"{_DELTA} SELECT filecontent_checksum, chunk_checksum, num FROM filecontent_chunk WHERE filecontent_checksum IN (SELECT checksum FROM filecontent JOIN c USING (databaseversion_id))")(lambda s: _deltas(s)["filecontent_chunk"])
 query("delta_containers", f"{_DELTA} SELECT multichunk_id, chunk_checksum FROM multichunk_chunk WHERE multichunk_id IN (SELECT id FROM multichunk JOIN c USING (databaseversion_id))")(lambda s: _deltas(s)["multichunk_chunk"])
 query("delta_chunks", f"{_DELTA} SELECT c.client, c.vectorclock_serialized, checksum, size FROM chunk JOIN c USING (databaseversion_id)")(lambda s: _deltas(s)["chunk"])
-query("read_batches", "SELECT d.client, d.vectorclock_serialized, d.localtime, coalesce(h.n, 0)::BIGINT AS n, floor(coalesce(sum(coalesce(h.n, 0)) OVER (ORDER BY localtime, client, vectorclock_serialized ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 101)::INT AS batch FROM databaseversion d LEFT JOIN (SELECT databaseversion_id AS id, count(*) AS n FROM filehistory GROUP BY 1) h USING (id)")(
-    lambda s: deltalog.read_batches(s.databaseversion.select("client", "vectorclock_serialized", "localtime"), s.filehistory_full.select("client", "vectorclock_serialized"), 100)
+#: Commit by commit, ten of a client's a file: the histories of the batch so far, and whether the file before has filled it.
+_BATCHES = """, h AS (SELECT databaseversion_id AS id, list(id) AS hs FROM filehistory GROUP BY 1),
+    u AS (SELECT d.id, d.client, d.vectorclock_serialized, d.localtime, coalesce(h.hs, []) AS hs, d.client || ((c.own - 1) // 10) AS file, row_number() OVER (ORDER BY d.localtime, d.client, d.vectorclock_serialized) AS nth FROM databaseversion d JOIN commits c ON c.id = d.id LEFT JOIN h ON h.id = d.id),
+    r AS (SELECT nth, file, hs, 0 AS batch FROM u WHERE nth = 1
+      UNION ALL SELECT u.nth, u.file, CASE WHEN len(r.hs) >= 100 AND u.file <> r.file THEN u.hs ELSE list_distinct(list_concat(r.hs, u.hs)) END, (r.batch + (len(r.hs) >= 100 AND u.file <> r.file)::INT)::INT FROM r JOIN u ON u.nth = r.nth + 1)
+    SELECT client, vectorclock_serialized, localtime, len(u.hs)::BIGINT AS n, batch FROM r JOIN u USING (nth)"""
+query("read_batches", MODEL_SQL.replace("WITH", "WITH RECURSIVE", 1) + _BATCHES, model=False)(
+    lambda s: deltalog.read_batches(_in_files(s), s.filehistory_full.select("client", "vectorclock_serialized", "id"), 100, "file")
 )
+
+
+def _in_files(s: VersionStore) -> DataFrame:
+    """Commits and the file that each lies in: ten of a client's own."""
+    own = s.databaseversion_vectorclock.select(F.col("databaseversion_id").alias("id"), "client", "logicaltime")
+    file = F.concat("client", F.expr("(logicaltime - 1) div 10").cast("string"))
+    return s.databaseversion.join(own, ["id", "client"]).select("client", "vectorclock_serialized", "localtime", file.alias("file"))
+
+
 query("remote_names", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, 'database' AS kind, client, own::BIGINT AS number FROM commits UNION ALL SELECT 'multichunk-' || id, 'multichunk', NULL, NULL FROM multichunk")(lambda s: deltalog.parse_names(_remote(s)))
 query("unknown_databases", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, client, own AS filenumber FROM commits WHERE own % 2 = 1")(lambda s: deltalog.unknown_databases(_remote(s), s.known_databases))
 query("cache_within_budget", "SELECT path, size FROM (SELECT *, sum(size) OVER (PARTITION BY type ORDER BY lastmodified DESC, path ROWS UNBOUNDED PRECEDING) AS s FROM fileversion_last) WHERE s <= 200000")(

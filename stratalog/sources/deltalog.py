@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,12 +147,33 @@ def read_deltas(spark: SparkSession, path: str, client: str | None = None, first
     }
 
 
-def read_batches(headers: DataFrame, histories: DataFrame, most: int = 9_999) -> DataFrame:
-    """``headers`` (client, vectorclock_serialized, localtime) with ``batch``: commits in order of time and client, a new batch once the one before has over ``most`` histories.
+def read_batches(headers: DataFrame, histories: DataFrame, most: int = 9_999, file: str | None = None) -> DataFrame:
+    """``headers`` (client, vectorclock_serialized, localtime) with ``batch``: commits in order of time and client, a batch ends with the file that brings it to ``most`` histories.
 
-    Headers are few, one a commit; ``histories`` (client, vectorclock_serialized) are counted.
+    ``histories`` (client, vectorclock_serialized, id) that repeat in a batch count once. ``file``: a column of ``headers``, the file that a commit lies in;
+    commits of a file that follow each other are read together. Without it each commit is a file. What a commit shares with each earlier one is counted by
+    history; headers, few and one a commit, meet in one task with those counts.
     """
     by = ["client", "vectorclock_serialized"]
-    rows = headers.join(histories.groupBy(*by).agg(F.count("*").alias("n")), by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    before = Window.orderBy("localtime", "client", "vectorclock_serialized").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("batch", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / (most + 1)).cast("int")).select(*by, "localtime", "n", "batch")
+    order = Window.orderBy("localtime", *by)
+    rows = headers.withColumn("_file", F.col(file) if file else F.struct(*by))
+    begins = F.when(F.lag("_file").over(order).eqNullSafe(F.col("_file")), 0).otherwise(1)
+    rows = rows.withColumn("_begins", begins).withColumn("unit", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    items = histories.select(*by, "id").join(rows.select(*by, "unit"), by).select("unit", "id").distinct()
+    items = items.withColumn("was", F.coalesce(F.lag("unit").over(Window.partitionBy("id").orderBy("unit")), F.lit(0)))
+    shared = items.groupBy("unit", "was").agg(F.count("*").alias("n")).groupBy("unit").agg(F.collect_list(F.struct("was", "n")).alias("shared"))
+    units = rows.select("unit").distinct().join(shared, "unit", "left")
+
+    def scan(g: pd.DataFrame) -> pd.DataFrame:
+        out, batch, first, held = [], 0, 1, 0
+        for u in g.sort_values("unit").itertuples():
+            if held >= most:
+                batch, first, held = batch + 1, u.unit, 0
+            held += sum(x["n"] for x in (u.shared if u.shared is not None else []) if x["was"] < first)
+            out.append((u.unit, batch))
+        return pd.DataFrame(out, columns=["unit", "batch"])
+
+    batches = units.groupBy().applyInPandas(scan, "unit long, batch int")
+    counts = histories.groupBy(*by).agg(F.count_distinct("id").alias("n"))
+    out = rows.join(batches, "unit").join(counts, by, "left")
+    return out.select(*by, "localtime", F.coalesce("n", F.lit(0)).alias("n"), "batch")
