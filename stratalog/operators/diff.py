@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import greatest_per
+from ..session import cut
+from .splits import placed
 
 # Kinds of change.
 NEW, DELETED = "NEW", "DELETED"
@@ -92,22 +94,62 @@ def not_ignored(disk: DataFrame, rules: list[str]) -> DataFrame:
 
 def common_suffix(a: Column, b: Column) -> Column:
     """Length of the longest common end of two texts."""
-    x, y = F.reverse(a), F.reverse(b)
-    n = F.least(F.length(a), F.length(b))
-    same = F.transform(F.sequence(F.lit(1), n), lambda k: F.when(F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k), k).otherwise(0))
-    return F.when(n > 0, F.array_max(same)).otherwise(0)
+    letters = lambda c: F.split(F.reverse(c), "")
+    differs = F.array_position(F.zip_with(letters(a), letters(b), lambda x, y: x.eqNullSafe(y)), False)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(differs > 0, differs - 1).otherwise(F.length(a))
 
 
-def guess_histories(new: DataFrame, tree: DataFrame) -> DataFrame:
-    """For each new file (path, checksum, size, lastmodified) the history it goes on: that with its path, else one with
-    equal content, size and time whose old path is gone from ``new``, of several the one with the longest common end of paths.
+def _end_of(level: int | str) -> Column:
+    """What paths of this level have to share: so many last names, the extension, or nothing; null where a path hasn't got it."""
+    if level == "extension":
+        return F.nullif(F.regexp_extract("path", r"\.[^./]*$", 0), F.lit(""))
+    names = F.size(F.split("path", "/"))
+    return F.when(names >= level, F.substring_index("path", "/", -level)) if level else F.lit("")
+
+
+def moved_histories(files: DataFrame, gone: DataFrame) -> DataFrame:
+    """path, filehistory_id: which of the ``gone`` histories (key, path, filehistory_id) each of the ``files`` (key, path) goes on; each history once.
+
+    Where a key has one file or one history, the longest common end of the paths decides, then the larger id or the smaller path. Elsewhere the
+    pairs that share most of their last names come first, then those that share the extension, then the others; on each level
+    files and histories that share the same end are paired in order of their paths (and ids), so that as many histories go on as there are files. A key may have
+    any number of rows: no pairs of a key are made but the ones where it has a single file or history.
+    """
+    both = files.groupBy("key").agg(F.count("*").alias("_files")).join(gone.groupBy("key").agg(F.count("*").alias("_gone")), "key")
+    both = both.select("key", (F.least("_files", "_gone") == 1).alias("one"))
+    file = files.select("key", F.lit(0).alias("side"), "path", F.lit("").alias("id"))
+    rows = cut(file.union(gone.select("key", F.lit(1), "path", F.col("filehistory_id"))).join(both, "key"), "moved")
+    pairs = rows.where("one and side = 0").select("key", "path").join(rows.where("one and side = 1").select("key", F.col("path").alias("old"), "id"), "key")
+    pairs = pairs.withColumn("same", common_suffix(F.col("path"), F.col("old")))
+    out = pairs.groupBy("key").agg(F.min(F.struct(-F.col("same"), "path"))["path"].alias("path"), F.max(F.struct("same", "id"))["id"].alias("filehistory_id")).drop("key")
+
+    rest = rows.where("not one").drop("one")
+    deepest = rest.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    for level in [*range(deepest, 0, -1), "extension", 0] if deepest else []:
+        able = rest.withColumn("end", _end_of(level)).where("end is not null")
+        sides = able.groupBy("key", "end").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("n0 > 0 and n1 > 0").select("key", "end")
+        numbers = placed(able.join(sides, ["key", "end"], "left_semi"), ["key", "end", "side"], ["path", "id"])
+        met = numbers.groupBy("key", "end", "place").agg(F.max(F.when(F.col("side") == 0, F.col("path"))).alias("path"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("id"))
+        met = cut(met.where("path is not null and id is not null").select("path", "id"), "met")
+        out = out.union(met.select("path", F.col("id").alias("filehistory_id")))
+        if level != 0:
+            files_left = rest.where("side = 0").join(met.select("path"), "path", "left_anti")
+            rest = cut(files_left.unionByName(rest.where("side = 1").join(met.select("id"), "id", "left_anti")), "unmet")
+    return out
+
+
+def guess_histories(new: DataFrame, tree: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """For each new file (path, checksum, size, lastmodified) the history it goes on, or null: that with its path, else one with
+    equal content, size and time whose old path is gone, each for one file: see ``moved_histories``.
+
+    ``present``: the paths (path) that are on the disk, whatever lies there; those of ``new`` if left out.
     """
     by_path = greatest_per(tree, "path", "filehistory_id").select("path", F.col("filehistory_id").alias("_own"))
-    rows = new.join(by_path, "path", "left")
-    gone = tree.join(new.select("path"), "path", "left_anti").where("type = 'FILE'")
-    gone = gone.select(F.col("filecontent_checksum").alias("checksum"), "size", "lastmodified", F.col("filehistory_id").alias("_moved"), F.col("path").alias("_old"))
-    moved = rows.where("_own is null").join(gone, ["checksum", "size", "lastmodified"])
-    moved = moved.groupBy("path").agg(F.max_by("_moved", F.struct(common_suffix(F.col("path"), F.col("_old")), F.col("_moved"))).alias("_moved"))
+    rows = cut(new.join(by_path, "path", "left"), "new")
+    key = lambda checksum: F.struct(F.col(checksum).alias("checksum"), "size", "lastmodified").alias("key")
+    files = rows.where("_own is null and checksum is not null").select(key("checksum"), "path")
+    gone = tree.where("type = 'FILE' and filecontent_checksum is not null").join((new if present is None else present).select("path"), "path", "left_anti")
+    moved = moved_histories(files, gone.select(key("filecontent_checksum"), "path", "filehistory_id")).withColumnRenamed("filehistory_id", "_moved")
     return rows.join(moved, "path", "left").select("path", F.coalesce("_own", "_moved").alias("filehistory_id"))
 
 

@@ -16,13 +16,8 @@ def _claimed(disk: DataFrame, tree: DataFrame) -> DataFrame:
 
     Files go on the history of their path or of a moved file; folders and links that of their path only.
     """
-    files = guess_histories(disk.where("type = 'FILE'").select("path", "checksum", "size", "lastmodified"), tree)
-    # a file is moved only if its old path is gone from the whole listing
-    moved = files.join(tree.select("filehistory_id", F.col("path").alias("_old")), "filehistory_id", "left")
-    still = disk.select(F.col("path").alias("_old"), F.lit(True).alias("_there"))
-    moved = moved.join(still, "_old", "left").select("path", F.when(F.col("_there").isNull() | (F.col("_old") == F.col("path")), F.col("filehistory_id")).alias("filehistory_id"))
-    # several new files may match one moved history: the first path goes on with it
-    moved = moved.where("filehistory_id is not null").groupBy("filehistory_id").agg(F.min("path").alias("path"))
+    files = guess_histories(disk.where("type = 'FILE'").select("path", "checksum", "size", "lastmodified"), tree, disk)
+    moved = files.where("filehistory_id is not null")
     others = disk.where("type <> 'FILE'").select("path").join(greatest_per(tree, "path", "filehistory_id").select("path", "filehistory_id"), "path")
     claims = moved.select("path", "filehistory_id").union(others.select("path", "filehistory_id"))
     last = tree.select("filehistory_id", F.struct(*tree.columns).alias("last"), side(tree, "was"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -104,3 +104,14 @@ def numbered(df: DataFrame, by: str, order: list[str], size: str, most: int, row
     entries = entries.select(F.col("k").alias("_k"), F.col("r").alias("_r"), "filled", "held", "number")
     rows_ = keys.join(entries, keys["k"].eqNullSafe(F.col("_k")) & (F.col("r") == F.col("_r"))).groupBy("_k", "r").applyInPandas(number_rows, "_at long, _part long")
     return placed.join(rows_, "_at").select(*df.columns, F.col("_part").alias(name))
+
+
+def placed(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with the number of each row in its group (``by``, never null), 1, 2, ... in ``order``; a group of any size is spread over ranges."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "places")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    runs = rows.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a group's ranges
+    runs = runs.select(*by, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(runs, [*by, "_range"]).select(*df.columns, (F.col("_at") + F.col("_shift") + 1).alias(name))

@@ -342,15 +342,38 @@ query(
     FROM fileversion_master_last a FULL JOIN was b ON b.path = a.path""",
 )(lambda s: diff.status(s.fileversion_master_last, _disk(s)))
 query("not_ignored", "SELECT path FROM fileversion_last WHERE path NOT LIKE '%.view' AND NOT regexp_matches(path, '^dir3/.*$') AND path <> 'dir7/7.click'")(lambda s: diff.not_ignored(s.fileversion_last, ["*.view", "regex:dir3/.*", "dir7/7.click"]).select("path"))
+def _pairs_sql(levels: list[int | str]) -> str:
+    """CTE ``moved`` (path, id) from ``fs`` (key, path) and ``hs`` (key, path, id): single ones by the longest common end, the others level by level and in order of their paths."""
+    same = "coalesce(list_max(list_filter(range(1, least(length(f.path), length(h.path)) + 1), lambda k: right(f.path, k) = right(h.path, k))), 0)"
+    out = f"""nf AS (SELECT key, count(*) AS n FROM fs GROUP BY 1), nh AS (SELECT key, count(*) AS n FROM hs GROUP BY 1), size_ AS (SELECT key, least(nf.n, nh.n) = 1 AS one FROM nf JOIN nh USING (key)),
+    single AS (SELECT f.path, h.id FROM fs f JOIN hs h USING (key) JOIN size_ USING (key) WHERE one QUALIFY row_number() OVER (PARTITION BY key ORDER BY {same} DESC, h.id DESC, f.path) = 1),
+    f0 AS (SELECT key, path, '' AS id FROM fs JOIN size_ USING (key) WHERE NOT one), h0 AS (SELECT key, path, id FROM hs JOIN size_ USING (key) WHERE NOT one)"""
+    found = ["SELECT * FROM single"]
+    for k, level in enumerate(levels):
+        names = "length(path) - length(replace(path, '/', '')) + 1"
+        end = "nullif(regexp_extract(path, '\\.[^./]*$'), '')" if level == "extension" else f"CASE WHEN {names} >= {level} THEN array_to_string(string_split(path, '/')[-{level}:], '/') END" if level else "''"
+        for side in "fh":
+            out += f", {side}n{k} AS (SELECT *, row_number() OVER (PARTITION BY key, e ORDER BY path, id) AS nth FROM (SELECT *, {end} AS e FROM {side}{k}) WHERE e IS NOT NULL)"
+        out += f", m{k} AS (SELECT f.path, h.id FROM fn{k} f JOIN hn{k} h USING (key, e, nth)), f{k + 1} AS (SELECT * FROM f{k} WHERE path NOT IN (SELECT path FROM m{k})), h{k + 1} AS (SELECT * FROM h{k} WHERE id NOT IN (SELECT id FROM m{k}))"
+        found.append(f"SELECT * FROM m{k}")
+    return f"{out}, moved AS ({' UNION ALL '.join(found)})"
+
+
+#: Files below another folder, those of every third history one folder deeper. Contents, sizes and times are made coarse, so that a few dozen files are alike.
+_MOVED_TO = "CASE WHEN version % 3 = 0 THEN 'moved/deep/' || path ELSE 'moved/' || path END"
 query(
     "guess_histories",
-    """, n AS (SELECT regexp_replace(path, '^dir', 'moved/dir') AS path, path AS was, filecontent_checksum AS checksum, size, lastmodified FROM fileversion_master_last WHERE type = 'FILE')
-    SELECT n.path, max_by(v.filehistory_id, v.filehistory_id) AS filehistory_id FROM n JOIN fileversion_master_last v ON v.type = 'FILE' AND v.filecontent_checksum = n.checksum AND v.size = n.size AND v.lastmodified = n.lastmodified GROUP BY 1""",
-)(
-    lambda s: diff.guess_histories(
-        s.fileversion_master_last.where("type = 'FILE'").select(F.regexp_replace("path", "^dir", "moved/dir").alias("path"), F.col("filecontent_checksum").alias("checksum"), "size", "lastmodified"), s.fileversion_master_last
-    )
-)
+    f""", alike AS (SELECT substr(filecontent_checksum, 1, 2) AS key, path, version, filehistory_id AS id FROM fileversion_master_last WHERE type = 'FILE'),
+    fs AS (SELECT key, {_MOVED_TO} AS path FROM alike WHERE substr(id, 40) <> '0'), hs AS (SELECT key, path, id FROM alike), {_pairs_sql([4, 3, 2, 1, "extension", 0])}
+    SELECT path, moved.id AS filehistory_id FROM fs LEFT JOIN moved USING (path)""",
+)(lambda s: _guessed(s))
+
+
+def _guessed(s: VersionStore) -> DataFrame:
+    alike = s.fileversion_master_last.where("type = 'FILE'").withColumns({"filecontent_checksum": F.substring("filecontent_checksum", 1, 2), "size": F.lit(1), "lastmodified": F.lit(_NOW).cast("timestamp_ntz")})
+    new = alike.where("substring(filehistory_id, 40) <> '0'").select(F.expr(_MOVED_TO).alias("path"), F.col("filecontent_checksum").alias("checksum"), "size", "lastmodified")
+    return diff.guess_histories(new, alike)
+
 
 _SIDE_SQL = "{'ex': status <> 'DELETED', 'type': type, 'path': path, 'mt': lastmodified, 'size': size, 'ck': filecontent_checksum, 'li': linktarget, 'px': posixperms, 'da': dosattrs}"
 
@@ -369,10 +392,9 @@ _INDEX_NOW = "2024-02-01 00:00:00"
 #: What ``indexing.indexed`` gives for the listing of 2024-01-20, with a quarter of the files moved.
 _INDEXED = f""", disk AS (SELECT * REPLACE (CASE WHEN filehistory_id < '4' THEN 'moved/' || path ELSE path END AS path) FROM ({_AT.format("2024-01-20")}) WHERE status <> 'DELETED'),
     tree AS (SELECT * FROM fileversion_master_last),
-    claims AS (
-      SELECT d.path, t.filehistory_id FROM disk d JOIN tree t ON t.path = d.path
-      UNION ALL SELECT min(d.path), t.filehistory_id FROM disk d JOIN tree t ON d.type = 'FILE' AND t.type = 'FILE' AND t.filecontent_checksum = d.filecontent_checksum AND t.size = d.size AND t.lastmodified = d.lastmodified
-        WHERE d.path NOT IN (SELECT path FROM tree) AND t.path NOT IN (SELECT path FROM disk) GROUP BY 2),
+    fs AS (SELECT {{'c': d.filecontent_checksum, 's': d.size, 'm': d.lastmodified}} AS key, d.path FROM disk d WHERE d.type = 'FILE' AND d.filecontent_checksum IS NOT NULL AND d.path NOT IN (SELECT path FROM tree)),
+    hs AS (SELECT {{'c': filecontent_checksum, 's': size, 'm': lastmodified}} AS key, path, filehistory_id AS id FROM tree WHERE type = 'FILE' AND filecontent_checksum IS NOT NULL AND path NOT IN (SELECT path FROM disk)), {_pairs_sql([3, 2, 1, 'extension', 0])},
+    claims AS (SELECT d.path, t.filehistory_id FROM disk d JOIN tree t ON t.path = d.path UNION ALL SELECT path, id FROM moved),
     j AS (SELECT d.* EXCLUDE (filehistory_id, version), {_SIDE_SQL.replace("status <> 'DELETED'", "true").replace(": ", ": d.").replace("d.true", "true")} AS e, t AS last, t.filehistory_id AS hid,
       CASE WHEN t.filehistory_id IS NOT NULL THEN {_SIDE_SQL.replace(": ", ": t.")} END AS a FROM disk d LEFT JOIN claims c ON c.path = d.path LEFT JOIN tree t ON t.filehistory_id = c.filehistory_id),
     k AS (SELECT *, hid IS NULL OR last.type <> type AS fresh, hid IS NOT NULL AND last.type <> type AS retyped, {_changes_sql("e", "a")} AS ch FROM j),
