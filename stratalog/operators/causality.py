@@ -44,29 +44,66 @@ def branches(store) -> DataFrame:
     return head.join(own, ["id", "client"]).select(F.col("client").alias("branch"), "pos", *HEADER)
 
 
+def _chains(times: np.ndarray, clients: np.ndarray) -> list[np.ndarray]:
+    """Places of ``times`` (a clock a row) in chains of growing clocks: one a client, more where a client's clocks don't grow."""
+    out: list[np.ndarray] = []
+    for client in np.unique(clients):
+        rest = np.flatnonzero(clients == client)
+        rest = rest[np.argsort(times[rest].sum(1), kind="stable")]  # a greater clock has a greater sum
+        while len(rest):
+            grows = (np.diff(times[rest], axis=0) >= 0).all(1) & (np.diff(times[rest], axis=0) > 0).any(1)
+            if grows.all():
+                out.append(rest)
+                break
+            chain, left = [rest[0]], []
+            for x in rest[1:]:
+                ok = (times[x] >= times[chain[-1]]).all() and (times[x] > times[chain[-1]]).any()
+                (chain if ok else left).append(x)
+            out.append(np.array(chain))
+            rest = np.array(left, np.int64)
+    return out
+
+
+def _smaller_in(chain: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many of a chain's clocks are smaller than each of ``times``: those up to a place, found in each of a clock's entries."""
+    own = times[chain]
+    upto = np.full(len(times), len(chain))
+    for entry in range(times.shape[1]):
+        np.minimum(upto, np.searchsorted(own[:, entry], times[:, entry], side="right"), out=upto)
+    equal = (upto > 0) & (own[np.maximum(upto - 1, 0)] == times).all(1)
+    return upto - equal
+
+
 def _winner(headers: pd.DataFrame) -> pd.DataFrame:
-    """Winning branch of one repository: n headers in n * n / 64 words of memory at most, a heap and one pass."""
+    """Winning branch of one repository: for n headers in k chains n * k numbers, a heap of the chains' fronts and one pass."""
     ends = headers.sort_values("pos").groupby("branch").tail(1).sort_values("branch")
     left = headers[["t", "client", "clock"]].drop_duplicates().sort_values(["t", "client", "clock"]).reset_index(drop=True)
-    entries = [{name: int(n) for name, n in re.findall(ENTRY_PATTERN, text)} for text in left["clock"]]
-    place = {c: i for i, c in enumerate(sorted({c for e in entries for c in e}))}
+    entries = [re.findall(ENTRY_PATTERN, text) for text in left["clock"]]
+    place = {c: i for i, c in enumerate(sorted({c for e in entries for c, _ in e}))}
     times = np.zeros((len(left), max(len(place), 1)), np.int64)
     for i, e in enumerate(entries):
-        times[i, [place[c] for c in e]] = list(e.values())
-    above = [np.flatnonzero((times >= x).all(1) & (times > x).any(1)) for x in times]  # headers whose clocks are greater
-    waits = np.zeros(len(left), np.int64)
-    for x in above:
-        waits[x] += 1
-    ready, last = np.flatnonzero(waits == 0).tolist(), None
-    heapq.heapify(ready)  # places are in the order of time and client
-    while ready:
+        times[i, [place[c] for c, _ in e]] = [int(n) for _, n in e]
+    chains = _chains(times, left["client"].to_numpy())
+    waits = np.stack([_smaller_in(c, times) for c in chains], 1)
+    taken = np.zeros(len(chains), np.int64)
+    front = np.array([waits[c[0]] for c in chains])  # what the first header of each chain that isn't taken waits for
+    pending, ready, last = np.ones(len(chains), bool), [], None
+    chain_of = np.empty(len(left), np.int64)
+    for k, c in enumerate(chains):
+        chain_of[c] = k
+    while True:
+        for k in np.flatnonzero(pending & (front <= taken).all(1)):
+            heapq.heappush(ready, int(chains[k][taken[k]]))  # places are in the order of time and client
+            pending[k] = False
+        if not ready:
+            break
         one = heapq.heappop(ready)
         if last is None or ((times[one] >= times[last]).all() and (times[one] > times[last]).any()):
             last = one
-        for k in above[one]:
-            waits[k] -= 1
-            if not waits[k]:
-                heapq.heappush(ready, int(k))
+        k = chain_of[one]
+        taken[k] += 1
+        if taken[k] < len(chains[k]):
+            front[k], pending[k] = waits[chains[k][taken[k]]], True
     end = left.iloc[last]
     won = [r.branch for r in ends.itertuples() if (r.t, r.client, r.clock) == (end["t"], end["client"], end["clock"])]
     return pd.DataFrame({"repo": [headers["repo"].iloc[0]], "winner": [won[0] if won else None], "client": [end["client"]], "clock": [end["clock"]], "t": [end["t"]]})
@@ -77,7 +114,7 @@ def winners(headers: DataFrame) -> DataFrame:
 
     All headers are put in an order that agrees with their clocks, ties by time and client; each that is greater
     than the last one taken is taken; the first branch that ends in the last one wins. A repository's headers (commits of its
-    writers since they last agreed) meet in one task; repositories are independent.
+    writers since they last agreed) meet in one task, whose work is headers times writers; repositories are independent.
     """
     headers = headers.select("repo", "branch", "pos", *HEADER)
     kinds = {c: headers.schema[c].dataType.simpleString() for c in ("repo", "branch")}
