@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.store import greatest_per
 from ..session import cut
-from .splits import placed
+from .splits import in_order, placed
 
 # Kinds of change.
 NEW, DELETED = "NEW", "DELETED"
@@ -201,12 +201,20 @@ def reconciled(winner: DataFrame, local: DataFrame, disk: DataFrame) -> DataFram
 ACTION_ORDER = ["DELETE FILE", "DELETE SYMLINK", "NEW FOLDER", "NEW FILE", "NEW SYMLINK", "RENAME FILE", "RENAME SYMLINK", "DELETE FOLDER"]
 
 
-def ordered_actions(actions: DataFrame) -> DataFrame:
-    """``actions`` (action, type, path) with ``rank``: deletions first, from the leaves up, then folders before files, other kinds before all."""
-    kind = F.concat_ws(" ", "action", "type")
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ACTION_ORDER)), kind).cast("int") - 1, F.lit(-1))
-    rank = F.when(F.array_contains(F.array(*map(F.lit, ACTION_ORDER)), kind), rank).otherwise(-1)
-    return actions.withColumn("rank", rank).orderBy("rank", F.when(F.col("action") == "DELETE", F.col("path")).desc_nulls_last(), F.when(F.col("action") != "DELETE", F.col("path")).asc_nulls_last())
+def ordered_actions(actions: DataFrame, id_col: str = "filehistory_id") -> DataFrame:
+    """``actions`` (action, type, path, and an id that parts ties) with ``rank`` of their kind and ``nth``, the place (1, 2, ...) in which they run.
+
+    Kinds that ``ACTION_ORDER`` doesn't name come first; deletions go from the leaves up, others down. What is made at or moved to the path of a folder
+    that is deleted comes right behind that deletion, and of several the later kind first. All are sorted in ranges.
+    """
+    kinds = F.array(*map(F.lit, ACTION_ORDER))
+    rank = (F.coalesce(F.array_position(kinds, F.concat_ws(" ", "action", "type")), F.lit(0)) - 1).cast("int")
+    rows = actions.withColumn("rank", rank)
+    folders = rows.where((F.col("action") == "DELETE") & (F.col("type") == "FOLDER")).select("path", F.lit(True).alias("_folder")).distinct()
+    rows = rows.join(folders, "path", "left").select(*rows.columns, (F.col("_folder").isNotNull() & F.col("action").isin("NEW", "RENAME") & F.col("type").isin("FILE", "SYMLINK")).alias("_behind"))
+    up = F.when(F.col("_behind") | (F.col("action") == "DELETE"), F.col("path"))
+    order = (F.when(F.col("_behind"), len(ACTION_ORDER) - 1).otherwise(F.col("rank")), up.desc_nulls_last(), F.col("_behind"), F.when(F.col("_behind"), -F.col("rank")), F.col("path"), F.col(id_col))
+    return in_order(rows, *order, name="nth").drop("_behind")
 
 
 # Fixed value: the form of such a name.

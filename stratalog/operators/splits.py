@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -115,3 +115,16 @@ def placed(df: DataFrame, by: list[str], order: list[str], name: str = "place")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a group's ranges
     runs = runs.select(*by, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     return rows.join(runs, [*by, "_range"]).select(*df.columns, (F.col("_at") + F.col("_shift") + 1).alias(name))
+
+
+def in_order(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row (1, 2, ...) by ``order``: sorted in ranges, which are stored, and counted on from range to range.
+
+    No task holds more than a range, and equal rows alone can't be divided.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return rows.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_nth") + 1).alias(name))

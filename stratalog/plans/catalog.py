@@ -421,9 +421,7 @@ query("new_contents", f"{_INDEXED} SELECT filecontent_checksum AS checksum, max(
 _HAS = "list_contains(c, '{}')"
 _SAME = f"NOT {_HAS.format('CHANGED_CHECKSUM')} AND NOT {_HAS.format('CHANGED_SIZE')}"
 _MOVED = f"({_HAS.format('CHANGED_LAST_MOD_DATE')} OR {_HAS.format('CHANGED_ATTRIBUTES')}"
-query(
-    "file_actions",
-    f""", won AS (SELECT filehistory_id, path, type, status = 'DELETED' AS ends, {_SIDE_SQL} AS w FROM fileversion_last WHERE filehistory_id >= '2'),
+_ACTIONS = f""", won AS (SELECT filehistory_id, path, type, status = 'DELETED' AS ends, {_SIDE_SQL} AS w FROM fileversion_last WHERE filehistory_id >= '2'),
     own AS (SELECT filehistory_id, path AS own_path, type AS own_type, {_SIDE_SQL} AS o FROM ({_AT.format("2024-01-20")})),
     disk AS (SELECT path, {_SIDE_SQL} AS d FROM ({_AT.format("2024-01-18")}) WHERE status <> 'DELETED'),
     r AS (SELECT *, coalesce(won.path, own_path) AS p, (SELECT d FROM disk WHERE disk.path = own_path) AS at_own, (SELECT d FROM disk WHERE disk.path = won.path) AS at_won FROM won FULL JOIN own USING (filehistory_id)),
@@ -433,12 +431,33 @@ query(
       WHEN o IS NOT NULL AND len(lc) > 0 THEN CASE WHEN NOT ({_HAS.format("DELETED")} AND coalesce(ends, false)) THEN 'CHANGE/changed' END WHEN len(c) = 0 THEN NULL
       WHEN {_HAS.format("NEW")} THEN 'DELETE/deleted' WHEN {_HAS.format("DELETED")} THEN CASE WHEN o IS NULL THEN 'NEW/new' ELSE 'CHANGE/changed' END WHEN {_HAS.format("CHANGED_LINK_TARGET")} THEN 'NEW_SYMLINK/new'
       WHEN o IS NULL AND {_SAME} AND {_MOVED}) THEN 'SET_ATTRIBUTES/new' WHEN o IS NULL THEN 'NEW/new' WHEN {_SAME} AND {_MOVED} OR {_HAS.format("CHANGED_PATH")}) THEN 'RENAME/changed' ELSE 'CHANGE/changed' END AS act FROM c)
-    SELECT filehistory_id, path, type, split_part(act, '/', 1) AS action, split_part(act, '/', 2) AS bucket FROM a WHERE act IS NOT NULL""",
-)(
-    lambda s: diff.reconciled(
-        s.fileversion_last.where("filehistory_id >= '2'"), _disk_at(s, "2024-01-20", deleted=True), _disk_at(s, "2024-01-18").withColumnRenamed("filecontent_checksum", "checksum")
-    )
-)
+    """
+_ACTED = "SELECT filehistory_id, path, type, split_part(act, '/', 1) AS action, split_part(act, '/', 2) AS bucket FROM a WHERE act IS NOT NULL"
+query("file_actions", f"{_ACTIONS} {_ACTED}")(lambda s: _actions(s))
+
+
+def _actions(s: VersionStore) -> DataFrame:
+    return diff.reconciled(s.fileversion_last.where("filehistory_id >= '2'"), _disk_at(s, "2024-01-20", deleted=True), _disk_at(s, "2024-01-18").withColumnRenamed("filecontent_checksum", "checksum"))
+
+
+#: Besides, half of the folders that go make room for a file of their path, and some of these for a renamed one as well.
+query(
+    "ordered_file_actions",
+    f"""{_ACTIONS}, did AS ({_ACTED}), gone AS (SELECT * FROM did WHERE action = 'DELETE' AND type = 'FOLDER' AND filehistory_id >= '8'),
+    every AS (SELECT filehistory_id, path, type, action FROM did UNION ALL SELECT 'n' || filehistory_id, path, 'FILE', 'NEW' FROM gone UNION ALL SELECT 'r' || filehistory_id, path, 'SYMLINK', 'RENAME' FROM gone WHERE filehistory_id >= 'c'),
+    named AS (SELECT e.*, coalesce(list_position(['DELETE FILE', 'DELETE SYMLINK', 'NEW FOLDER', 'NEW FILE', 'NEW SYMLINK', 'RENAME FILE', 'RENAME SYMLINK', 'DELETE FOLDER'], action || ' ' || type), 0) - 1 AS rank FROM every e),
+    sorted AS (SELECT *, row_number() OVER (ORDER BY rank, CASE WHEN action = 'DELETE' THEN path END DESC NULLS LAST, path, filehistory_id) AS first FROM named),
+    -- a second pass, as one would do it by hand: each in its turn goes right behind the deletion, so the last one is nearest to it
+    behind AS (SELECT s.filehistory_id, f.first AS spot FROM sorted s JOIN sorted f ON f.path = s.path AND f.action = 'DELETE' AND f.type = 'FOLDER' WHERE s.action IN ('NEW', 'RENAME') AND s.type IN ('FILE', 'SYMLINK'))
+    SELECT s.filehistory_id, path, type, action, rank::INT AS rank, row_number() OVER (ORDER BY coalesce(spot, first), spot IS NOT NULL, -first) AS nth FROM sorted s LEFT JOIN behind USING (filehistory_id)""",
+)(lambda s: diff.ordered_actions(_with_swaps(_actions(s).select("filehistory_id", "path", "type", "action"))))
+
+
+def _with_swaps(actions: DataFrame) -> DataFrame:
+    actions = cut(actions, "actions")
+    gone = actions.where("action = 'DELETE' and type = 'FOLDER' and filehistory_id >= '8'")
+    more = lambda rows, letter, kind, action: rows.select(F.concat(F.lit(letter), "filehistory_id").alias("filehistory_id"), "path", F.lit(kind).alias("type"), F.lit(action).alias("action"))
+    return actions.union(more(gone, "n", "FILE", "NEW")).union(more(gone.where("filehistory_id >= 'c'"), "r", "SYMLINK", "RENAME"))
 
 
 def _disk_at(s: VersionStore, day: str, deleted: bool = False) -> DataFrame:

@@ -114,8 +114,13 @@ def test_changes_and_actions(spark):
     df = spark.createDataFrame([([],), ([diff.DELETED],), ([diff.NEW],), ([diff.PATH],), ([diff.CHECKSUM],)], "c array<string>")
     known = df.select(diff.file_action(F.col("c"), F.lit(True), F.lit(True), F.lit(False)).alias("a")).collect()
     assert [r.a and r.a.action for r in known] == [None, "CHANGE", "DELETE", "RENAME", "CHANGE"]
-    acts = spark.createDataFrame([("NEW", "FILE", "b"), ("DELETE", "FOLDER", "x"), ("DELETE", "FILE", "a/1"), ("DELETE", "FILE", "a/2"), ("NEW", "FOLDER", "c"), ("CHANGE", "FILE", "z")], "action string, type string, path string")
-    assert [r.path for r in diff.ordered_actions(acts).collect()] == ["z", "a/2", "a/1", "c", "b", "x"]
+    acts = [("NEW", "FILE", "b"), ("DELETE", "FOLDER", "x"), ("DELETE", "FILE", "a/1"), ("DELETE", "FILE", "a/2"), ("NEW", "FOLDER", "c"), ("CHANGE", "FILE", "z"), ("DELETE", "FOLDER", "x/y")]
+    acts += [("NEW", "FILE", "x"), ("RENAME", "SYMLINK", "x"), ("NEW", "FILE", "x/z"), ("NEW", "FOLDER", "x/y")]  # a file and a link take the place of a folder
+    df = spark.createDataFrame([(*a, f"{k:02d}") for k, a in enumerate(acts)], "action string, type string, path string, filehistory_id string")
+    got = [(r.action, r.type, r.path) for r in sorted(diff.ordered_actions(df).collect(), key=lambda r: r.nth)]
+    assert [p for _, _, p in got] == ["z", "a/2", "a/1", "c", "x/y", "b", "x/z", "x/y", "x", "x", "x"]
+    assert got[-3:] == [("DELETE", "FOLDER", "x"), ("RENAME", "SYMLINK", "x"), ("NEW", "FILE", "x")]
+    assert diff.ordered_actions(df.limit(0)).count() == 0
 
 
 def plain_cuts(data: bytes, least: int, most: int, divisor: int) -> list[int]:
