@@ -39,7 +39,7 @@ _BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr ul".split()
 )
 _NESTED = _BLOCK - {"hr", "p", "li", "dt", "dd", "option", "tr"}
-_CHROME = frozenset("nav aside footer form button select option datalist noscript template svg math canvas object audio video dialog menu head search applet map".split())
+_CHROME = frozenset("nav aside footer form button select option datalist noscript template svg annotation annotation-xml canvas object audio video dialog menu head search applet map".split())
 _CELL = frozenset("td th br".split())
 
 # Words of class, id and role names, and words that may stand beside them and say nothing of what an element holds.
@@ -54,16 +54,22 @@ _PLAIN_WORDS = frozenset(
     "wrapper wrap container content row col column columns link links button buttons icon icons group panel header head title text body large small inline "
     "float sticky fixed mobile desktop post posts article articles entry entries story stories news blog user users reader readers thread slot unit message".split()
 )
+#: Of those, the ones that say it inside an article as well; the others may be what the article is about, and only raise suspicion.
+_STRANGE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing social comment comments commentlist disqus related recommended recommendations".split()
+)
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _LAYOUT_WORDS = frozenset("with has no without layout enabled disabled template theme single".split())
 _MAIN_WORDS = frozenset("content main article story entry post".split())
 _ARTICLE_NAMES = frozenset("articlebody article-body article-content post-content entry-content story-body post-body".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD, _SENTENCE = re.compile(r"[^\W\d_]{2}"), re.compile(r"[.!?。！？…]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block(NamedTuple):
-    """``level`` of the place: 2 article, 1 main part, 0 neither; ``linked``: share of letters in links."""
+    """``level`` of the place: 2 article, 1 main part, 0 neither; ``linked``: share of letters in links; ``prose``: a paragraph, or words outside links or a sentence's end."""
 
     text: str
     level: int
@@ -71,6 +77,7 @@ class Block(NamedTuple):
     links: int
     heading: bool
     suspect: bool
+    prose: bool = False
 
 
 #: Kinds of blocks for the host's verdict.
@@ -97,13 +104,14 @@ class Limits:
 
 
 def _named(name: str, inside: bool) -> tuple[bool, bool]:
-    """Whether a name says that its element is no main text, and whether it might say so: a telling word among others."""
+    """Whether a name says that its element is no main text, and whether it might say so: a telling word among others, or one that may as well be an article's own."""
     parts = {x.lower() for x in _PART.findall(name)}
     telling = parts & _CHROME_WORDS if inside else parts & (_CHROME_WORDS | _HEADER_WORDS)
     if not telling or parts & _LAYOUT_WORDS:
         return False, False
     rest = {x for x in parts - telling - _PLAIN_WORDS if len(x) > 2}
-    return not rest, bool(rest)
+    sure = not rest and (not inside or bool(parts & _STRANGE_WORDS))
+    return sure, not sure
 
 
 def _role(tag: str, raw: str, inside: bool) -> tuple[bool, bool, int]:
@@ -143,14 +151,15 @@ def parse(html: str, names: bool = True) -> list[Block]:
     drop, level, suspect, first = False, 0, False, False
     text: list[str] = []
     linked = links = 0
+    prose = paragraph = False
 
     def flush() -> None:
-        nonlocal linked, links, first
+        nonlocal linked, links, first, prose
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, level, min(1.0, linked / len(joined)), links, first, suspect))
+            out.append(Block(joined, level, min(1.0, linked / len(joined)), links, first, suspect, prose or paragraph or bool(_SENTENCE.search(joined))))
         text.clear()
-        linked, links, first = 0, int(count["a"] > 0), False
+        linked, links, first, prose = 0, int(count["a"] > 0), False, False
 
     def cut(at: int) -> None:
         nonlocal drop, level, suspect
@@ -179,9 +188,11 @@ def parse(html: str, names: bool = True) -> list[Block]:
             if not drop:
                 text.append(raw)
                 linked += len(raw) if count["a"] else 0
+                prose |= not count["a"] and bool(_WORD.search(raw))
             continue
         if tag in _BLOCK:
             flush()
+            paragraph = tag == "p" and kind != "end"
         elif tag in _CELL:
             text.append(" ")
         if kind == "end":
@@ -220,8 +231,8 @@ def parse(html: str, names: bool = True) -> list[Block]:
 def select(blocks: list[Block], link_share: float) -> list[tuple[str, int]]:
     """(text, kind) of the blocks of the innermost place that holds the main text.
 
-    Where neither article nor main part says what that is, blocks of links go, several or short ones; one that is a
-    single link of some words is suspect. So is a block of a suspect element, and goes if it is links.
+    Where neither article nor main part says what that is, blocks of nothing but links go, several or short ones; one that is a
+    single link of some words is suspect, and so is a paragraph of links, or a block with words beside them or a sentence's end. A block of a suspect element goes if it is links and no prose.
     """
     size = [0, 0, 0]
     for b in blocks:
@@ -232,8 +243,8 @@ def select(blocks: list[Block], link_share: float) -> list[tuple[str, int]]:
     elif size[1] or size[2]:
         placed = [(b, INSIDE) for b in blocks if b.level]
     else:
-        placed = [(b, SUSPECT if b.linked > link_share else OPEN) for b in blocks if b.linked <= link_share or (b.links == 1 and len(b.text.split()) > 4)]
-    return [(b.text, SUSPECT if b.suspect else kind) for b, kind in placed if not (b.suspect and b.linked > link_share)]
+        placed = [(b, SUSPECT if b.linked > link_share else OPEN) for b in blocks if b.linked <= link_share or b.prose or (b.links == 1 and len(b.text.split()) > 4)]
+    return [(b.text, SUSPECT if b.suspect else kind) for b, kind in placed if not (b.suspect and b.linked > link_share and not b.prose)]
 
 
 def page_blocks(html: str, link_share: float = 0.6) -> list[tuple[str, int]]:

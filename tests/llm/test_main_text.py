@@ -166,3 +166,36 @@ def test_unclosed_parts():
     assert [t for t, _ in main_text.page_blocks("<p>one<!-- open <p>two</p>")] == ["one"]
     assert [t for t, _ in main_text.page_blocks("<p>one</p>1 < 2 <b")] == ["one", "1 < 2 <b"]
     assert [t for t, _ in main_text.page_blocks("<p>one</p>two</p")] == ["one", "two"]
+
+
+def test_an_article_keeps_formulas_links_and_names():
+    """What may be part of an article isn't dropped by a page's structure alone."""
+    texts = lambda html: [t for t, _ in main_text.page_blocks(html)]
+    inside = lambda x: texts(f"<article><p>Long enough text of an article.</p>{x}</article>")[1:]
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>3</mn><annotation>x=3</annotation></math> hold.</p></article>") == ["Let x=3 hold."]
+    for x, text in (
+        ('<section id="copyright"><p>Copyright law began in 1709', "Copyright law began in 1709"), ('<blockquote class="reply">He said so', "He said so"), ('<ul class="menu"><li>Soup', "Soup"), ('<section class="banner">A flag', "A flag"),
+    ):
+        assert inside(x) == [text]
+    for x in ('<div class="comments">Nice!', '<div class="share">Share this', '<div class="ad-box">Buy', "<nav>Home", '<p hidden>x'):
+        assert inside(x) == []
+    body = "<p>See <a>the long report of the commission on water</a> and <a>the reply by the board of the town</a></p><p><a>Read</a> <a>these notes</a></p><div><a>Home</a> | <a>About</a></div><div><a>All is well.</a> <a>So it is.</a></div>"
+    assert texts(f"<body>{body}</body>") == ["See the long report of the commission on water and the reply by the board of the town", "Read these notes", "All is well. So it is."]
+
+
+def test_links_in_paragraphs_that_a_host_repeats_go(spark):
+    ship(spark)
+    page = lambda i: f"<p>Story {i} is about number{i} and what it did on day{i}</p><p><a>Home of all</a> <a>About us here</a></p>"
+    df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(4)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text.main_text(df).collect()} == {i: f"Story {i} is about number{i} and what it did on day{i}" for i in range(4)}
+
+
+def test_no_article_goes_for_the_greater_part(spark):
+    """Blocks that a host's articles share go, unless they are most of a page: then all of its article stays."""
+    ship(spark)
+    line = "The same line of the article that every page of the host has"
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    sizes = {i: 40 if i % 2 else 3 for i in range(40)}
+    df = spark.createDataFrame([(i, "http://h.example/", f"<article><p>{line}</p><p>{own(i, n)}</p></article>") for i, n in sizes.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    assert all(got[i] == (own(i, n) if n == 40 else f"{line}\n\n{own(i, n)}") for i, n in sizes.items())
