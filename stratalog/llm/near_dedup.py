@@ -20,6 +20,7 @@ below the bound of step 4 with ``PRUNE_MISS`` at most (the binomial tail of its
 from __future__ import annotations
 
 import math
+import uuid
 from functools import cache
 
 import numpy as np
@@ -379,11 +380,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_
     rows = checkpointed(labelled(docs, percent, id_col, text_col, block).where("cluster is not null").select("cluster", "doc_id", "k", "h"))
     first = rows.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "h")).alias("f")).select("f.k", "f.h")
     same = rows.groupBy("k", "h").agg(F.count("*").alias("n"))
-    gone = same.select("k", "h").join(first, ["k", "h"], "left_anti").select(F.col("k").alias("_k"), F.col("h").alias("_h"))
+    k, h = (f"{c}_{uuid.uuid4().hex}" for c in "kh")  # no column of docs has such a name
+    named = lambda df: df.select(F.col("k").alias(k), F.col("h").alias(h))
+    gone = named(same.select("k", "h").join(first, ["k", "h"], "left_anti"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_k": F.xxhash64(F.col(id_col), text), "_h": F.xxhash64(text, F.lit(1))})
-    out = keyed.join(gone, ["_k", "_h"], "left_anti")
-    repeats = checkpointed(same.where("n > 1").join(first, ["k", "h"], "left_semi").select(F.col("k").alias("_k"), F.col("h").alias("_h")))
+    keyed = docs.withColumns({k: F.xxhash64(F.col(id_col), text), h: F.xxhash64(text, F.lit(1))})
+    out = keyed.join(gone, [k, h], "left_anti")
+    repeats = checkpointed(named(same.where("n > 1").join(first, ["k", "h"], "left_semi")))
     if not repeats.isEmpty():
-        out = out.join(repeats, ["_k", "_h"], "left_anti").unionByName(out.join(repeats, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]))
+        out = out.join(repeats, [k, h], "left_anti").unionByName(out.join(repeats, [k, h], "left_semi").dropDuplicates([k, h]))
     return out.select(*docs.columns)

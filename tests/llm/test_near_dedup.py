@@ -104,3 +104,12 @@ def test_components(spark, seed):
         groups[want[x]].append(x)
     assert got == {x: min(g) for g in groups.values() for x in g}
     assert components(df.limit(0)).count() == 0
+
+
+def test_columns_with_the_names_of_keys_stay(spark):
+    ship(spark)
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text, 7, 8, 9), (2, text, 7, 8, 9), (3, "something else altogether", 5, 6, 4), (1, text, 1, 2, 3)], "doc_id long, text string, _k int, _h long, k int")
+    out = near_dedup.drop_near_duplicates(df)
+    rows = {(r.doc_id, r._k, r._h, r.k) for r in out.collect()}
+    assert out.columns == df.columns and len(rows) == 2 and (3, 5, 6, 4) in rows and rows <= {(1, 7, 8, 9), (1, 1, 2, 3), (3, 5, 6, 4)}
