@@ -54,11 +54,8 @@ _PLAIN_WORDS = frozenset(
     "wrapper wrap container content row col column columns link links button buttons icon icons group panel header head title text body large small inline "
     "float sticky fixed mobile desktop post posts article articles entry entries story stories news blog user users reader readers thread slot unit message".split()
 )
-#: Of those, the ones that say it inside an article as well; the others may be what the article is about, and only raise suspicion.
-_STRANGE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social comment comments commentlist disqus related recommended recommendations".split()
-)
+#: Of those, the ones that may as well say what a part of an article is about; there they only raise suspicion.
+_OWN_WORDS = frozenset("menu banner copyright reply replies respond notice notices alert dialog search form disclaimer teaser teasers aside".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _LAYOUT_WORDS = frozenset("with has no without layout enabled disabled template theme single".split())
 _MAIN_WORDS = frozenset("content main article story entry post".split())
@@ -110,7 +107,7 @@ def _named(name: str, inside: bool) -> tuple[bool, bool]:
     if not telling or parts & _LAYOUT_WORDS:
         return False, False
     rest = {x for x in parts - telling - _PLAIN_WORDS if len(x) > 2}
-    sure = not rest and (not inside or bool(parts & _STRANGE_WORDS))
+    sure = not rest and not (inside and telling <= _OWN_WORDS)
     return sure, not sure
 
 
