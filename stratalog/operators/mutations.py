@@ -34,9 +34,12 @@ def clock_entries(commits: DataFrame) -> DataFrame:
     return rows.withColumn("logicaltime", F.col("logicaltime").cast("int"))
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Appends rows whose key isn't there yet, one for each key."""
-    return append(old, new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], place: str | None = None) -> DataFrame:
+    """Appends rows whose key isn't there yet; of several with one key the first by ``place`` (a column of ``new``), else the smallest row."""
+    rest = [c for c in new.columns if c not in keys]
+    first = F.min(F.struct(*([place] if place else []), *[c for c in rest if c != place])).alias("_first")
+    new = new.groupBy(*keys).agg(first).select(*keys, "_first.*") if rest else new.distinct()
+    return append(old, new.join(old.select(*keys), keys, "left_anti"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,12 +6,12 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clocks, text
 from ..session import cut, fresh_path, ship
-from ..operators import causality, chunks, cleanup, diff, history, indexing, lookups, mutations
+from ..operators import causality, chunks, cleanup, diff, history, indexing, lookups, mutations, union
 from ..sources import deltalog
 from ..sources.model import MODEL_SQL
 from ..streaming import sync
@@ -481,6 +481,20 @@ for _name, _last, _force, _code in (("dirty", "2024-01-01 00:00:00", False, "NOK
     _CASES = f"""SELECT CASE WHEN {_name == "dirty"} AND (SELECT count(*) FROM databaseversion WHERE status = 'DIRTY') > 0 THEN 'NOK_DIRTY_LOCAL' WHEN {not _force} AND TIMESTAMP '{_last}' + INTERVAL 3 HOUR > TIMESTAMP '{_NOW}' THEN 'NOK_RECENTLY_CLEANED'
       WHEN (SELECT count(*) FROM fileversion_master_last WHERE updated > TIMESTAMP '2024-01-20 00:00:00') > 0 THEN 'NOK_LOCAL_CHANGES' ELSE 'OK' END AS code"""
     query(f"cleanup_{_name}", _CASES)(_precondition)
+for _name, _clean, _unread, _busy, _code in (("unread", True, True, True, "NOK_REMOTE_CHANGES"), ("busy", True, False, True, "NOK_OTHER_OPERATIONS"), ("ok", True, False, False, "OK")):
+
+    def _settled(s: VersionStore, unread: bool = _unread, busy: bool = _busy) -> DataFrame:
+        """Nothing is dirty, the disk is as the catalog says; files that the ledger doesn't have, and other clients' action files, if asked for."""
+        clean = s.with_tables(databaseversion=s.databaseversion.withColumn("status", F.lit("MASTER")))
+        same = clean.fileversion_master_last.groupBy("path").agg(F.max("filehistory_id").alias("filehistory_id")).select("path", F.lit("unchanged").alias("status"))
+        remote = deltalog.unknown_databases(_remote(s), s.known_databases)
+        running = deltalog.parse_names(s.databaseversion.select(F.concat(F.lit("action-up-"), "client", F.lit("-"), F.col("id").cast("string")).alias("name"))).where("kind = 'action' and client <> 'A'")
+        return cleanup.precondition(clean, same, remote if unread else remote.limit(0), running if busy else running.limit(0), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), _now())
+
+    query(
+        f"cleanup_{_name}",
+        f"""SELECT CASE WHEN {_unread} AND (SELECT count(*) FROM commits WHERE own % 2 = 1) > 0 THEN 'NOK_REMOTE_CHANGES' WHEN {_busy} AND (SELECT count(*) FROM databaseversion WHERE client <> 'A') > 0 THEN 'NOK_OTHER_OPERATIONS' ELSE 'OK' END AS code""",
+    )(_settled)
 query("merge_needed", f"SELECT count(*) AS clients, sum(files)::BIGINT AS files, sum(files) > 15 * count(*) AS needed FROM {_NAMES}")(lambda s: cleanup.merge_needed(deltalog.parse_names(_remote(s))))
 query("merged_files", f"SELECT client, top::BIGINT + 1 AS number, files AS replaces FROM {_NAMES}")(lambda s: cleanup.merged_files(deltalog.parse_names(_remote(s))))
 query("cleanup_occurred", "SELECT max(CASE WHEN own % 5 = 0 THEN own ELSE 0 END) > 10 AS occurred FROM commits")(
@@ -548,6 +562,29 @@ document_query(
     SELECT commit, checksum, container FROM r""",
 )(lambda f: chunks.pack_containers(chunks.new_chunks(c := chunks.fixed_chunks(f, 1024).drop("data"), c.select("checksum").limit(0)).withColumn("commit", F.expr("file_id div 100")), 20_000))
 
+# --- union of deltas ------------------------------------------------------
+
+#: Commits in order of client and time; each row is said by its commit, and again, a little otherwise, by the commit five on.
+_PLACES = ", places AS (SELECT *, row_number() OVER (ORDER BY client, localtime) AS place FROM databaseversion)"
+_SAID = """, said AS (SELECT filehistory_id, version, path, status, filecontent_checksum, databaseversion_id AS id FROM fileversion UNION ALL SELECT filehistory_id, version, path || '~', status, filecontent_checksum, databaseversion_id + 5 FROM fileversion),
+    united AS (SELECT s.*, place FROM said s JOIN places USING (id) QUALIFY row_number() OVER (PARTITION BY filehistory_id, version ORDER BY place) = 1),
+    last AS (SELECT * FROM united QUALIFY row_number() OVER (PARTITION BY filehistory_id ORDER BY version DESC) = 1)"""
+
+
+def _union(s: VersionStore) -> dict[str, DataFrame]:
+    places = s.databaseversion.select(F.col("id").alias("databaseversion_id"), F.row_number().over(Window.orderBy("client", "localtime")).alias("place"))  # a row for each commit
+    again = lambda df, **changed: df.unionByName(df.withColumns({"databaseversion_id": (F.col("databaseversion_id") + 5).cast("int"), **changed})).join(places, "databaseversion_id").drop("databaseversion_id")
+    versions = s.fileversion.select("filehistory_id", "version", "path", "status", "filecontent_checksum", "databaseversion_id")
+    return union.union_of({"chunk": again(s.chunk, size=F.col("size") + 1), "fileversion": again(versions, path=F.concat("path", F.lit("~")))})
+
+
+query("union_chunks", f"{_PLACES} SELECT checksum, arg_min(size, place)::BIGINT AS size, min(place) AS place FROM (SELECT checksum, databaseversion_id AS id, size FROM chunk UNION ALL SELECT checksum, databaseversion_id + 5, size + 1 FROM chunk) JOIN places USING (id) GROUP BY 1")(lambda s: _union(s)["chunk"])
+query("union_commits", f"{_PLACES} SELECT vectorclock_serialized, client, place FROM places")(
+    lambda s: union.by_clock(s.databaseversion.select("vectorclock_serialized", "client", F.row_number().over(Window.orderBy("client", "localtime")).alias("place")))
+)
+query("union_paths", f"{_PLACES}{_SAID} SELECT path, max(filehistory_id) AS filehistory_id FROM last WHERE status <> 'DELETED' GROUP BY 1")(lambda s: union.by_path(union.last_versions(_union(s)["fileversion"])))
+query("union_contents", f"{_PLACES}{_SAID} SELECT filecontent_checksum, count(*) AS n, min(filehistory_id) AS first FROM last WHERE filecontent_checksum IS NOT NULL GROUP BY 1")(lambda s: union.by_content(union.last_versions(_union(s)["fileversion"])))
+
 # --- sources, functions, settling -----------------------------------------
 
 
