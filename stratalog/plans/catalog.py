@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import clocks, text
 from ..session import cut, fresh_path, ship
 from ..operators import causality, chunks, cleanup, diff, history, indexing, lookups, mutations, union
-from ..sources import deltalog
+from ..sources import deltalog, repository
 from ..sources.model import MODEL_SQL
 from ..streaming import sync
 from .store import VersionStore
@@ -625,6 +625,23 @@ def _in_files(s: VersionStore) -> DataFrame:
     return s.databaseversion.join(own, ["id", "client"]).select("client", "vectorclock_serialized", "localtime", file.alias("file"))
 
 
+#: Every commit a file of its own, then one file a client; read back by file.
+@query(
+    "compacted_deltas",
+    """, c AS (SELECT client, max(own) + 1 AS number, count(*) AS commits FROM commits GROUP BY 1), v AS (SELECT client, count(*) AS versions FROM fileversion f JOIN commits c ON c.id = f.databaseversion_id GROUP BY 1)
+    SELECT 'database-' || client || '-' || lpad(number::VARCHAR, 10, '0') AS name, client, number::INT AS filenumber, commits, versions FROM c JOIN v USING (client)""",
+)
+def _compacted(s: VersionStore) -> DataFrame:
+    spark = s.databaseversion.sparkSession
+    folder = fresh_path(spark, "repository")
+    repository.write_delta_files(cut(deltalog.commits(s), "commits"), folder)
+    ledger = repository.compact(spark, folder)
+    left = deltalog.parse_names(repository.listing(spark, folder)).join(ledger, "client")
+    rows = deltalog.read_rows(spark, folder, deltalog.BODY_SCHEMA).groupBy(F.col("_client").alias("client"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    rows = rows.agg(F.count("*").alias("commits"), F.sum(F.aggregate(F.coalesce("fileHistories.fileHistory", F.array()), F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["fileVersions"]["fileVersion"]))).alias("versions"))
+    return left.join(rows, ["client", "name"], "left").select("name", "client", F.col("number").cast("int").alias("filenumber"), "commits", "versions")
+
+
 query("remote_names", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, 'database' AS kind, client, own::BIGINT AS number FROM commits UNION ALL SELECT 'multichunk-' || id, 'multichunk', NULL, NULL FROM multichunk")(lambda s: deltalog.parse_names(_remote(s)))
 query("unknown_databases", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, client, own AS filenumber FROM commits WHERE own % 2 = 1")(lambda s: deltalog.unknown_databases(_remote(s), s.known_databases))
 query("cache_within_budget", "SELECT path, size FROM (SELECT *, sum(size) OVER (PARTITION BY type ORDER BY lastmodified DESC, path ROWS UNBOUNDED PRECEDING) AS s FROM fileversion_last) WHERE s <= 200000")(

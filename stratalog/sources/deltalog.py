@@ -18,7 +18,7 @@ FILE_NAMES = {
     "temp": r"^temp-([^-]+)-(.+)$",
     "repo": r"^(?:master|repo)$",
 }
-_ATTR = "_"
+ATTRIBUTE_PREFIX = "_"
 HEADER_SCHEMA = "_client string, _date bigint, _clock string"
 # The elements and attributes of a commit.
 _REFS = "chunkRefs:struct<chunkRef:array<struct<_ref:string>>>"
@@ -102,21 +102,22 @@ def commits(store) -> DataFrame:
 
 def write_deltas(store, path: str) -> None:
     """Commits as XML, a ``databaseVersion`` element each; times in milliseconds. Paths with characters that XML refuses are base64."""
-    commits(store).write.format("xml").option("rootTag", "database").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).save(path)
+    commits(store).write.format("xml").option("rootTag", "database").option("rowTag", "databaseVersion").option("attributePrefix", ATTRIBUTE_PREFIX).save(path)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", _ATTR).schema(schema).load(path)
+def read_rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """The commits of delta files as rows of ``schema``, which may name a part of ``BODY_SCHEMA``."""
+    return spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", ATTRIBUTE_PREFIX).schema(schema).load(path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """client, localtime, clock of the commits; what they hold isn't parsed into columns."""
-    return _read(spark, path, HEADER_SCHEMA).select(F.col("_client").alias("client"), _time("_date").alias("localtime"), F.col("_clock").alias("vectorclock_serialized"))
+    return read_rows(spark, path, HEADER_SCHEMA).select(F.col("_client").alias("client"), _time("_date").alias("localtime"), F.col("_clock").alias("vectorclock_serialized"))
 
 
 def read_deltas(spark: SparkSession, path: str, client: str | None = None, first: int | None = None, last: int | None = None) -> dict[str, DataFrame]:
     """Tables of the commits, by name, with client and clock in place of the commit's id; of one ``client`` only, and only of its own times from ``first`` to ``last``."""
-    rows = _read(spark, path, BODY_SCHEMA)
+    rows = read_rows(spark, path, BODY_SCHEMA)
     own = vc_get(vc_parse(F.col("_clock")), F.col("_client"))
     rows = rows.where(F.col("_client") == client) if client is not None else rows
     rows = rows.where(own >= first) if first is not None else rows
