@@ -36,7 +36,8 @@ RATE, CALM = 0.2, 30.0
 #: What part of 8 of the training texts each round sees.
 ROUNDS = ((0,), (1,), (2, 3), (4, 5, 6, 7))
 BROADCAST_WORDS = 1 << 20
-SLICE = 8 << 20
+#: Text counted at once, and text whose outputs are a stored row; a longer document is handled alone.
+COUNT_BYTES, ROW_BYTES = 4 << 20, 1 << 20
 HELD_OUT, FOLDS = 1, 5
 _START = CLASSES  # what stands before a text, as a context
 _PER_OCTAVE = 16  # steps of the scale on which words are ordered by their count
@@ -63,7 +64,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             text, ids = large(b.column("text")), b.column("doc_id").to_pylist()
             train = np.array([checksum(x) % FOLDS != HELD_OUT for x in ids], bool)
-            for i, j in slices(text, SLICE):
+            for i, j in slices(text, COUNT_BYTES):
                 data, starts, ends, word, first = words(text.slice(i, j - i), lower=True)
                 u, at, inverse = np.unique(word, return_index=True, return_inverse=True)
                 learnt = np.repeat(train[i:j], np.diff(first))
@@ -139,7 +140,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = shared.value
         for b in batches:
             text = large(b.column("text"))
-            for i, j in slices(text, SLICE):
+            for i, j in slices(text, ROW_BYTES):
                 ids = b.column("doc_id").slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(_encode(ids, text.slice(i, j - i), v), schema=pa.schema([*zip(schema.names, [pa.list_(ids.type), *_TYPES], strict=True)]))
 
