@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splits import in_order
 from .common import large, raw_bytes, saved, slices, texts
 from .crc import appended, bounds, crc32_of, joined
 
 BUCKETS, MAX_GRAM, SEED, PERCENT, MIN_WORDS = 10_000, 3, 42, 5, 20
 #: Share of the rows by which the first cut lies below the drawn ones, and the ranks in which that cut is off at most: 1 in so many.
 SLACK, ACCURACY = 0.01, 10_000
+#: Text of a stored stream, small enough for a row that an executor's heap takes in its stride; a longer document is a row of its own.
+STREAM_BYTES = 256 << 10
 
 _SOLID = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,7 +68,7 @@ def streams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = large(b.column("text"))
-            for i, j in slices(text):
+            for i, j in slices(text, STREAM_BYTES):
                 stream, begin, n_words = bucket_stream(text.slice(i, j - i), buckets)
                 lists = [b.column("doc_id").slice(i, j - i), pa.array(n_words), pa.array(begin[:-1])]
                 yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays([0, j - i], x) for x in lists), pa.array([stream.astype("<u2").tobytes()], pa.binary())], names=schema.names)
@@ -124,22 +127,6 @@ def weighed(stored: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
     return stored.select("ids", "n_words", "starts", "stream").mapInArrow(run, schema)
 
 
-def in_order(rows: DataFrame, *order: F.Column, name: str = "rank") -> DataFrame:
-    """``rows`` with their place (1, 2, ...) by ``order``: sorted in ranges, which are stored, and counted on from range to range.
-
-    No task holds more than a range, and equal rows alone can't be divided.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = saved(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    counts = sorted((r["_range"], r["n"]) for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect())  # a row for each range
-    before, total = {}, 0
-    for r, n in counts:
-        before[r], total = total, total + n
-    offset = placed.sparkSession.createDataFrame([*before.items()], "_range long, _before long")
-    return placed.join(F.broadcast(offset), "_range").select(*rows.columns, (F.col("_before") + F.col("_nth") + 1).alias(name))
-
-
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, buckets: int = BUCKETS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
     """doc_id, n_features, weight, score and rank of every row of ``docs``, drawn towards the texts of ``target``.
 
