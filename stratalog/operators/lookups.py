@@ -80,3 +80,24 @@ def containers_with_chunks(store, clock: str) -> DataFrame:
 
 def dirty_containers(store) -> DataFrame:
     return store.multichunk.join(store.dirty_commits.select(F.col("id").alias("databaseversion_id")), "databaseversion_id", "left_semi").select("id").distinct()
+
+
+def versions_of_clock(store, clock: str, limit: int = 0) -> DataFrame:
+    """Versions of the commit with this clock, dirty or not, with its header; with a ``limit`` above 0 the first so many by history and version."""
+    rows = store.fileversion_full.where(F.col("vectorclock_serialized") == clock)
+    return rows.orderBy("filehistory_id", "version").limit(limit) if limit > 0 else rows
+
+
+def containers_to_download(wanted: DataFrame, local, winner) -> DataFrame:
+    """multichunk_id of the containers that hold the contents (filecontent_checksum) of files to be made.
+
+    A content that the ``local`` store knows, with containers, comes from these. For the chunks of the others, as the ``winner``'s store lists them, a
+    container of the local store counts, else one of the winner's; a chunk that neither has is an error. A content without chunks needs none.
+    """
+    wanted = wanted.where("filecontent_checksum is not null").select("filecontent_checksum").distinct()
+    place = lambda store, name: store.multichunk_chunk.groupBy("chunk_checksum").agg(F.min("multichunk_id").alias(name))
+    known = wanted.join(local.filecontent_chunk, "filecontent_checksum").join(local.multichunk_chunk, "chunk_checksum").select("filecontent_checksum", "multichunk_id").distinct()
+    chunks = wanted.join(known, "filecontent_checksum", "left_anti").join(winner.filecontent_chunk, "filecontent_checksum").select("chunk_checksum").distinct()
+    found = chunks.join(place(local, "_here"), "chunk_checksum", "left").join(place(winner, "_there"), "chunk_checksum", "left")
+    missing = F.raise_error(F.concat(F.lit("no container has chunk "), "chunk_checksum")).cast("string")
+    return known.select("multichunk_id").union(found.select(F.coalesce("_here", "_there", missing).alias("multichunk_id"))).distinct()

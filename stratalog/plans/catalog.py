@@ -78,7 +78,8 @@ query("histories_by_ids", f"SELECT {_FV} FROM fileversion_master WHERE filehisto
 query("histories_with_versions", "SELECT filehistory_id, count(*) AS n, max(version) AS last FROM fileversion_master GROUP BY 1")(lambda s: s.fileversion_master.groupBy("filehistory_id").agg(F.count("*").alias("n"), F.max("version").alias("last")))
 query("histories_with_last_version", "SELECT filehistory_id, version FROM fileversion_master_last")(lambda s: s.fileversion_master_last.select("filehistory_id", "version"))
 query("last_version_of_path", f"SELECT {_FV} FROM fileversion_master_last WHERE path = '{_PATH}'")(lambda s: s.fileversion_master_last.where(F.col("path") == _PATH))
-query("histories_of_clock", f"SELECT {_FV}, commit_status, localtime, client, vectorclock_serialized FROM fileversion_full WHERE vectorclock_serialized = '{_CLOCK}'")(lambda s: s.fileversion_full.where(F.col("vectorclock_serialized") == _CLOCK))
+query("histories_of_clock", f"SELECT {_FV}, commit_status, localtime, client, vectorclock_serialized FROM fileversion_full WHERE vectorclock_serialized = '{_CLOCK}'")(lambda s: lookups.versions_of_clock(s, _CLOCK))
+query("histories_of_clock_first", f"SELECT {_FV}, commit_status, localtime, client, vectorclock_serialized FROM fileversion_full WHERE vectorclock_serialized = '{_CLOCK}' ORDER BY filehistory_id, version LIMIT 5")(lambda s: lookups.versions_of_clock(s, _CLOCK, 5))
 query("expand_history", f"SELECT min(filehistory_id) AS filehistory_id FROM fileversion_master WHERE filehistory_id LIKE substr(sha1('{_HISTORY}'), 1, 9) || '%' HAVING count(DISTINCT filehistory_id) = 1")(
     lambda s: lookups.expand_history_id(s, _hash_prefix(9))
 )
@@ -115,6 +116,17 @@ query("containers_of_file", "SELECT DISTINCT multichunk_id FROM filecontent_chun
 query("containers_with_chunks", f"SELECT multichunk_id, count(*) AS n_chunks, string_agg(chunk_checksum, ',' ORDER BY chunk_checksum) AS chunks FROM multichunk_chunk WHERE multichunk_id IN (SELECT m.id FROM multichunk m JOIN databaseversion d ON d.id = m.databaseversion_id WHERE d.vectorclock_serialized = '{_CLOCK}') GROUP BY 1")(
     lambda s: lookups.containers_with_chunks(s, _CLOCK)
 )
+query(
+    "containers_to_download",
+    """, w AS (SELECT DISTINCT filecontent_checksum AS c FROM fileversion_last WHERE status <> 'DELETED' AND filecontent_checksum IS NOT NULL),
+    known AS (SELECT DISTINCT c, multichunk_id FROM w JOIN filecontent_chunk r ON r.filecontent_checksum = c AND c < '8' JOIN multichunk_chunk m ON m.chunk_checksum = r.chunk_checksum AND m.multichunk_id < '8'),
+    rest AS (SELECT DISTINCT chunk_checksum FROM w JOIN filecontent_chunk r ON r.filecontent_checksum = c WHERE c NOT IN (SELECT c FROM known))
+    SELECT multichunk_id FROM known UNION SELECT coalesce(min(CASE WHEN multichunk_id < '8' THEN multichunk_id END), min(multichunk_id)) FROM rest JOIN multichunk_chunk USING (chunk_checksum) GROUP BY chunk_checksum""",
+)(
+    lambda s: lookups.containers_to_download(
+        s.fileversion_master_last.select("filecontent_checksum"), s.with_tables(filecontent_chunk=s.filecontent_chunk.where("filecontent_checksum < '8'"), multichunk_chunk=s.multichunk_chunk.where("multichunk_id < '8'")), s
+    )
+)
 query("dirty_containers", "SELECT DISTINCT id FROM multichunk WHERE databaseversion_id IN (SELECT id FROM databaseversion WHERE status = 'DIRTY')")(lookups.dirty_containers)
 
 # --- greatest per group ---------------------------------------------------

@@ -312,3 +312,16 @@ def test_odd_text_functions(spark):
     assert got == [("abc.txt", True, "00ff", True), (None, False, None, None)]
     with pytest.raises(Exception, match="odd length"):
         df.select(text.from_hex(F.lit("abc"))).collect()
+
+
+def test_download_plan(spark):
+    """Contents known here come from here; of the winner's contents a chunk's container here counts first; a chunk without one is an error."""
+    refs = lambda rows: spark.createDataFrame(rows, SCHEMAS["filecontent_chunk"])
+    places = lambda rows: spark.createDataFrame(rows, SCHEMAS["multichunk_chunk"])
+    local = VersionStore.empty(spark).with_tables(filecontent_chunk=refs([("c1", "a", 0)]), multichunk_chunk=places([("m1", "a"), ("m2", "b")]))
+    winner = VersionStore.empty(spark).with_tables(filecontent_chunk=refs([("c1", "a", 0), ("c2", "b", 0), ("c2", "d", 1), ("c3", "x", 0)]), multichunk_chunk=places([("w1", "a"), ("w2", "b"), ("w3", "d")]))
+    want = lambda *c: spark.createDataFrame([(x,) for x in c], "filecontent_checksum string")
+    assert {r[0] for r in lookups.containers_to_download(want("c1", "c1", None, "empty"), local, winner).collect()} == {"m1"}
+    assert {r[0] for r in lookups.containers_to_download(want("c1", "c2"), local, winner).collect()} == {"m1", "m2", "w3"}
+    with pytest.raises(Exception, match="no container has chunk x"):
+        lookups.containers_to_download(want("c3"), local, winner).collect()
