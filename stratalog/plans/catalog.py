@@ -654,6 +654,38 @@ def _compacted(s: VersionStore) -> DataFrame:
     return left.join(rows, ["client", "name"], "left").select("name", "client", F.col("number").cast("int").alias("filenumber"), "commits", "versions")
 
 
+#: Two clients' files by name, and what lies in them.
+_IN_FILES = ", v AS (SELECT databaseversion_id, count(*) AS versions FROM fileversion GROUP BY 1) SELECT client, own::BIGINT AS number, 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, d.vectorclock_serialized AS clock, coalesce(versions, 0)::BIGINT AS versions FROM commits c JOIN (SELECT id, vectorclock_serialized FROM databaseversion) d USING (id) LEFT JOIN v ON v.databaseversion_id = c.id"
+
+
+def _repository(s: VersionStore) -> str:
+    folder = fresh_path(s.databaseversion.sparkSession, "repository")
+    repository.write_delta_files(cut(deltalog.commits(s), "commits"), folder)
+    return folder
+
+
+def _in_names(rows: DataFrame) -> DataFrame:
+    versions = F.aggregate(F.coalesce("fileHistories.fileHistory", F.array()), F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["fileVersions"]["fileVersion"]))
+    return rows.select("client", "number", "name", F.col("_clock").alias("clock"), versions.alias("versions"))
+
+
+@query("delta_files_of", f"{_IN_FILES} WHERE client IN ('A', 'B') AND own BETWEEN 3 AND 20")
+def _files_of(s: VersionStore) -> DataFrame:
+    rows = repository.read_delta_files(s.databaseversion.sparkSession, _repository(s))
+    return _in_names(rows.where(F.col("client").isin("A", "B") & F.col("number").between(3, 20)))
+
+
+@query("followed_deltas", f"{_IN_FILES} WHERE own > 5")
+def _followed(s: VersionStore) -> DataFrame:
+    """A stream that begins behind a ledger with five files of each client, and stores what it reads."""
+    spark = s.databaseversion.sparkSession
+    known = s.databaseversion.select("client").distinct().withColumn("filenumber", F.lit(5))
+    into = fresh_path(spark, "followed")
+    keep = lambda df, n: _in_names(df).write.mode("overwrite").parquet(f"{into}/batch={n}")
+    sync.follow(spark, _repository(s), fresh_path(spark, "ledger"), keep, known, once=True).awaitTermination()
+    return spark.read.schema("client string, number bigint, name string, clock string, versions bigint").parquet(into).drop("batch")
+
+
 query("remote_names", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, 'database' AS kind, client, own::BIGINT AS number FROM commits UNION ALL SELECT 'multichunk-' || id, 'multichunk', NULL, NULL FROM multichunk")(lambda s: deltalog.parse_names(_remote(s)))
 query("unknown_databases", "SELECT 'database-' || client || '-' || lpad(own::VARCHAR, 10, '0') AS name, client, own AS filenumber FROM commits WHERE own % 2 = 1")(lambda s: deltalog.unknown_databases(_remote(s), s.known_databases))
 query("cache_within_budget", "SELECT path, size FROM (SELECT *, sum(size) OVER (PARTITION BY type ORDER BY lastmodified DESC, path ROWS UNBOUNDED PRECEDING) AS s FROM fileversion_last) WHERE s <= 200000")(

@@ -116,12 +116,17 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_deltas(spark: SparkSession, path: str, client: str | None = None, first: int | None = None, last: int | None = None) -> dict[str, DataFrame]:
-    """Tables of the commits, by name, with client and clock in place of the commit's id; of one ``client`` only, and only of its own times from ``first`` to ``last``."""
+    """``tables`` of the commits of one ``client`` only, and only of its own times from ``first`` to ``last``."""
     rows = read_rows(spark, path, BODY_SCHEMA)
     own = vc_get(vc_parse(F.col("_clock")), F.col("_client"))
     rows = rows.where(F.col("_client") == client) if client is not None else rows
     rows = rows.where(own >= first) if first is not None else rows
     rows = rows.where(own <= last) if last is not None else rows
+    return tables(rows)
+
+
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """Tables of commits in the form of ``BODY_SCHEMA``, by name, with client and clock in place of the commit's id."""
     head = [F.col("_client").alias("client"), F.col("_clock").alias("vectorclock_serialized")]
     each = lambda name, *cols: rows.select(*head, F.explode(name).alias("x")).select("client", "vectorclock_serialized", *cols)
     size = F.col("x._size").alias("size")

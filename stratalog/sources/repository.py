@@ -5,13 +5,16 @@ Spark writes the XML, a task for each file; the driver moves whole files from a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clocks import vc_get, vc_parse
 from ..operators.cleanup import merged_files
-from ..session import fresh_path
+from ..session import fresh_path, ship
 from .deltalog import ATTRIBUTE_PREFIX, BODY_SCHEMA, database_name, parse_names, read_rows
+from .deltasource import DeltaFiles
 
 
 def _hadoop(spark: SparkSession, folder: str):
@@ -83,3 +86,34 @@ def compact(spark: SparkSession, folder: str, commits: DataFrame | None = None)
     staged, new = stage(rows.join(F.broadcast(target), "_client").select(*rows.columns, "file"))  # a row for each client
     publish(spark, staged, new, folder, old)
     return parse_names(spark.createDataFrame([(n,) for n in new], "name string")).select("client", F.col("number").cast("int").alias("filenumber"))
+
+
+def _source(spark: SparkSession, streaming: bool):
+    ship(spark).dataSource.register(DeltaFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return (spark.readStream if streaming else spark.read).format(DeltaFiles.name())
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    body = F.from_xml("xml", BODY_SCHEMA, {"attributePrefix": ATTRIBUTE_PREFIX, "mode": "FAILFAST"})
+    return rows.select("client", "number", "name", body.alias("c")).select("client", "number", "name", "c.*")
+
+
+def read_delta_files(spark: SparkSession, folder: str) -> DataFrame:
+    """client, number and name of the file, and ``BODY_SCHEMA`` of each commit in it.
+
+    A filter on client, number or name keeps other files closed. Turns the session's push-down into Python sources on. An empty or missing folder has no rows; a damaged file
+    that is opened is an error.
+    """
+    return _parsed(_source(spark, False).load(folder))
+
+
+def follow_delta_files(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """The rows of ``read_delta_files`` as a stream: files beyond those of the ledger ``known`` (client, filenumber), then whatever comes.
+
+    The query's checkpoint takes the ledger's place once it has one: each file counts once, also after a restart. A client's files count by their number, so one
+    that comes under a lower number than its newest is never read, and a merged one is.
+    """
+    # a row for each client
+    ledger = {} if known is None else {r["client"]: r["n"] for r in known.groupBy("client").agg(F.max("filenumber").alias("n")).collect()}
+    return _parsed(_source(spark, True).option("known", json.dumps(ledger)).load(folder))
