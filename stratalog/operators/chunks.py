@@ -25,28 +25,42 @@ def fixed_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.select("file_id", F.col("num").cast("int").alias("num"), data.alias("data")).select("file_id", "num", F.sha1("data").alias("checksum"), F.octet_length("data").cast("bigint").alias("size"), "data")
 
 
+def tttd_sizes(average: int) -> tuple[int, int, int]:
+    """Least and largest size of a content-defined chunk, and the divisor."""
+    least, most, divisor = (math.floor(x * average / TTTD_UNIT + 0.5) for x in (TTTD_MIN, TTTD_MAX, TTTD_DIVISOR))
+    if least < TTTD_WINDOW:
+        raise ValueError(f"chunks of {average} bytes are shorter than the window of {TTTD_WINDOW}")
+    return least, most, divisor
+
+
+def window_hits(seen: np.ndarray, divisor: int) -> np.ndarray:
+    """Whether the rolling sum of each window of ``TTTD_WINDOW`` signed bytes (along the last axis, by its start) has the divisor's last remainder.
+
+    The sum is a signed 32-bit number of two halves, so only a positive one can have that remainder.
+    """
+    w, seen = TTTD_WINDOW, seen.astype(np.int64)
+    zero = np.zeros((*seen.shape[:-1], 1), np.int64)
+    one = np.concatenate([zero, np.cumsum(seen, -1)], -1)
+    two = np.concatenate([zero, np.cumsum(seen * np.arange(seen.shape[-1]), -1)], -1)
+    low = one[..., w:] - one[..., :-w]
+    high = (w + np.arange(low.shape[-1])) * low - (two[..., w:] - two[..., :-w])
+    value = ((low & 0xFFFF) | (high << 16)) & 0xFFFFFFFF
+    return (value < 1 << 31) & (value % divisor == divisor - 1)
+
+
 def tttd_cuts(data: bytes, average: int) -> list[int]:
     """Ends of content-defined chunks: where the rolling sum over ``TTTD_WINDOW`` bytes has the divisor's last remainder, past the least size, at the largest size at the latest.
 
-    The sum starts with the window before the byte at the least size, and that byte never enters it. Bytes are signed and the sum is
-    a signed 32-bit number of two halves, so only a positive one can have that remainder. An empty file has no chunk.
+    The sum starts with the window before the byte at the least size, and that byte never enters it. An empty file has no chunk.
     """
-    least, most, divisor = (math.floor(x * average / TTTD_UNIT + 0.5) for x in (TTTD_MIN, TTTD_MAX, TTTD_DIVISOR))
-    if least < TTTD_WINDOW:
-        raise ValueError(f"chunks of {average} bytes are shorter than the window of {TTTD_WINDOW}")
-    x = np.frombuffer(data, np.int8).astype(np.int64)
+    least, most, divisor = tttd_sizes(average)
+    x = np.frombuffer(data, np.int8)
     cuts, start, w = [], 0, TTTD_WINDOW
     while start < len(x):
         part = x[start : start + most]
-        seen = np.concatenate([part[least - w : least], part[least + 1 :]])
         cut = len(part)
         if len(part) > least:
-            one, two = np.zeros(len(seen) + 1, np.int64), np.zeros(len(seen) + 1, np.int64)
-            one[1:], two[1:] = np.cumsum(seen), np.cumsum(seen * np.arange(len(seen)))
-            low = one[w:] - one[:-w]
-            high = (w + np.arange(len(low))) * low - (two[w:] - two[:-w])
-            value = ((low & 0xFFFF) | (high << 16)) & 0xFFFFFFFF
-            hits = np.flatnonzero((value < 1 << 31) & (value % divisor == divisor - 1))
+            hits = np.flatnonzero(window_hits(np.concatenate([part[least - w : least], part[least + 1 :]]), divisor))
             cut = least + int(hits[0]) + 1 if len(hits) else cut
         start += cut
         cuts.append(start)

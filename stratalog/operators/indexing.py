@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.store import greatest_per
+from .blocks import file_sums
 from .diff import SIDE, changes, guess_histories, side
 
 VERSION = ("filehistory_id", "version", "path", "type", "status", "size", "lastmodified", "linktarget", "filecontent_checksum", "updated", "posixperms", "dosattrs")
@@ -63,11 +64,14 @@ def new_contents(versions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def disk_listing(files: DataFrame, root: str) -> DataFrame:
-    """Properties of the files of Spark's ``binaryFile`` source below ``root``: path below it, type, size, lastmodified, checksum, and nulls for what it can't tell. The source leaves out empty files, folders and links."""
+    """Properties of the files of Spark's ``binaryFile`` source below ``root``: path below it, type, size, lastmodified, checksum, and nulls for what it can't tell.
+
+    The source leaves out empty files, folders and links. Contents are hashed as streams, so a file may have any size; the source's own ``content`` isn't read.
+    """
     start = F.length(F.lit(root.rstrip("/"))) + 2
     path = F.substring(F.regexp_replace("path", "^file:/*", "/"), start, F.length("path"))
     none = lambda name: F.lit(None).cast("string").alias(name)
-    return files.select(
+    return file_sums(files.select("path", "length", "modificationTime")).select(
         path.alias("path"), F.lit("FILE").alias("type"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("lastmodified"),
-        F.sha1("content").alias("checksum"), none("linktarget"), none("posixperms"), none("dosattrs"),
+        "checksum", none("linktarget"), none("posixperms"), none("dosattrs"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clocks, text
 from ..session import cut, fresh_path, ship
-from ..operators import causality, chunks, cleanup, diff, history, indexing, lookups, mutations, union
+from ..operators import blocks, causality, chunks, cleanup, diff, history, indexing, lookups, mutations, union
 from ..sources import deltalog, repository
 from ..sources.model import MODEL_SQL
 from ..streaming import sync
@@ -540,7 +540,34 @@ document_query("fixed_chunks", _SLICES + "SELECT * FROM k")(lambda f: chunks.fix
 document_query("new_chunks", _SLICES + "SELECT checksum, file_id, num, size FROM k WHERE checksum NOT IN (SELECT checksum FROM k WHERE file_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY checksum ORDER BY file_id, num) = 1")(
     lambda f: chunks.new_chunks(c := chunks.fixed_chunks(f, 1024).drop("data"), c.where("file_id % 2 = 0"))
 )
-document_query("tttd_chunks", None)(lambda f: chunks.tttd_chunks(f, 1024).drop("data"))
+#: Content-defined cuts of ``f`` (file_id, b), 1024 bytes on average, byte by byte: low and high halves of a window's sum are sum(v) and sum of v times 48, 47, ..., 1. Windows that end
+#: 48 bytes or more behind the least size (464) don't depend on the chunk's start, the 48 before leave out the byte at the least size.
+_CUT = """, x AS MATERIALIZED (SELECT file_id, hex(b) AS h, octet_length(b) AS n, list_transform(regexp_extract_all(hex(b), '..'), lambda c: (('0x' || c)::INT + 128) % 256 - 128) AS v FROM f WHERE octet_length(b) > 0),
+p AS (SELECT file_id, generate_subscripts(v, 1) - 1 AS i, unnest(v)::BIGINT AS v FROM x),
+w AS (SELECT file_id, i, sum(v) OVER s AS low, (i + 1) * sum(v) OVER s - sum(i * v) OVER s AS high FROM p WINDOW s AS (PARTITION BY file_id ORDER BY i ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) QUALIFY i >= 47),
+e AS MATERIALIZED (SELECT file_id, list(i ORDER BY i) AS hits FROM w WHERE (high % 65536 + 65536) % 65536 < 32768 AND ((high % 65536 + 65536) % 65536 * 65536 + (low % 65536 + 65536) % 65536) % 545 = 544 GROUP BY 1),
+r AS (SELECT file_id, -1 AS num, 0::BIGINT AS start, 0::BIGINT AS stop FROM x
+  UNION ALL
+  SELECT file_id, num + 1, s, least(n, s + 2825, coalesce(list_min(list_filter(list_transform(range(0, 48), lambda k: CASE WHEN s + 464 + k < n
+      AND (list_sum(list_transform(list_concat(near[k + 1 : 48], near[50 : 49 + k]), lambda y, j: (49 - j) * y)) % 65536 + 65536) % 65536 < 32768
+      AND ((list_sum(list_transform(list_concat(near[k + 1 : 48], near[50 : 49 + k]), lambda y, j: (49 - j) * y)) % 65536 + 65536) % 65536 * 65536 + (list_sum(list_concat(near[k + 1 : 48], near[50 : 49 + k])) % 65536 + 65536) % 65536) % 545 = 544
+      THEN s + 465 + k END), lambda z: z IS NOT NULL)), far + 1, n))
+  FROM (SELECT r.file_id, r.num, r.stop AS s, x.n, list_transform(x.v[r.stop + 417 : r.stop + 512], lambda y: y::BIGINT) AS near, list_filter(e.hits, lambda y: y >= r.stop + 512 AND y < r.stop + 2825)[1] AS far FROM r JOIN x USING (file_id) LEFT JOIN e USING (file_id) WHERE r.stop < x.n))
+SELECT file_id, num::INT AS num, sha1(unhex(substr(h, start * 2 + 1, (stop - start) * 2))) AS checksum, stop - start AS size FROM r JOIN x USING (file_id) WHERE num >= 0"""
+document_query("tttd_chunks", "WITH RECURSIVE f AS (SELECT doc_id AS file_id, encode(coalesce(text, '')) AS b FROM documents)" + _CUT)(lambda f: chunks.tttd_chunks(f, 1024).drop("data"))
+
+
+@document_query("tttd_file_chunks", "WITH RECURSIVE f AS (SELECT doc_id % 8 AS file_id, encode(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text) || chr(10)) AS b FROM documents GROUP BY 1)" + _CUT)
+def _stored(f: DataFrame) -> DataFrame:
+    """All texts in eight files on storage, which are cut in blocks."""
+    spark = f.sparkSession
+    folder = fresh_path(spark, "files")
+    rows = f.select(F.expr("file_id % 8").alias("of"), "file_id", F.col("content").cast("string").alias("value"))
+    rows.repartition("of").sortWithinPartitions("of", "file_id", "value").select("of", "value").write.partitionBy("of").text(folder)
+    files = blocks.stored_files(spark, folder).withColumn("file_id", F.regexp_extract("path", r"of=(\d+)/", 1).cast("bigint"))
+    return blocks.tttd_file_chunks(files, 1024, 64 << 10).drop("data")
+
+
 _SUMS = lambda df: df.select("file_id", F.sha1("content").alias("checksum"), F.octet_length("content").cast("bigint").alias("size"))
 _WHOLE = "SELECT doc_id AS file_id, sha1(coalesce(text, '')) AS checksum, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents"
 document_query("assembled", _WHOLE)(lambda f: _SUMS(chunks.assemble((c := chunks.fixed_chunks(f, 4096)).drop("data"), c.dropDuplicates(["checksum"]), f.select("file_id", F.sha1("content").alias("checksum")))))

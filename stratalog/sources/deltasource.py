@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from .deltalog import FILE_NAMES
+from .storage import file_system
 
 #: A task opens files up to this many bytes together; a larger file is a task of its own and is read as a stream.
 TASK_BYTES = 64 << 20
@@ -29,15 +30,9 @@ class Files(InputPartition):
     files: list[tuple[str, int, str]]
 
 
-def _open(folder: str) -> tuple[arrow_fs.FileSystem, str]:
-    if folder.startswith("file:"):
-        folder = "/" + folder.removeprefix("file:").lstrip("/")
-    return arrow_fs.FileSystem.from_uri(folder) if "://" in folder else (arrow_fs.LocalFileSystem(), folder)
-
-
 def delta_files(folder: str) -> list[tuple[str, int, str, int]]:
     """client, number, name, bytes of the delta files in ``folder`` in order of client and number; other files don't count, a missing folder has none."""
-    fs, path = _open(folder)
+    fs, path = file_system(folder)
     infos = fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))
     named = [(re.match(FILE_NAMES["database"], i.base_name), i) for i in infos if i.type == arrow_fs.FileType.File]
     return sorted((m[1], int(m[2]), i.base_name, i.size) for m, i in named if m)
@@ -76,7 +71,7 @@ class _Reads:
         self.most = int(options.get("taskBytes", TASK_BYTES))
 
     def read(self, partition: Files) -> Iterator[tuple[str, int, str, str]]:
-        fs, path = _open(self.folder)
+        fs, path = file_system(self.folder)
         for client, number, name in partition.files:
             for text in commits_in_file(fs, f"{path}/{name}"):
                 yield client, number, name, text
