@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # What a check before a clean-up says, the first that holds; and the default limits.
 PRECONDITIONS = ("NOK_DIRTY_LOCAL", "NOK_RECENTLY_CLEANED", "NOK_LOCAL_CHANGES", "NOK_REMOTE_CHANGES", "NOK_OTHER_OPERATIONS", "OK")
 MIN_SECONDS, MAX_FILES = 3 * 3600, 15
+# An operation renews its action file every two minutes, and one not renewed for five more is over.
+RENEWED_SECONDS = 2 * 60 + 5 * 60
 
 
 def _exists(df: DataFrame) -> Column:
@@ -41,3 +43,15 @@ def cleanup_occurred(names: DataFrame, local: Column) -> DataFrame:
     """One row, ``occurred``: whether the newest clean-up file has a greater number than the last one seen here (null: none)."""
     newest = names.where("kind = 'cleanup'").agg(F.coalesce(F.max("number"), F.lit(0)).alias("newest"))
     return newest.select((F.col("newest") > F.coalesce(local, F.lit(0))).alias("occurred"))
+
+
+def running_operations(names: DataFrame, now: Column, own: str | None = None, operations: list[str] | None = None, seconds: int = RENEWED_SECONDS) -> DataFrame:
+    """operation, client, renewed of what runs at ``now`` (UTC) by the action files among ``names`` (kind, client, name of ``deltalog.parse_names``); of other clients than ``own``, and of ``operations`` if given.
+
+    An action file's name has the time of its last renewal in milliseconds; of several files of one operation and client the newest counts.
+    """
+    rows = names.where("kind = 'action'").select(F.regexp_extract("name", r"^action-([a-z]+)-", 1).alias("operation"), "client", F.timestamp_millis(F.regexp_extract("name", r"(\d+)$", 1).cast("bigint")).cast("timestamp_ntz").alias("renewed"))
+    rows = rows.where(F.col("client") != own) if own is not None else rows
+    rows = rows.where(F.col("operation").isin(operations)) if operations is not None else rows
+    rows = rows.groupBy("operation", "client").agg(F.max("renewed").alias("renewed"))
+    return rows.where(F.col("renewed") >= now - F.make_dt_interval(secs=F.lit(seconds)))

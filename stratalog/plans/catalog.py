@@ -507,6 +507,21 @@ for _name, _clean, _unread, _busy, _code in (("unread", True, True, True, "NOK_R
         f"cleanup_{_name}",
         f"""SELECT CASE WHEN {_unread} AND (SELECT count(*) FROM commits WHERE own % 2 = 1) > 0 THEN 'NOK_REMOTE_CHANGES' WHEN {_busy} AND (SELECT count(*) FROM databaseversion WHERE client <> 'A') > 0 THEN 'NOK_OTHER_OPERATIONS' ELSE 'OK' END AS code""",
     )(_settled)
+#: Each commit's time stands for a renewal of its client's action file; two kinds of operations, seen by A some minutes after the newest of them.
+_ACTIONS = "SELECT CASE WHEN id % 2 = 0 THEN 'up' ELSE 'down' END AS operation, client, date_trunc('millisecond', localtime) AS renewed FROM databaseversion"
+query("running_operations", f", a AS ({_ACTIONS}) SELECT operation, client, max(renewed) AS renewed FROM a WHERE client <> 'A' GROUP BY 1, 2 HAVING max(renewed) >= (SELECT max(renewed) FROM a) - INTERVAL 7 MINUTE")(
+    lambda s: cleanup.running_operations(_action_files(s), s.databaseversion.agg(F.timestamp_millis(F.max(F.unix_millis(F.col("localtime").cast("timestamp")))).cast("timestamp_ntz")).scalar(), "A")
+)
+query("running_up", f", a AS ({_ACTIONS}) SELECT operation, client, max(renewed) AS renewed FROM a WHERE operation = 'up' GROUP BY 1, 2 HAVING max(renewed) >= (SELECT max(renewed) FROM a) - INTERVAL 30 DAY")(
+    lambda s: cleanup.running_operations(_action_files(s), s.databaseversion.agg(F.timestamp_millis(F.max(F.unix_millis(F.col("localtime").cast("timestamp")))).cast("timestamp_ntz")).scalar(), operations=["up"], seconds=30 * 86_400)
+)
+
+
+def _action_files(s: VersionStore) -> DataFrame:
+    millis = F.unix_millis(F.col("localtime").cast("timestamp")).cast("string")
+    return deltalog.parse_names(s.databaseversion.select(F.concat(F.when(F.expr("id % 2 = 0"), "action-up-").otherwise("action-down-"), "client", F.lit("-"), millis).alias("name")))
+
+
 query("merge_needed", f"SELECT count(*) AS clients, sum(files)::BIGINT AS files, sum(files) > 15 * count(*) AS needed FROM {_NAMES}")(lambda s: cleanup.merge_needed(deltalog.parse_names(_remote(s))))
 query("merged_files", f"SELECT client, top::BIGINT + 1 AS number, files AS replaces FROM {_NAMES}")(lambda s: cleanup.merged_files(deltalog.parse_names(_remote(s))))
 query("cleanup_occurred", "SELECT max(CASE WHEN own % 5 = 0 THEN own ELSE 0 END) > 10 AS occurred FROM commits")(
