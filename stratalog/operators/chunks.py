@@ -88,36 +88,49 @@ def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("checksum"), "checksum", "left_anti")
 
 
+def _packing(chunks: DataFrame, size: int, by: str) -> DataFrame:
+    """``by``, file_id, num, checksum, size, container and offset in it (by checksum) of each chunk; nothing else of them than sizes and names is moved."""
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["file_id", "num", "checksum"])
+        g["container"] = part_numbers(g["size"].to_numpy(), size).astype(np.int32)
+        g = g.sort_values(["container", "checksum"])
+        g["offset"] = g.groupby("container")["size"].cumsum() - g["size"]
+        return g
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in dict.fromkeys((by, "file_id", "num", "checksum"))) + ", size long, container int, offset long"
+    rows = chunks.select(*dict.fromkeys((by, "file_id", "num", "checksum")), F.col("size").cast("bigint").alias("size"))
+    return rows.groupBy(by).applyInPandas(pack, schema)
+
+
 def pack_containers(chunks: DataFrame, size: int = CONTAINER, by: str = "commit") -> DataFrame:
     """checksum and container number within its commit: a container is closed once it has ``size`` bytes, before the next chunk.
 
     The last chunk may go over. A commit is bounded (``COMMIT_BYTES``, ``COMMIT_FILES``), so its chunks meet in a task; nothing else of them than sizes and names does.
     """
-    kind = chunks.schema[by].dataType.simpleString()
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["file_id", "num", "checksum"])
-        return pd.DataFrame({by: g[by], "checksum": g["checksum"], "container": part_numbers(g["size"].to_numpy(), size).astype(np.int32)})
-
-    return chunks.select(by, "file_id", "num", "checksum", "size").groupBy(by).applyInPandas(pack, f"{by} {kind}, checksum string, container int")
+    return _packing(chunks, size, by).select(by, "checksum", "container")
 
 
 def container_files(chunks: DataFrame, size: int = CONTAINER, by: str = "commit") -> DataFrame:
     """``by``, container, content and entries (checksum, offset, size) of the containers that ``pack_containers`` fills from chunks with their ``data``.
 
-    A container has ``size`` bytes and one chunk at most, so it fits a row.
+    A container has ``size`` bytes and one chunk at most, so it fits a row. Places come from sizes alone, and each chunk's data moves to its container once.
     """
-    placed = pack_containers(chunks.drop("data"), size, by).join(chunks.select(by, "checksum", "data"), [by, "checksum"])
-    before = Window.partitionBy(by, "container").orderBy("checksum").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.octet_length("data").cast("bigint")
-    placed = placed.withColumn("entry", F.struct("checksum", F.coalesce(F.sum(length).over(before), F.lit(0)).alias("offset"), length.alias("size")))
-    return placed.groupBy(by, "container").agg(F.expr("listagg(data) within group (order by checksum)").alias("content"), F.array_sort(F.collect_list("entry")).alias("entries"))
+    at = [by, "file_id", "num"]
+    placed = _packing(chunks.drop("data"), size, by).join(chunks.select(*at, "checksum", "data"), [*at, "checksum"])
+    placed = placed.select(by, "container", "data", F.struct("checksum", "offset", "size").alias("entry")).repartition(by, "container")
+    return placed.groupBy(by, "container").agg(F.expr("listagg(data) within group (order by entry.checksum)").alias("content"), F.array_sort(F.collect_list("entry")).alias("entries"))
 
 
 def stored_chunks(containers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """checksum, data of the ``wanted`` chunks (checksum) out of ``container_files``; of several places of a chunk one counts."""
-    rows = containers.select("content", F.explode("entries").alias("e")).select("e.*", "content").join(wanted.select("checksum").distinct(), "checksum", "left_semi")
-    return rows.select("checksum", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("data")).dropDuplicates(["checksum"])
+    """checksum, data of the ``wanted`` chunks (checksum) out of ``container_files``; of several places of a chunk one counts.
+
+    Chunks are taken out where their container lies, so a container's content isn't moved once for each of them.
+    """
+    each = F.transform("entries", lambda e: F.struct(e["checksum"].alias("checksum"), F.substring(F.col("content"), (e["offset"] + 1).cast("int"), e["size"].cast("int")).alias("data")))
+    rows = containers.select(F.explode(each).alias("e")).select("e.*")
+    return rows.join(wanted.select("checksum").distinct(), "checksum", "left_semi").dropDuplicates(["checksum"])
 
 
 def running(df: DataFrame, by: str, order: str, ties: list[str], value: str, descending: bool = False, ranges: int = 256) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators import chunks
 from stratalog.operators.splits import numbered, part_numbers
-from stratalog.session import ship
+from stratalog.session import cut, ship
 from stratalog.sources import deltalog
 
 
@@ -93,3 +93,13 @@ def test_container_files_hold_their_chunks(spark):
         assert len(f.content) == sum(e.size for e in f.entries)
     back = chunks.stored_chunks(files, df.where("file_id < 20")).collect()
     assert {r.checksum: bytes(r.data) for r in back} == {r[3]: r[5] for r in rows[:20]}
+
+
+def test_chunks_leave_their_container_before_they_move(spark):
+    df = spark.createDataFrame([(1, i, 0, f"{i:02d}", 3, bytes([i] * 3)) for i in range(40)], "commit int, file_id int, num int, checksum string, size int, data binary")
+    files = cut(chunks.container_files(df, 64), "containers")
+    back = chunks.stored_chunks(files, df)
+    plan = spark._jvm.PythonSQLUtils.explainString(back._jdf.queryExecution(), "formatted")
+    moved = [part for part in plan.split("\n\n") if "Exchange\n" in part]
+    assert moved and not [part for part in moved if "content" in part]  # a container would go along with each of its chunks
+    assert sorted((r.checksum, bytes(r.data)) for r in back.collect()) == [(f"{i:02d}", bytes([i] * 3)) for i in range(40)]
