@@ -6,12 +6,15 @@ Filters on client and number choose files before any is opened. A stream's offse
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from xml.parsers import expat
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -21,21 +24,29 @@ from .storage import file_system
 
 #: A task opens files up to this many bytes together; a larger file is a task of its own and is read as a stream.
 TASK_BYTES = 64 << 20
+_PART = 1 << 20  # bytes read together
+_END = re.compile(rb"</databaseVersion\s*>")
 
 
 @dataclass
 class Files(InputPartition):
-    """Files (client, number, name) that one task reads."""
+    """Files (client, number, name, or name/part) that one task reads."""
 
     files: list[tuple[str, int, str]]
 
 
 def delta_files(folder: str) -> list[tuple[str, int, str, int]]:
-    """client, number, name, bytes of the delta files in ``folder`` in order of client and number; other files don't count, a missing folder has none."""
+    """client, number, name, bytes of the delta files in ``folder`` in order of client and number; other files don't count, a missing folder has none. Of one in parts each is told, as name/part."""
     fs, path = file_system(folder)
     infos = fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))
-    named = [(re.match(FILE_NAMES["database"], i.base_name), i) for i in infos if i.type == arrow_fs.FileType.File]
-    return sorted((m[1], int(m[2]), i.base_name, i.size) for m, i in named if m)
+    out = []
+    for m, i in [(re.match(FILE_NAMES["database"], i.base_name), i) for i in infos]:
+        if m and i.type == arrow_fs.FileType.File:
+            out.append((m[1], int(m[2]), i.base_name, i.size))
+        elif m:
+            parts = fs.get_file_info(arrow_fs.FileSelector(i.path))
+            out += [(m[1], int(m[2]), f"{i.base_name}/{p.base_name}", p.size) for p in parts if p.base_name.startswith("part-")]
+    return sorted(out)
 
 
 def grouped(files: list[tuple[str, int, str, int]], most: int) -> list[Files]:
@@ -49,20 +60,48 @@ def grouped(files: list[tuple[str, int, str, int]], most: int) -> list[Files]:
     return out
 
 
-def commits_in_file(fs: arrow_fs.FileSystem, path: str) -> Iterator[str]:
-    """The XML of each commit in a file, which is read as a stream: a commit is in memory at a time."""
+def _utf8(f) -> Iterator[bytes]:
+    """The bytes of an XML file in parts, as UTF-8 whatever its byte order mark or declaration says."""
+    part = f.read(_PART)
+    named = re.match(rb"""<\?xml[^>]*\sencoding\s*=\s*["']([\w.:-]+)""", part)
+    name = "utf-16" if part[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else named[1].decode() if named else "utf-8"
+    decoder = None if codecs.lookup(name).name in ("utf-8", "ascii") else codecs.getincrementaldecoder(name)()
+    while part:
+        yield decoder.decode(part).encode() if decoder else part
+        part = f.read(_PART)
+
+
+def commits_in_file(fs: arrow_fs.FileSystem, path: str) -> Iterator[tuple[bytearray, int, int]]:
+    """The XML of each commit in a file: UTF-8 bytes, and where it begins and ends there.
+
+    The file is read as a stream and its elements are only passed by, so memory holds the text of a commit and no tree of it.
+    """
+    parser, held, base, level, start, found = expat.ParserCreate("utf-8"), bytearray(), 0, 0, 0, []
+
+    def opened(tag: str, _) -> None:
+        nonlocal level, start
+        if tag == "databaseVersion":
+            start, level = (start if level else parser.CurrentByteIndex), level + 1
+
+    def closed(tag: str) -> None:
+        nonlocal level
+        if tag == "databaseVersion":
+            level -= 1
+            if not level:
+                close = _END.match(held, at := parser.CurrentByteIndex - base)
+                found.append((start, base + (close.end() if close else at)))  # behind an element without a tag that closes it
+
+    parser.StartElementHandler, parser.EndElementHandler = opened, closed
     with fs.open_input_stream(path) as f:
-        inside = []
-        for event, element in ET.iterparse(f, ("start", "end")):
-            if event == "start":
-                inside.append(element)
-                continue
-            inside.pop()
-            if element.tag == "databaseVersion":
-                element.tail = None
-                yield ET.tostring(element, encoding="unicode")
-                if inside:
-                    inside[-1].remove(element)
+        for part in _utf8(f):
+            held += part
+            parser.Parse(part, False)
+            if found:
+                for begin, end in found:
+                    yield held, begin - base, end - base
+                held, base = bytearray(memoryview(held)[found[-1][1] - base :]), found[-1][1]
+                found.clear()
+    parser.Parse(b"", True)
 
 
 class _Reads:
@@ -70,11 +109,13 @@ class _Reads:
         self.folder = options["path"]
         self.most = int(options.get("taskBytes", TASK_BYTES))
 
-    def read(self, partition: Files) -> Iterator[tuple[str, int, str, str]]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """A batch for each commit, whose text isn't copied: rows would be collected by the thousand."""
         fs, path = file_system(self.folder)
         for client, number, name in partition.files:
-            for text in commits_in_file(fs, f"{path}/{name}"):
-                yield client, number, name, text
+            for held, begin, end in commits_in_file(fs, f"{path}/{name}"):
+                text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([begin, end], np.int32)), pa.py_buffer(held))
+                yield pa.RecordBatch.from_arrays([pa.array([client]), pa.array([number], pa.int64()), pa.array([name.split("/")[0]]), text], ["client", "number", "name", "xml"])
 
 
 class BatchReader(_Reads, DataSourceReader):
@@ -98,7 +139,7 @@ class BatchReader(_Reads, DataSourceReader):
 
     def partitions(self) -> Sequence[Files]:
         passes = lambda row: all(self.TESTS[type(f)](row[f.attribute[0]], getattr(f, "value", None)) for f in self.filters)
-        return grouped([f for f in delta_files(self.folder) if passes(dict(client=f[0], number=f[1], name=f[2]))], self.most) or [Files([])]
+        return grouped([f for f in delta_files(self.folder) if passes(dict(client=f[0], number=f[1], name=f[2].split("/")[0]))], self.most) or [Files([])]
 
 
 class StreamReader(_Reads, DataSourceStreamReader):

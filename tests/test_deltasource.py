@@ -1,5 +1,7 @@
 """The data source of delta files: files chosen by name, streams behind a ledger."""
 
+import tracemalloc
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from stratalog.operators import union
 from stratalog.plans.store import VersionStore
 from stratalog.session import cut, ship
 from stratalog.sources import deltalog, repository
-from stratalog.sources.deltasource import Files, delta_files, grouped
+from stratalog.sources.deltasource import Files, commits_in_file, delta_files, grouped
 from stratalog.streaming import sync
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +105,24 @@ def test_stream_feeds_the_union(spark, commits, folder, tmp_path):
     sync.follow(spark, folder, str(tmp_path / "mark"), fold, once=True).awaitTermination()
     want = {r.checksum for r in deltalog.tables(commits)["chunk"].collect()}
     assert want and sorted(r.checksum for r in spark.read.parquet(f"{at}/chunk").collect()) == sorted(want)
+
+
+def test_a_commit_is_passed_by_without_a_tree(tmp_path):
+    from pyarrow import fs as arrow_fs
+
+    rows = "".join(f'<fileHistory id="{i:040x}"><fileVersions><fileVersion version="1" path="dir/{i}"/></fileVersions></fileHistory>' for i in range(100_000))
+    data = f'<database><databaseVersion client="A"/>\n<databaseVersion client="B"><fileHistories>{rows}</fileHistories></databaseVersion ><databaseVersion client=\'C>\'></databaseVersion></database>'
+    (tmp_path / "file").write_text(data)
+    tracemalloc.start()
+    got = [bytes(held[i:j]).decode() for held, i, j in commits_in_file(arrow_fs.LocalFileSystem(), str(tmp_path / "file")) if j - i < 1000]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == ['<databaseVersion client="A"/>', "<databaseVersion client='C>'></databaseVersion>"]
+    assert peak < 1.5 * len(data) + (4 << 20)  # a tree takes some five times the text
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "latin-1"])
+def test_encodings(spark, tmp_path, encoding):
+    text = f'<?xml version="1.0" encoding="{encoding}"?><database><databaseVersion client="é" date="7" clock="(é1)"/></database>'
+    (tmp_path / "database-A-0000000001").write_bytes(text.encode(encoding))
+    assert [(r.client, r._client, r._clock) for r in repository.read_delta_files(spark, str(tmp_path)).collect()] == [("A", "é", "(é1)")]
