@@ -691,7 +691,7 @@ def _compacted(s: VersionStore) -> DataFrame:
     repository.write_delta_files(cut(deltalog.commits(s), "commits"), folder)
     ledger = repository.compact(spark, folder)
     left = deltalog.parse_names(repository.listing(spark, folder)).join(ledger, "client")
-    rows = deltalog.read_rows(spark, folder, deltalog.BODY_SCHEMA).groupBy(F.col("_client").alias("client"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    rows = deltalog.read_rows(spark, folder, deltalog.BODY_SCHEMA).groupBy(F.col("_client").alias("client"), repository.file_name(F.input_file_name()).alias("name"))
     rows = rows.agg(F.count("*").alias("commits"), F.sum(F.aggregate(F.coalesce("fileHistories.fileHistory", F.array()), F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["fileVersions"]["fileVersion"]))).alias("versions"))
     return left.join(rows, ["client", "name"], "left").select("name", "client", F.col("number").cast("int").alias("filenumber"), "commits", "versions")
 

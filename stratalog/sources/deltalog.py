@@ -106,8 +106,8 @@ def write_deltas(store, path: str) -> None:
 
 
 def read_rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """The commits of delta files as rows of ``schema``, which may name a part of ``BODY_SCHEMA``."""
-    return spark.read.format("xml").option("rowTag", "databaseVersion").option("attributePrefix", ATTRIBUTE_PREFIX).schema(schema).load(path)
+    """The commits of delta files, also of those in parts, as rows of ``schema``, which may name a part of ``BODY_SCHEMA``."""
+    return spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "databaseVersion").option("attributePrefix", ATTRIBUTE_PREFIX).schema(schema).load(path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stratalog.plans.store import VersionStore
 from stratalog.session import cut, ship
 from stratalog.sources import deltalog, repository
+from stratalog.sources.deltasource import delta_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,25 @@ def test_nothing_is_left_of_a_write_that_fails(spark, commits, tmp_path):
     with pytest.raises(OSError, match="can't be put"):
         repository.write_delta_files(commits, folder)
     assert names(spark, folder) == before
+
+
+def test_files_in_parts(spark, commits, tmp_path):
+    folder, key = str(tmp_path / "repo"), lambda df: sorted((r._client, r._clock, r._date, str(r.fileHistories)) for r in df.collect())
+    repository.write_delta_files(commits, folder)
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    try:
+        ledger = {tuple(r) for r in repository.compact(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    files = delta_files(folder)
+    assert {(f[0], f[1]) for f in files} == ledger and len(files) > len(ledger) and all("/part-" in f[2] for f in files)  # several tasks wrote a file
+    assert {r.name for r in repository.listing(spark, folder).collect()} == {f[2].split("/")[0] for f in files}
+    rows = repository.read_delta_files(spark, folder)
+    assert key(rows) == key(commits) == key(deltalog.read_rows(spark, folder, deltalog.BODY_SCHEMA))
+    one = files[0][2].split("/")[0]
+    own = [int(r._clock.split(files[0][0])[1].split(",")[0].rstrip(")")) for r in rows.where(F.col("name") == one).collect()]
+    assert own == sorted(own) and len(own) == sum(r._client == files[0][0] for r in commits.collect())
+    again = repository.compact(spark, folder)  # parts are merged as files are
+    assert {tuple(r) for r in again.collect()} == {(c, n + 1) for c, n in ledger} and {(f[0], f[1]) for f in delta_files(folder)} == {(c, n + 1) for c, n in ledger}
+    assert key(repository.read_delta_files(spark, folder)) == key(commits)
