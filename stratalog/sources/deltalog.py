@@ -81,8 +81,11 @@ def commits(store) -> DataFrame:
         F.col("size").alias("_size"), _millis("lastmodified").alias("_lastModified"), F.col("linktarget").alias("_linkTarget"), _millis("updated").alias("_updated"), F.col("filecontent_checksum").alias("_checksum"),
         F.col("dosattrs").alias("_dosattrs"), F.col("posixperms").alias("_posixperms"),
     )
-    histories = _collected(store.fileversion, [dbv, "filehistory_id"], version, "fileVersions", "fileVersion")
-    histories = store.filehistory.withColumnRenamed("id", "filehistory_id").join(histories, [dbv, "filehistory_id"], "full_outer")
+    # a history without versions in a commit is there too; rows move to their commit once and are put together there
+    histories = store.fileversion.select(dbv, "filehistory_id", version.alias("v"))
+    histories = histories.unionByName(store.filehistory.select(dbv, F.col("id").alias("filehistory_id")), allowMissingColumns=True).repartition(dbv)
+    histories = histories.groupBy(dbv, "filehistory_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    histories = histories.select(dbv, "filehistory_id", F.when(F.size("v") > 0, F.struct(F.col("v").alias("fileVersion"))).alias("fileVersions"))
     histories = _collected(histories, [dbv], F.struct(F.col("filehistory_id").alias("_id"), "fileVersions"), "fileHistories", "fileHistory")
     chunks = _collected(store.chunk, [dbv], F.struct(F.col("checksum").alias("_checksum"), F.col("size").alias("_size")), "chunks", "chunk")
 

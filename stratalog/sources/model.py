@@ -40,6 +40,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     client = F.substring(F.lit("ABC"), (F.col("user_id") % 3 + 1).cast("int"), 1)
     events = events.withColumn("client", client).withColumn("day", F.to_date("ts"))
+    content = docs.select(F.col("doc_id").alias("doc"), F.unhex(F.sha1("text")).alias("content"))
 
     days = events.groupBy("client", "day").agg(F.max("ts").alias("localtime"))
     commits = days.withColumn("id", F.dense_rank().over(Window.orderBy("day", "client")).cast("int"))
@@ -55,15 +56,19 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     n_docs = docs.agg(F.count("*")).scalar()
     user = F.col("user_id").cast("string")
+    of_user = F.sha1(F.concat(F.lit("u"), user).cast("binary"))
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     path = F.concat(F.lit("dir"), (F.col("user_id") % 10).cast("string"), F.lit("/"), user, F.lit("."), F.col("event_type"))
     kind = F.when(F.col("event_id") % 10 == 8, "FOLDER").when(F.col("event_id") % 10 == 9, "SYMLINK").otherwise("FILE")
-    v = events.withColumns({"path": path, "type": kind, "doc": F.col("event_id") % n_docs}).withColumn("version", F.row_number().over(by)).withColumn("before", F.lag("path").over(by))
-    v = v.join(commits.select("client", "day", F.col("id").alias("databaseversion_id")), ["client", "day"])
-    v = v.join(docs.select(F.col("doc_id").alias("doc"), F.sha1("text").alias("content")), "doc", "left")
-    change = F.when(F.col("version") == 1, "NEW").when(F.col("event_type") == "error", "DELETED").when(F.col("path") != F.col("before"), "RENAMED").otherwise("CHANGED")
+    head = F.broadcast(commits.select("client", "day", F.col("id").alias("databaseversion_id")))  # a row for each day of a client
+    # events move by history as they are, once for whatever follows; what is made of them comes after
+    v = events.select("event_id", "ts", "user_id", "event_type", "value").repartition("user_id")
+    v = v.withColumn("version", F.row_number().over(by)).withColumn("before_type", F.lag("event_type").over(by))
+    v = v.withColumns({"client": client, "day": F.to_date("ts")}).join(head, ["client", "day"]).drop("client", "day")
+    v = v.withColumn("doc", F.col("event_id") % n_docs).join(content, "doc", "left").withColumns({"path": path, "type": kind})
+    change = F.when(F.col("version") == 1, "NEW").when(F.col("event_type") == "error", "DELETED").when(F.col("event_type") != F.col("before_type"), "RENAMED").otherwise("CHANGED")
     fileversion = v.select(
-        F.sha1(F.concat(F.lit("u"), user).cast("binary")).alias("filehistory_id"),
+        of_user.alias("filehistory_id"),
         F.col("version").cast("int").alias("version"),
         "databaseversion_id",
         "path",
@@ -72,19 +77,24 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.round(F.col("value") * 100).cast("bigint").alias("size"),
         F.col("ts").alias("lastmodified"),
         F.when(F.col("type") == "SYMLINK", F.concat(F.lit("target/"), user)).alias("linktarget"),
-        F.when(F.col("type") == "FILE", F.col("content")).alias("filecontent_checksum"),
+        F.when(F.col("type") == "FILE", F.lower(F.hex("content"))).alias("filecontent_checksum"),
         F.col("ts").alias("updated"),
         F.when(F.col("event_id") % 3 == 0, "rwxr--r--").alias("posixperms"),
         F.when(F.col("event_id") % 4 == 0, "--a-").alias("dosattrs"),
     )
-    filehistory = fileversion.select(F.col("filehistory_id").alias("id"), "databaseversion_id").distinct()
+    filehistory = events.select("user_id", "client", "day").distinct().join(head, ["client", "day"]).select(of_user.alias("id"), "databaseversion_id").distinct()
 
     n_commits = commits.agg(F.count("*")).scalar()
-    contents = docs.groupBy(F.sha1("text").alias("checksum")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # a text's slices are named where it lies: their digests and sizes move, texts don't
+    part = lambda i: F.substring(F.col("text"), i * SLICE + 1, F.lit(SLICE))
+    numbers = F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {SLICE}"))
+    parts = F.when(F.length("text") > 0, F.transform(numbers, lambda i: F.struct(F.unhex(F.sha1(part(i))).alias("sum"), F.octet_length(part(i)).cast("bigint").alias("size"))))
+    named = docs.select("doc_id", F.sha1("text").alias("checksum"), F.octet_length("text").cast("bigint").alias("size"), parts.alias("parts"))
+    contents = named.groupBy("checksum").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parts").alias("parts"))
     contents = contents.withColumn("databaseversion_id", (F.col("doc_id") % n_commits + 1).cast("int"))
-    filecontent = contents.select("checksum", "databaseversion_id", F.octet_length("text").cast("bigint").alias("size"))
-    slices = contents.where("length(text) > 0").select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {SLICE}")), lambda i: F.substring(F.col("text"), i * SLICE + 1, F.lit(SLICE)))).alias("num", "part"))
-    slices = slices.select("checksum", "databaseversion_id", "doc_id", "num", F.sha1("part").alias("chunk_checksum"), F.octet_length("part").cast("bigint").alias("size"))
+    filecontent = contents.select("checksum", "databaseversion_id", "size")
+    slices = contents.select("checksum", "databaseversion_id", "doc_id", F.posexplode("parts").alias("num", "part"))
+    slices = slices.select("checksum", "databaseversion_id", "doc_id", "num", F.lower(F.hex("part.sum")).alias("chunk_checksum"), F.col("part.size").alias("size"))
     filecontent_chunk = slices.select(F.col("checksum").alias("filecontent_checksum"), "chunk_checksum", "num")
     first = slices.groupBy("chunk_checksum").agg(F.min(F.struct("doc_id", "num", "databaseversion_id", "size")).alias("f")).select(F.col("chunk_checksum").alias("checksum"), "f.*")
     chunk = first.select("checksum", "databaseversion_id", "size")
