@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.clocks import GREATER, vc_compare, vc_parse
 from ..functions.text import depth
 from ..plans.store import greatest_per
+from ..session import cut
 
 # The codes of time buckets and date_trunc's units.
 UNITS = {"SS": "second", "MI": "minute", "HH": "hour", "DD": "day", "WW": "week", "MM": "month", "YYY": "year"}
 _HALF = {"SS": "500 milliseconds", "MI": "30 seconds", "HH": "30 minutes", "DD": "12 hours"}
+_LONGEST = {"SS": "1 second", "MI": "1 minute", "HH": "1 hour", "DD": "1 day", "WW": "7 days", "MM": "31 days", "YYY": "366 days"}
 #: Default thinning: older than nothing (in seconds) by minute, and so on.
 INTERVALS = ((3600, "MI"), (3 * 86400, "HH"), (30 * 86400, "DD"))
 
@@ -82,8 +84,13 @@ def time_bucket(ts: Column, unit: str, mode: str = "round") -> Column:
 
 
 def purge_by_interval(store, unit: str, start: Column, end: Column, mode: str = "round") -> DataFrame:
-    """Versions strictly between two times that aren't the last of their bucket; buckets see all rows."""
-    df = store.fileversion.withColumn("_bucket", time_bucket(F.col("updated"), unit, mode))
+    """Versions strictly between two times that aren't the last of their bucket; buckets see all rows.
+
+    Rows farther from the two times than a bucket is long can't share one with a row between them, so they are left out before rows are sorted.
+    """
+    beside = F.expr(f"interval {_LONGEST[unit]}")
+    df = store.fileversion.select("filehistory_id", "version", "updated").where((F.col("updated") >= start - beside) & (F.col("updated") <= end + beside))
+    df = df.withColumn("_bucket", time_bucket(F.col("updated"), unit, mode))
     rows = df.withColumn("_max", _max_version(df, "_bucket")).where((F.col("version") != F.col("_max")) & (F.col("updated") > start) & (F.col("updated") < end))
     return rows.select("filehistory_id", "version")
 
@@ -91,15 +98,16 @@ def purge_by_interval(store, unit: str, start: Column, end: Column, mode: str =
 def thinned(store, now: Column, intervals: tuple[tuple[int, str], ...] = INTERVALS, keep_seconds: int = 30 * 86400) -> DataFrame:
     """filehistory_id, version of everything that cleaning up removes: interval thinning, old versions, old deletions with what precedes them."""
     ago = lambda s: now - F.make_dt_interval(secs=F.lit(s))
+    rows = cut(store.fileversion.select("filehistory_id", "version", "updated", "status").distinct(), "versions")
     gone, newer = [], 0
     for seconds, unit in sorted(intervals):
-        gone.append(purge_by_interval(store, unit, ago(seconds), ago(newer)))
+        gone.append(purge_by_interval(store.with_tables(fileversion=rows), unit, ago(seconds), ago(newer)))
         newer = seconds
-    gone.append(purge_before(store, ago(keep_seconds)))
-    upto = deleted_before(store, ago(keep_seconds)).withColumnRenamed("version", "_upto")
-    gone.append(store.fileversion.select("filehistory_id", "version").join(upto, "filehistory_id").where("version <= _upto").select("filehistory_id", "version"))
-    out = gone[0]
-    for df in gone[1:]:
+    # the last version and the last deletion of each history are found in one aggregation
+    ends = rows.groupBy("filehistory_id").agg(F.max("version").alias("_max"), F.max(F.when(F.col("status") == "DELETED", F.struct("version", "updated"))).alias("_gone"))
+    old, deleted = F.col("updated") < ago(keep_seconds), F.col("_gone.updated") < ago(keep_seconds)
+    out = rows.join(ends, "filehistory_id").where(((F.col("version") != F.col("_max")) & old) | ((F.col("version") <= F.col("_gone.version")) & deleted)).select("filehistory_id", "version")
+    for df in gone:
         out = out.unionByName(df)
     return out.distinct()
 
