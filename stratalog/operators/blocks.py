@@ -22,6 +22,7 @@ from .chunks import CHUNK, TTTD_WINDOW, tttd_sizes, window_hits
 BLOCK = 16 << 20
 _SLICE = 4096  # chunk starts, and
 _PART = 1 << 20  # bytes, that are looked at together
+_FEW = 256  # below so many chunk starts all their windows are laid out at once
 
 
 class Block:
@@ -42,14 +43,43 @@ class Block:
         w = TTTD_WINDOW
         at = starts + self.least
         out = np.minimum(np.minimum(starts + self.most, self.n), self.hits[np.searchsorted(self.hits, at + w)] + 1)
-        around = np.delete(np.arange(-w, w), w)
         for i in range(0, len(starts), _SLICE):
             q = at[i : i + _SLICE]
-            near = q < self.n
-            found = window_hits(self.padded[np.minimum(q, self.n)[:, None] + around], self.divisor) & near[:, None] & (q[:, None] + np.arange(w) < self.n)
-            out[i : i + _SLICE] = np.where(found.any(1), q + found.argmax(1) + 1, out[i : i + _SLICE])
+            first = (self._near_few if len(q) < _FEW else self._near_many)(q)
+            out[i : i + _SLICE] = np.where(first < w, q + first + 1, out[i : i + _SLICE])
         return out
 
+    def _near_few(self, q: np.ndarray) -> np.ndarray:
+        """Which of the ``TTTD_WINDOW`` windows around each place is the first that ends a chunk, ``TTTD_WINDOW`` for none; the byte at the place is left out."""
+        w = TTTD_WINDOW
+        around = np.delete(np.arange(-w, w), w)
+        found = window_hits(self.padded[np.minimum(q, self.n)[:, None] + around], self.divisor) & (q[:, None] + np.arange(w) < self.n)
+        return np.where(found.any(1), found.argmax(1), w)
+
+    def _near_many(self, q: np.ndarray) -> np.ndarray:
+        """As ``_near_few``, window by window for all places: the sums go on from one to the next, and no array is larger than the places."""
+        w, at = TTTD_WINDOW, np.minimum(q, self.n)
+        if q[-1] <= self.n and (np.diff(q) == 1).all():  # neighbours, which need no gathering
+            byte = lambda i: self.padded[at[0] + i : at[-1] + i + 1]
+        else:
+            byte = lambda i: self.padded[at + i]
+        low, high = np.zeros(len(q), np.int32), np.zeros(len(q), np.int32)
+        for j in range(-w, 0):
+            low += byte(j)
+            high += low  # the first byte counts w times, the last once
+        first = np.full(len(q), w)
+        for k in range(w):
+            value = (low & 0xFFFF) | (high << 16)
+            found = np.flatnonzero(value - value // self.divisor * self.divisor == self.divisor - 1)  # few
+            found = found[(value[found] >= 0) & (q[found] + k < self.n) & (first[found] == w)]
+            first[found] = k
+            gone = byte(k - w).astype(np.int32)
+            low += byte(k + 1)
+            low -= gone
+            high += low
+            high -= w * gone
+        return first
+
     def walk(self, start: int, until: int) -> list[int]:
         """The start of each chunk from ``start`` on that begins before ``until``, and the last one's end."""
         out = [start]
@@ -114,7 +144,8 @@ def _blocks(files: DataFrame, block: int) -> DataFrame:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "block")
+    """Blocks over all tasks. By a hash, as Spark takes a join's own partitions for those of its keys, and merges them since they have few bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file_id", "block"))
 
 
 def tttd_file_chunks(files: DataFrame, average: int = CHUNK, block: int = BLOCK) -> DataFrame:

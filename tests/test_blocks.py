@@ -77,3 +77,18 @@ def test_odd_files(spark, tmp_path):
         blocks.tttd_file_chunks(none, 1024, 1000)
     with pytest.raises(Exception, match="has less than"):
         blocks.tttd_file_chunks(spark.createDataFrame([("a", f"{tmp_path}/short", 50)], schema), 1024).collect()
+
+
+def test_windows_around_many_places():
+    for data in CONTENTS.values():
+        at = blocks.Block(data, 1024)
+        for q in (np.arange(464, 464 + MOST), np.arange(464, len(data) + 2 * 464, 7)[:MOST], np.array([at.n - 3, at.n - 1, at.n, at.n + 1])):
+            if q[0] >= 48 and q[-1] <= at.n + 464:
+                assert (at._near_many(q) == at._near_few(q)).all()
+
+
+def test_blocks_with_entries_are_spread(spark):
+    """Blocks joined with where they begin have few bytes, which Spark merges into one task if the join's partitions are taken for the blocks' own."""
+    rows = spark.range(64).selectExpr("id % 2 as file_id", "id as block")
+    joined = blocks._spread(rows.join(rows.hint("merge"), ["file_id", "block"], "left"))
+    assert "REPARTITION_BY_NUM" in joined._jdf.queryExecution().executedPlan().toString()
